@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.ordered import top_k
+from sightline.operators.ordered import first_by, top_k
 
 QUERY_BYTES = 64 << 20
 STATE_BYTES = 256 << 20
@@ -139,26 +140,11 @@ def nearest(
     """
     spark = queries.sparkSession
     carried = [row_id, *[c for c in keep if c != row_id]]
-    asked = queries.filter(F.size(query_vector) > 0).select(
-        F.col(query_id).alias("_query"),
-        _space(queries, match_on, query_vector).alias("_space"),
-        F.col(query_vector).cast("array<float>").alias("_vector"),
-    )
-    searched = corpus.filter(F.size(vector) > 0).select(
-        *carried,
-        _space(corpus, match_on, vector).alias("_space"),
-        F.col(vector).cast("array<float>").alias("_vector"),
+    asked, searched, count, numbers = _prepared(
+        queries, corpus, query_id, query_vector, vector, match_on, carried
     )
-    size = asked.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.size("_vector").cast("bigint")), F.lit(0))
-    ).first()
-    count, numbers = int(size[0]), int(size[1])
     query_arrow = _arrow_type(asked, "_query")
-    schema = ", ".join(
-        [f"_query {asked.schema['_query'].dataType.simpleString()}"]
-        + [f"`{c}` {searched.schema[c].dataType.simpleString()}" for c in carried]
-        + ["distance double"]
-    )
+    schema = _schema(asked, searched, carried)
 
     if numbers * 8 <= query_bytes and count * k * 8 <= STATE_BYTES:
         held = spark.sparkContext.broadcast(_Queries.of(asked.toArrow()))
@@ -171,7 +157,11 @@ def nearest(
 
         found = searched.mapInArrow(scan, schema)
     else:
-        found = _blocks(asked, searched, k, count, carried, query_arrow, schema, block_rows)
+
+        def scanner(left: pa.Table):
+            return _Scan(_Queries.of(left), k)
+
+        found = _blocks(asked, searched, scanner, count, carried, query_arrow, schema, block_rows)
 
     ranked = top_k(
         found, ["_query"], [F.col("distance"), F.col(row_id)], k, salt=F.col(row_id)
@@ -179,7 +169,120 @@ def nearest(
     return ranked.withColumnRenamed("_query", query_id)
 
 
-def _blocks(asked, searched, k, count, carried, query_arrow, schema, block_rows):
+class _GroupScan:
+    """Nearest row of each corpus group per query, one batch at a time."""
+
+    def __init__(self, queries: _Queries, group: str, tie: Sequence[str]):
+        self.queries, self.group, self.tie = queries, group, list(tie)
+
+    def candidates(self, batch: pa.RecordBatch | pa.Table):
+        table = pa.table({c: batch[c] for c in ("_space", "_vector", self.group, *self.tie)})
+        for space, positions in _by_space(table["_space"]):
+            queries = self.queries.rows.get(space)
+            if queries is None or not len(queries):
+                continue
+            part = table.take(pa.array(positions))
+            keys = [(c, "ascending") for c in (self.group, *self.tie)]
+            order = pc.sort_indices(part, sort_keys=keys, null_placement="at_end")
+            part, positions = part.take(order), positions[order.to_numpy()]
+            rows = _matrix(part["_vector"])
+            codes = part[self.group].combine_chunks().dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            lengths = np.diff(np.r_[starts, len(codes)])
+            ids = self.queries.ids[space]
+            for start in range(0, len(queries), 256):
+                stop = min(start + 256, len(queries))
+                distance = np.round(1.0 - queries[start:stop] @ rows.T, DECIMALS)
+                least = np.minimum.reduceat(distance, starts, axis=1)
+                at = np.where(
+                    distance == np.repeat(least, lengths, axis=1), np.arange(len(codes)), len(codes)
+                )
+                first = np.minimum.reduceat(at, starts, axis=1)
+                q = np.repeat(np.arange(stop - start), len(starts))
+                yield [ids[start + i] for i in q], positions[first.ravel()], least.ravel()
+
+
+def nearest_per_group(
+    queries: DataFrame,
+    corpus: DataFrame,
+    *,
+    group: str,
+    tie: Sequence[str],
+    query_id: str = "query_id",
+    query_vector: str = "vector",
+    vector: str = "vector",
+    match_on: Sequence[str] = (),
+    keep: Sequence[str] = (),
+    query_bytes: int = QUERY_BYTES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """For each query the nearest row of every corpus group, without a limit
+    on the number of neighbours (ties by ``tie``, nulls last).
+
+    Rows of a group lie together in each task's input, so what leaves a task
+    is about one row per query and group.
+    """
+    spark = queries.sparkSession
+    carried = list(dict.fromkeys([group, *tie, *keep]))
+    asked, searched, count, numbers = _prepared(
+        queries, corpus, query_id, query_vector, vector, match_on, carried
+    )
+    searched = searched.sortWithinPartitions(group)
+    query_arrow = _arrow_type(asked, "_query")
+    schema = _schema(asked, searched, carried)
+    if numbers * 8 <= query_bytes:
+        held = spark.sparkContext.broadcast(_Queries.of(asked.toArrow()))
+
+        def scan(batches):
+            state = _GroupScan(held.value, group, tie)
+            for batch in batches:
+                for found in state.candidates(batch):
+                    yield _emit(batch, carried, query_arrow, found)
+
+        found = searched.mapInArrow(scan, schema)
+    else:
+
+        def scanner(left: pa.Table):
+            return _GroupScan(_Queries.of(left), group, tie)
+
+        found = _blocks(asked, searched, scanner, count, carried, query_arrow, schema, block_rows)
+    order = [F.col("distance"), *[F.coalesce(F.col(t), _last(searched, t)) for t in tie]]
+    return first_by(found, ["_query", group], order).withColumnRenamed("_query", query_id)
+
+
+def _last(df: DataFrame, column: str) -> Column:
+    """A value that sorts a missing number or text last."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "string":
+        return F.lit("\U0010ffff")
+    return F.lit(float("inf")) if kind in ("double", "float") else F.lit((1 << 31) - 1)
+
+
+def _prepared(queries, corpus, query_id, query_vector, vector, match_on, carried):
+    asked = queries.filter(F.size(query_vector) > 0).select(
+        F.col(query_id).alias("_query"),
+        _space(queries, match_on, query_vector).alias("_space"),
+        F.col(query_vector).cast("array<float>").alias("_vector"),
+    )
+    searched = corpus.filter(F.size(vector) > 0).select(
+        *carried,
+        _space(corpus, match_on, vector).alias("_space"),
+        F.col(vector).cast("array<float>").alias("_vector"),
+    )
+    size = asked.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size("_vector").cast("bigint")), F.lit(0))
+    ).first()
+    return asked, searched, int(size[0]), int(size[1])
+
+
+def _schema(asked: DataFrame, searched: DataFrame, carried: Sequence[str]) -> str:
+    fields = [f"_query {asked.schema['_query'].dataType.simpleString()}"]
+    fields += [f"`{c}` {searched.schema[c].dataType.simpleString()}" for c in carried]
+    return ", ".join([*fields, "distance double"])
+
+
+def _blocks(asked, searched, scanner, count, carried, query_arrow, schema, block_rows):
+    """Every pair of a query block and a corpus block as one bounded task."""
     rows = searched.count()
     query_blocks = max(1, -(-count // block_rows))
     row_blocks = max(1, -(-rows // (4 * block_rows)))
@@ -199,7 +302,7 @@ def _blocks(asked, searched, k, count, carried, query_arrow, schema, block_rows)
         target = pa.schema(list(zip(names, types)))
         parts = []
         if left.num_rows and right.num_rows:
-            state = _Scan(_Queries.of(left), k)
+            state = scanner(left)
             for found in state.candidates(right):
                 parts.append(_emit(right, carried, query_arrow, found))
         return pa.Table.from_batches(parts, schema=target) if parts else target.empty_table()
