@@ -107,12 +107,12 @@ def _section_vectors(sections: DataFrame, intervals: DataFrame, keys: Sequence[s
     """
     keys, kind = list(keys), [*MATCH_ON]
     weights = interval_weights(
-        sections.join(intervals.select(*keys, "asset_id").distinct(), "asset_id"),
+        sections.join(intervals.select(*keys).distinct(), "asset_id"),
         intervals,
         keys,
         "embedding_id",
     )
-    covered = sections.join(weights, "embedding_id")
+    covered = sections.join(weights, ["asset_id", "embedding_id"])
     mean = centroid(
         covered,
         [*keys, *kind],
@@ -123,7 +123,7 @@ def _section_vectors(sections: DataFrame, intervals: DataFrame, keys: Sequence[s
 
     start = F.greatest(F.lit(0.0), F.col("start_seconds"))
     end = F.greatest(start, F.coalesce(F.col("end_seconds"), start))
-    first = intervals.groupBy(*keys, "asset_id").agg(
+    first = intervals.groupBy(*keys).agg(
         F.min_by(F.when(end > start, (start + end) / 2).otherwise(start), F.col("start_seconds")).alias(
             "_middle"
         )
