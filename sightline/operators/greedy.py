@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.vectors import cosine
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, renamed
 
 
 def _unit(vectors) -> np.ndarray:
@@ -80,7 +80,7 @@ def greedy_select(
         window = Window.partitionBy(*keys).orderBy(*order)
         best = pool.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= batch)
         chosen = cut_lineage(
-            best.groupBy(*keys).cogroup(held_rows.groupBy(*keys)).applyInPandas(choose, types)
+            best.groupBy(*keys).cogroup(renamed(held_rows).groupBy(*keys)).applyInPandas(choose, types)
         )
         picked = chosen if picked is None else picked.unionByName(chosen)
         held_rows = held_rows.unionByName(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.ordered import bucketed_scan
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, renamed
 
 CHUNK = "_chunk"
 
@@ -93,7 +93,7 @@ def seam_scan(
     multi = chunked.join(cut, keys, "left_semi").groupBy(*grouping)
     blank = chunked.select(*grouping).distinct().withColumn("state_in", F.lit(None).cast("binary"))
     states = cut_lineage(
-        multi.cogroup(blank.groupBy(*grouping)).applyInPandas(end_state, state_schema)
+        multi.cogroup(renamed(blank).groupBy(*grouping)).applyInPandas(end_state, state_schema)
     )
     along = Window.partitionBy(*keys).orderBy(CHUNK)
     while True:
@@ -104,11 +104,11 @@ def seam_scan(
         if due.isEmpty():
             break
         rows = chunked.join(due.select(*grouping), grouping, "left_semi")
-        redone = rows.groupBy(*grouping).cogroup(due.groupBy(*grouping)).applyInPandas(
+        redone = rows.groupBy(*grouping).cogroup(renamed(due).groupBy(*grouping)).applyInPandas(
             end_state, state_schema
         )
         states = cut_lineage(states.join(due, grouping, "left_anti").unionByName(redone))
     settled = states.select(*grouping, "state_in")
     return (
-        chunked.groupBy(*grouping).cogroup(settled.groupBy(*grouping)).applyInPandas(output, schema)
+        chunked.groupBy(*grouping).cogroup(renamed(settled).groupBy(*grouping)).applyInPandas(output, schema)
     )

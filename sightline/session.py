@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "sightline", memory: str = "16g") -> SparkSession:
@@ -55,6 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, so that a table can be
+    co-grouped with one derived from it.
+    """
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers (once per Spark context).
 
