@@ -250,6 +250,90 @@ def nearest_per_group(
     return first_by(found, ["_query", group], order).withColumnRenamed("_query", query_id)
 
 
+class _MeanScan:
+    """Best corpus rows per group of query vectors, one batch at a time.
+
+    A row's score for a group is the mean of the group's two best positive
+    similarities to it (the best alone when only one is positive).
+    """
+
+    def __init__(self, queries: _Queries, k: int):
+        self.queries, self.k = queries, k
+        self.groups = {}
+        for space, ids in queries.ids.items():
+            codes = {g: n for n, g in enumerate(dict.fromkeys(ids))}
+            numbers = np.array([codes[g] for g in ids])
+            order = np.argsort(numbers, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(numbers[order]) != 0])
+            self.groups[space] = (list(codes), order, starts)
+
+    def candidates(self, batch: pa.RecordBatch | pa.Table):
+        for space, positions in _by_space(batch["_space"]):
+            if space not in self.groups:
+                continue
+            names, order, starts = self.groups[space]
+            rows = _matrix(batch["_vector"].take(pa.array(positions)))
+            queries = self.queries.rows[space][order]
+            lengths = np.diff(np.r_[starts, len(order)])
+            similar = queries @ rows.T
+            similar = np.where(similar > 0, similar, -np.inf)
+            best = np.maximum.reduceat(similar, starts, axis=0)
+            at = np.where(similar == np.repeat(best, lengths, axis=0), np.arange(len(order))[:, None], len(order))
+            first = np.minimum.reduceat(at, starts, axis=0)
+            usable = np.isfinite(best)
+            columns = np.broadcast_to(np.arange(rows.shape[0]), first.shape)
+            similar[first[usable], columns[usable]] = -np.inf
+            second = np.maximum.reduceat(similar, starts, axis=0)
+            score = np.where(np.isfinite(second), (best + np.where(np.isfinite(second), second, 0)) / 2, best)
+            score = np.where(usable, np.round(score, DECIMALS), -np.inf)
+            k = min(self.k, score.shape[1])
+            limit = np.partition(score, -k, axis=1)[:, -k][:, None]
+            g, r = np.nonzero(usable & (score >= limit))
+            if len(g):
+                yield [names[i] for i in g], positions[r], score[g, r]
+
+
+def best_groups(
+    vectors: DataFrame,
+    corpus: DataFrame,
+    *,
+    group: str,
+    row_id: str,
+    keep: Sequence[str] = (),
+    k: int = 2,
+    query_bytes: int = QUERY_BYTES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The ``k`` corpus rows with the highest mean of two best similarities
+    to the vectors of each group: group, row_id, keep, score, rank.
+
+    A group (the few vectors of one track or identity) stays in one block.
+    """
+    spark = vectors.sparkSession
+    carried = [row_id, *keep]
+    asked, searched, count, numbers = _prepared(vectors, corpus, group, "vector", "vector", (), carried)
+    query_arrow = _arrow_type(asked, "_query")
+    schema = _schema(asked, searched, carried)
+    if numbers * 8 <= query_bytes:
+        held = spark.sparkContext.broadcast(_Queries.of(asked.toArrow()))
+
+        def scan(batches):
+            state = _MeanScan(held.value, k)
+            for batch in batches:
+                for found in state.candidates(batch):
+                    yield _emit(batch, carried, query_arrow, found)
+
+        found = searched.mapInArrow(scan, schema)
+    else:
+
+        def scanner(left: pa.Table):
+            return _MeanScan(_Queries.of(left), k)
+
+        found = _blocks(asked, searched, scanner, count, carried, query_arrow, schema, block_rows)
+    ranked = top_k(found, ["_query"], [F.desc("distance"), F.col(row_id)], k)
+    return ranked.withColumnsRenamed({"_query": group, "distance": "score"})
+
+
 def _last(df: DataFrame, column: str) -> Column:
     """A value that sorts a missing number or text last."""
     kind = df.schema[column].dataType.simpleString()
