@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _VIEWS: dict[str, tuple[Callable, str, tuple[str, ...]]] = {}
@@ -399,3 +399,129 @@ def reference_identities(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("NATION_"), F.col("label").cast("string")).alias("display_name"),
         F.transform("v", lambda e: e["x"].cast("float")).alias("vector"),
     )
+
+
+@view(
+    """
+SELECT l_orderkey // 20 AS asset_id, l_linenumber + 7 * (l_orderkey % 20) AS frame_order,
+       row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS sample_pos,
+       1 - 5 * l_discount AS score, 8 + l_quantity AS norm,
+       l_discount AS x1, l_tax AS y1, l_discount + l_quantity / 100 AS x2, l_tax + l_quantity / 80 AS y2,
+       embedding AS vector, l_tax * 10 AS pose, CASE WHEN l_suppkey % 2 = 0 THEN l_tax * 5 END AS bright
+FROM lineitem LEFT JOIN embeddings ON vec_id = l_partkey
+"""
+)
+def sample_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as face samples: twenty orders are one asset, an order is seven
+    frames; a part with a vector of its number carries it.
+    """
+    in_frame = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
+    )
+    joined = load(spark, folder, "lineitem").join(
+        load(spark, folder, "embeddings"), F.col("vec_id") == F.col("l_partkey"), "left"
+    )
+    even = F.col("l_suppkey") % 2 == 0
+    return joined.select(
+        F.expr("l_orderkey div 20").alias("asset_id"),
+        (F.col("l_linenumber") + 7 * (F.col("l_orderkey") % 20)).alias("frame_order"),
+        F.row_number().over(in_frame).alias("sample_pos"),
+        (1 - 5 * F.col("l_discount")).alias("score"),
+        (8 + F.col("l_quantity")).alias("norm"),
+        F.col("l_discount").alias("x1"),
+        F.col("l_tax").alias("y1"),
+        (F.col("l_discount") + F.col("l_quantity") / 100).alias("x2"),
+        (F.col("l_tax") + F.col("l_quantity") / 80).alias("y2"),
+        F.col("embedding").alias("vector"),
+        (F.col("l_tax") * 10).alias("pose"),
+        F.when(even, F.col("l_tax") * 5).alias("bright"),
+    )
+
+
+def face_samples_view(spark: SparkSession, folder: str) -> DataFrame:
+    """``sample_boxes`` in the shape of the track operators."""
+    number = F.col("pose").cast("string")
+    bright = F.col("bright").cast("string")
+    metadata = F.when(
+        F.col("bright").isNull(), F.create_map(F.lit("pose_quality"), number)
+    ).otherwise(F.create_map(F.lit("pose_quality"), number, F.lit("brightness"), bright))
+    one = F.struct(
+        F.lit("face-vectors").alias("model_key"), "vector", "norm", metadata.alias("metadata")
+    )
+    none = F.array().cast(
+        "array<struct<model_key:string,vector:array<float>,norm:double,metadata:map<string,string>>>"
+    )
+    return sample_boxes(spark, folder).select(
+        "asset_id",
+        "frame_order",
+        "sample_pos",
+        F.col("frame_order").cast("double").alias("time_seconds"),
+        F.lit(1.0).alias("frame_span"),
+        "score",
+        F.struct("x1", "y1", "x2", "y2").alias("bbox"),
+        F.lit("faces").alias("det_model"),
+        F.when(F.col("vector").isNotNull(), F.array(one)).otherwise(none).alias("embeddings"),
+    )
+
+
+@view(
+    """
+SELECT 'face-' || lpad((vec_id // 4)::VARCHAR, 6, '0') AS face_key, vec_id // 4 AS n,
+       CASE WHEN (vec_id // 4) % 3 = 0 THEN 'promoted' ELSE 'provisional' END AS lifecycle,
+       CASE WHEN (vec_id // 4) % 5 = 0 THEN 'ext-' || (min(label)) END AS reference_id,
+       list(embedding ORDER BY vec_id) AS anchors, min(vec_id) AS first_vec
+FROM embeddings GROUP BY vec_id // 4
+"""
+)
+def identities_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Identities: four consecutive vectors each (a bounded list by design)."""
+    n = F.col("n")
+    anchors = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    grouped = (
+        load(spark, folder, "embeddings")
+        .withColumn("n", F.expr("vec_id div 4"))
+        .groupBy("n")
+        .agg(anchors.alias("v"), F.min("label").alias("label_no"))
+    )
+    referenced = n % 5 == 0
+    reference = F.concat(F.lit("ext-"), F.col("label_no").cast("string"))
+    promoted = n % 3 == 0
+    return grouped.select(
+        F.concat(F.lit("face-"), F.lpad(n.cast("string"), 6, "0")).alias("face_key"),
+        F.lit(None).cast("string").alias("label"),
+        F.when(promoted, "promoted").otherwise("provisional").alias("lifecycle"),
+        F.when(promoted, "video-evidence").alias("promotion_reason"),
+        F.when(referenced, reference).alias("reference_id"),
+        F.when(referenced, reference).alias("reference_name"),
+        F.lit(None).cast("string").alias("reference_pack"),
+        (1 + n % 7).cast("bigint").alias("observation_count"),
+        (n % 11).cast("double").alias("quality"),
+        F.lit(None).cast("string").alias("cover_asset"),
+        F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("cover_box"),
+        F.lit(0.0).alias("cover_quality"),
+        F.array(F.concat(F.lit("v"), (n % 50).cast("string"))).alias("asset_ids"),
+        F.transform(
+            "v",
+            lambda x: F.struct(
+                F.lit("face-vectors").alias("model_key"),
+                (10 + x["vec_id"] % 9).cast("double").alias("quality"),
+                x["embedding"].alias("vector"),
+            ),
+        ).alias("anchors"),
+    )
+
+
+@view(
+    """
+SELECT vec_id AS vector_id, 'v' || ((vec_id // 3) % 50) AS asset_id, 't' || (vec_id // 3) AS track_key, embedding AS vector FROM embeddings
+"""
+)
+def track_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Track vectors: three consecutive vectors each."""
+    track = F.expr("vec_id div 3")
+    return load(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("vector_id"),
+        F.concat(F.lit("v"), (track % 50).cast("string")).alias("asset_id"),
+        F.concat(F.lit("t"), track.cast("string")).alias("track_key"),
+        F.col("embedding").alias("vector"),
+    )

@@ -25,8 +25,8 @@ def _clamp(value: Column, low: float, high: float) -> Column:
 
 def _measured(embedding: Column, name: str) -> Column:
     """Metadata number clamped to [0, 1]; null when missing or no number."""
-    text = F.trim(F.try_element_at(embedding["metadata"], F.lit(name)))
-    return _clamp(text.try_cast("double"), 0.0, 1.0)
+    number = F.trim(F.try_element_at(embedding["metadata"], F.lit(name))).try_cast("double")
+    return F.when(number.isNotNull(), _clamp(number, 0.0, 1.0))
 
 
 def metadata_quality(embedding: Column, name: str) -> Column:

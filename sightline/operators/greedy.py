@@ -75,12 +75,16 @@ def greedy_select(
     held_rows = source.select(
         *keys, F.col(vector).alias("_held"), F.lit(0).alias("_new")
     )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pool, picked = df, None
     while True:
         window = Window.partitionBy(*keys).orderBy(*order)
         best = pool.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= batch)
         chosen = cut_lineage(
-            best.groupBy(*keys).cogroup(renamed(held_rows).groupBy(*keys)).applyInPandas(choose, types)
+            best.repartition(parts, *keys)
+            .groupBy(*keys)
+            .cogroup(renamed(held_rows).repartition(parts, *keys).groupBy(*keys))
+            .applyInPandas(choose, types)
         )
         picked = chosen if picked is None else picked.unionByName(chosen)
         held_rows = held_rows.unionByName(

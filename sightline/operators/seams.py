@@ -60,6 +60,12 @@ def seam_scan(
     chunked = chunked.withColumn("_last", F.floor((F.col("_rows") - 1) / chunk_rows) == F.col(CHUNK))
     chunked = cut_lineage(chunked.drop("_rows"))
     grouping = [*keys, CHUNK]
+    # Chunks are small in bytes but heavy in Python work: a fixed number of
+    # partitions keeps adaptive execution from packing them into a few tasks.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spread(rows: DataFrame):
+        return rows.repartition(parts, *grouping).groupBy(*grouping)
 
     longest = chunked.agg(F.max(CHUNK)).first()[0]
     if not longest:
@@ -67,7 +73,7 @@ def seam_scan(
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return step(pdf.sort_values(order, kind="stable"), None, True)[0]
 
-        return chunked.groupBy(*grouping).applyInPandas(whole, schema)
+        return spread(chunked).applyInPandas(whole, schema)
 
     def run(pdf: pd.DataFrame, states: pd.DataFrame):
         pdf = pdf.sort_values(order, kind="stable")
@@ -90,10 +96,10 @@ def seam_scan(
 
     # Only keys cut into several chunks need their states settled.
     cut = chunked.filter(F.col(CHUNK) > 0).select(*keys).distinct()
-    multi = chunked.join(cut, keys, "left_semi").groupBy(*grouping)
+    multi = spread(chunked.join(cut, keys, "left_semi"))
     blank = chunked.select(*grouping).distinct().withColumn("state_in", F.lit(None).cast("binary"))
     states = cut_lineage(
-        multi.cogroup(renamed(blank).groupBy(*grouping)).applyInPandas(end_state, state_schema)
+        multi.cogroup(spread(renamed(blank))).applyInPandas(end_state, state_schema)
     )
     along = Window.partitionBy(*keys).orderBy(CHUNK)
     while True:
@@ -104,11 +110,11 @@ def seam_scan(
         if due.isEmpty():
             break
         rows = chunked.join(due.select(*grouping), grouping, "left_semi")
-        redone = rows.groupBy(*grouping).cogroup(renamed(due).groupBy(*grouping)).applyInPandas(
+        redone = spread(rows).cogroup(spread(renamed(due))).applyInPandas(
             end_state, state_schema
         )
         states = cut_lineage(states.join(due, grouping, "left_anti").unionByName(redone))
     settled = states.select(*grouping, "state_in")
     return (
-        chunked.groupBy(*grouping).cogroup(renamed(settled).groupBy(*grouping)).applyInPandas(output, schema)
+        spread(chunked).cogroup(spread(renamed(settled))).applyInPandas(output, schema)
     )

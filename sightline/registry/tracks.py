@@ -1 +1,199 @@
-"""Registered queries."""
+"""Track, cluster, keyframe and section queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightline import fixtures as fx
+from sightline.fixtures import with_views
+from sightline.functions import geometry
+from sightline.functions.quality import identity_score, sample_flags
+from sightline.operators import tracks
+from sightline.registry.base import query
+from sightline.registry.ingest import _slices
+from sightline.sources import payload
+
+_CLAMP = "greatest({low}, least({high}, {x}))"
+
+
+@query(
+    "box_geometry",
+    with_views(
+        "sample_boxes",
+        body="""
+WITH b AS (SELECT asset_id, frame_order, sample_pos, x1, y1, x2, y2, greatest(0, x2 - x1) * greatest(0, y2 - y1) AS area,
+   first_value(x1) OVER w AS a1, first_value(y1) OVER w AS b1, first_value(x2) OVER w AS a2, first_value(y2) OVER w AS b2
+   FROM sample_boxes WINDOW w AS (PARTITION BY asset_id ORDER BY frame_order, sample_pos)),
+o AS (SELECT *, greatest(0, least(x2, a2) - greatest(x1, a1)) * greatest(0, least(y2, b2) - greatest(y1, b1)) AS i FROM b)
+SELECT asset_id, frame_order, sample_pos, round(area, 6) AS area, round(x1 + (x2 - x1) / 2, 6) AS cx, round(y1 + (y2 - y1) / 2, 6) AS cy,
+  round(CASE WHEN area <= 1 THEN area * 10000 ELSE area END, 4) AS scaled, (x2 - x1) / (y2 - y1) BETWEEN 0.45 AND 1.8 AS plausible,
+  x2 <= 1.000001 AND y2 <= 1.000001 AS normalized, round(CASE WHEN i <= 0 THEN 0 ELSE i / (area + (a2 - a1) * (b2 - b1) - i) END, 6) AS iou FROM o""",
+    ),
+)
+def box_geometry(spark, folder):
+    """Each box against the first of its asset."""
+    boxes = fx.sample_boxes(spark, folder).withColumn("b", F.struct("x1", "y1", "x2", "y2"))
+    first = boxes.groupBy("asset_id").agg(F.min_by("b", F.struct("frame_order", "sample_pos")).alias("f"))
+    return boxes.join(first, "asset_id").select(
+        "asset_id",
+        "frame_order",
+        "sample_pos",
+        F.round(geometry.area("b"), 6).alias("area"),
+        F.round(geometry.center_x("b"), 6).alias("cx"),
+        F.round(geometry.center_y("b"), 6).alias("cy"),
+        F.round(geometry.scaled_area("b"), 4).alias("scaled"),
+        geometry.plausible_aspect("b").alias("plausible"),
+        geometry.is_normalized("b").alias("normalized"),
+        F.round(geometry.iou("b", "f"), 6).alias("iou"),
+    )
+
+
+@query(
+    "face_samples",
+    """
+WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'e' || event_id AS asset_id, vec_id IS NOT NULL AS has
+  FROM events LEFT JOIN embeddings ON vec_id = event_id WHERE event_type NOT IN ('error', 'signup'))
+SELECT asset_id, 1 AS frame_order, unnest([1, 2]) AS sample_pos, unnest([0, 2]) AS det_index, unnest([0.5, 0.0])::DOUBLE AS score, value AS time_seconds,
+  2.0::DOUBLE AS frame_span, unnest([0, CASE WHEN has THEN 1 ELSE 0 END]) AS vectors FROM e
+""",
+)
+def face_samples(spark, folder):
+    """Detections and vectors of the event payloads, put together."""
+    slices = _slices(spark, folder).filter(F.col("media_kind") == "video")
+    made = tracks.face_samples(slices, payload.explode_detections(slices), payload.explode_embeddings(slices))
+    return made.select(
+        "asset_id",
+        F.col("frame_order").cast("int").alias("frame_order"),
+        F.col("sample_pos").cast("int").alias("sample_pos"),
+        "det_index",
+        "score",
+        "time_seconds",
+        "frame_span",
+        F.size("embeddings").alias("vectors"),
+    )
+
+
+_QUALITY_SQL = """
+q AS (SELECT *, CASE WHEN (x2 - x1) * (y2 - y1) <= 1 THEN (x2 - x1) * (y2 - y1) * 10000 ELSE (x2 - x1) * (y2 - y1) END AS sarea,
+   CASE WHEN vector IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, pose)) END AS pq,
+   CASE WHEN vector IS NULL OR bright IS NULL THEN 1.0 ELSE greatest(0.25, least(1.0, 1 - abs(greatest(0.0, least(1.0, bright)) - 0.55) / 0.55)) END AS bq
+   FROM sample_boxes)
+"""
+
+
+@query(
+    "identity_score",
+    with_views(
+        "sample_boxes",
+        body="WITH " + _QUALITY_SQL + """
+SELECT asset_id, frame_order, sample_pos, round(score * CASE WHEN vector IS NULL THEN 1 ELSE greatest(1, norm) END * pq * least(24, sqrt(greatest(1, sarea))), 5) AS quality FROM q""",
+    ),
+)
+def identity_quality(spark, folder):
+    samples = fx.face_samples_view(spark, folder)
+    value = identity_score(F.col("score"), F.col("bbox"), F.col("embeddings"))
+    return samples.select("asset_id", "frame_order", "sample_pos", F.round(value, 5).alias("quality"))
+
+
+@query(
+    "sample_flags",
+    with_views(
+        "sample_boxes",
+        body="""
+SELECT asset_id, frame_order, sample_pos, score >= 0.3 AND norm >= 10 AS passes_hard, score >= 0.65 AND norm >= 18 AS passes_identity,
+  score >= 0.65 AND norm >= 18 AND (x2 - x1) * (y2 - y1) >= CASE WHEN (x2 - x1) * (y2 - y1) <= 1 THEN 0.01 ELSE 4096 END AS is_anchor FROM sample_boxes WHERE vector IS NOT NULL""",
+    ),
+)
+def flags(spark, folder):
+    rows = fx.face_samples_view(spark, folder).select(
+        "asset_id", "frame_order", "sample_pos", "score", "bbox", F.explode("embeddings").alias("e")
+    )
+    made = sample_flags(F.col("score"), F.col("bbox"), F.col("e.norm"))
+    return rows.select("asset_id", "frame_order", "sample_pos", *[c.alias(n) for n, c in made.items()])
+
+
+_COVER_SQL = _QUALITY_SQL + """,
+el AS (SELECT asset_id, generate_subscripts(vector, 1) AS pos, unnest(vector)::DOUBLE AS x, greatest(1e-6, score * greatest(1, norm)) AS w FROM q WHERE vector IS NOT NULL),
+m AS (SELECT asset_id, pos, sum(x * w) / sum(w) AS x FROM el GROUP BY ALL),
+c AS (SELECT asset_id, list(x ORDER BY pos) AS center FROM m GROUP BY asset_id),
+cover AS (SELECT q.*, score * greatest(0.35, least(2.25, sqrt(greatest(1, sarea)) / 10)) * pq * bq
+   * CASE WHEN center IS NULL THEN 1 ELSE greatest(0.55, least(1.0, 0.55 + 0.45 * CASE WHEN vector IS NULL THEN 0 ELSE greatest(0.0, least(1.0, list_cosine_similarity(vector::DOUBLE[], center))) END)) END
+   * greatest(0.35, least(1.15, ln(CASE WHEN vector IS NULL THEN 1 ELSE greatest(1, norm) END) / ln(32))) AS cq,
+   (x2 - x1) / (y2 - y1) BETWEEN 0.45 AND 1.8 AS plausible FROM q LEFT JOIN c USING (asset_id))
+"""
+
+
+@query(
+    "cover_score",
+    with_views(
+        "sample_boxes",
+        body="WITH " + _COVER_SQL + "SELECT asset_id, frame_order, sample_pos, round(cq, 4) AS cover_quality FROM cover",
+    ),
+)
+def cover_quality(spark, folder):
+    made = tracks.with_cover_score(fx.face_samples_view(spark, folder), ("asset_id",))
+    return made.select("asset_id", "frame_order", "sample_pos", F.round("cover_quality", 4).alias("cover_quality"))
+
+
+@query(
+    "best_sample",
+    with_views(
+        "sample_boxes",
+        body="WITH " + _COVER_SQL + """
+SELECT asset_id, frame_order, sample_pos, round(cq, 4) AS cover_quality FROM (SELECT *, row_number() OVER (PARTITION BY asset_id
+   ORDER BY NOT plausible, cq DESC, frame_order, sample_pos) AS i FROM cover) WHERE i = 1""",
+    ),
+)
+def best_cover(spark, folder):
+    made = tracks.best_sample(fx.face_samples_view(spark, folder), ("asset_id",))
+    return made.select("asset_id", "frame_order", "sample_pos", F.round("cover_quality", 4).alias("cover_quality"))
+
+
+def _tracked(spark, folder):
+    return tracks.build_tracks(fx.face_samples_view(spark, folder))
+
+
+@query("build_tracks")
+def build_tracks(spark, folder):
+    return _tracked(spark, folder).select("asset_id", "frame_order", "sample_pos", "track_key")
+
+
+@query("cluster_tracks")
+def cluster_tracks(spark, folder):
+    return tracks.cluster_tracks(_tracked(spark, folder))
+
+
+@query("cluster_report")
+def cluster_report(spark, folder):
+    return tracks.cluster_report(tracks.cluster_tracks(_tracked(spark, folder)))
+
+
+@query("representatives_by_quality")
+def representatives(spark, folder):
+    made = tracks.representatives_by_quality(
+        fx.face_samples_view(spark, folder).withColumn("track_key", F.lit("all"))
+    )
+    return made.select("asset_id", "frame_order", "sample_pos", "quality", "is_anchor")
+
+
+@query("select_keyframes")
+def keyframes(spark, folder):
+    made = tracks.select_keyframes(fx.face_samples_view(spark, folder), ("asset_id",))
+    return made.select("asset_id", "frame_order", "sample_pos", "time_seconds", "role")
+
+
+@query("visual_sections")
+def sections(spark, folder):
+    """Vectors of one label in id order as one video."""
+    frames = fx.load(spark, folder, "embeddings").select(
+        F.col("label").alias("asset_id"),
+        F.lit("visual.feature.v1").alias("kind"),
+        F.lit("visual").alias("model_key"),
+        F.floor(F.col("vec_id") / 4).cast("double").alias("time_seconds"),
+        F.col("vec_id").alias("item_pos"),
+        F.lit(1.0).alias("frame_span"),
+        # Half the numbers are shared, so that neighbours resemble each other.
+        F.transform("embedding", lambda x, i: F.when(i < 48, F.lit(1.0)).otherwise(x).cast("float")).alias("vector"),
+    )
+    made = tracks.visual_sections(frames)
+    return made.select("asset_id", "section_index", "start_seconds", "end_seconds", "frame_count", F.round("norm", 4).alias("norm"))
