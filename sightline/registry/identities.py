@@ -18,9 +18,9 @@ _LOOSE = IDENTITY.__class__(match=0.30, same_asset_relaxation=0.07, ambiguity=0.
 
 _PAIR_SQL = """
 t AS (SELECT asset_id, track_key, vector_id, vector FROM track_vectors),
-a AS (SELECT face_key, reference_id, n, unnest(anchors) AS anchor, generate_subscripts(anchors, 1) AS at FROM identities_view),
-s AS (SELECT t.asset_id, t.track_key, t.vector_id, a.face_key, a.at, list_cosine_similarity(t.vector::DOUBLE[], a.anchor::DOUBLE[]) AS c FROM t, a),
-near AS (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY round(1 - c, 9), face_key || '#' || (at - 1)) AS r FROM s),
+a AS (SELECT face_key, reference_id, n, unnest(anchors) AS anchor, generate_subscripts(anchors, 1) AS place FROM identities_view),
+s AS (SELECT t.asset_id, t.track_key, t.vector_id, a.face_key, a.place, list_cosine_similarity(t.vector::DOUBLE[], a.anchor::DOUBLE[]) AS c FROM t, a),
+near AS (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY round(1 - c, 9), face_key || '#' || (place - 1)) AS r FROM s),
 pairs AS (SELECT DISTINCT asset_id, track_key, face_key FROM near WHERE r <= 20),
 best AS (SELECT asset_id, track_key, face_key, vector_id, max(c) AS c FROM s GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY asset_id, track_key, face_key ORDER BY c DESC) AS i FROM best),
@@ -67,7 +67,7 @@ top AS (SELECT s.*, i.n, i.reference_id, row_number() OVER (PARTITION BY asset_i
 chosen AS (SELECT * FROM top WHERE i = 1 AND score >= CASE WHEN 'v' || (n % 50) = asset_id THEN 0.30 - 0.07 ELSE 0.30 END),
 rivals AS (SELECT c.asset_id, c.track_key, c.face_key, c.reference_id AS lr, t.face_key AS rival, t.reference_id AS rr FROM chosen c JOIN top t USING (asset_id, track_key)
    WHERE t.face_key <> c.face_key AND c.score - t.score < 0.05),
-cmp AS (SELECT r.face_key, r.rival, l.at, max(greatest(0.0, least(1.0, list_cosine_similarity(l.anchor::DOUBLE[], x.anchor::DOUBLE[])))) AS c
+cmp AS (SELECT r.face_key, r.rival, l.place, max(greatest(0.0, least(1.0, list_cosine_similarity(l.anchor::DOUBLE[], x.anchor::DOUBLE[])))) AS c
    FROM (SELECT DISTINCT face_key, rival FROM rivals) r JOIN a l ON l.face_key = r.face_key JOIN a x ON x.face_key = r.rival GROUP BY ALL),
 cmp2 AS (SELECT face_key, rival, avg(c) AS score FROM (SELECT *, row_number() OVER (PARTITION BY face_key, rival ORDER BY c DESC) AS i FROM cmp) WHERE i <= 2 GROUP BY ALL),
 blocked AS (SELECT DISTINCT asset_id, track_key FROM rivals JOIN cmp2 USING (face_key, rival)

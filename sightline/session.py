@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
     context.addPyFile(archive)
     context._sightline_shipped = True
     return spark
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder every executor can reach, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
