@@ -145,7 +145,6 @@ def promote_by_evidence(spark, folder):
     )
 
 
-@query("consolidate")
 def consolidate(spark, folder):
     """Merge map of all identities at the loose threshold."""
     cfg = IDENTITY.__class__(
@@ -406,7 +405,6 @@ def purge(spark, folder):
     return ident.purge(people, face_keys=gone).select("face_key", "observation_count")
 
 
-@query("prepare_faces")
 def prepare(spark, folder):
     """The whole face path over every sample: evidence rows per kind and asset."""
     samples = fx.face_samples_view(spark, folder)
