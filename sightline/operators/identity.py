@@ -450,8 +450,10 @@ def merge_proposals(identities: DataFrame, pairs: DataFrame, cfg: IdentitySettin
     the best. Conflicting references never pair.
     """
     l, r = _struct_fields("_l"), _struct_fields("_r")
+    # Scoring is heavy for its bytes: keep the pairs spread over the tasks.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = (
-        _sides(pairs, identities)
+        _sides(pairs.repartition(parts), identities)
         .filter(~_conflict(l["reference_id"], r["reference_id"]))
         .withColumns(
             {
