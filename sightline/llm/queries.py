@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import sharding, url_filter
+from sightline.llm import matroska, sharding, url_filter
 from sightline.llm.common import table
 from sightline.registry.base import query
+from sightline.session import scratch_dir
 
+OP4_COLUMNS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 _OP2_SQL = r"""
@@ -55,3 +57,15 @@ def op6_consistent_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+
+@query("op4_matroska_media")
+def op4_matroska_media(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts stored as Matroska files in a media table, read back as packets."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    stored = f"{scratch_dir(spark, 'media')}/files"
+    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    matroska.with_media(sized).select("doc_id", "n_bytes", "media").write.option("compression", "zstd").parquet(stored)
+    back = spark.read.parquet(stored).select(F.struct("doc_id", "n_bytes").alias("doc"), "media")
+    return matroska.features(back, "doc").select("doc.doc_id", "doc.n_bytes", *OP4_COLUMNS)
