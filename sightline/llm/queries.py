@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import matroska, sharding, url_filter
+from sightline.llm import matroska, sharding, simhash, token_files, url_filter
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -31,6 +31,13 @@ FROM p LEFT JOIN (SELECT * FROM fits WHERE rn = 1) f ON p.page_id = f.page_id
 """
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; every machine has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op2_url_filter", _OP2_SQL)
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's verdict; a url that no rule fits is allowed."""
@@ -69,3 +76,20 @@ def op4_matroska_media(spark: SparkSession, folder: str) -> DataFrame:
     matroska.with_media(sized).select("doc_id", "n_bytes", "media").write.option("compression", "zstd").parquet(stored)
     back = spark.read.parquet(stored).select(F.struct("doc_id", "n_bytes").alias("doc"), "media")
     return matroska.features(back, "doc").select("doc.doc_id", "doc.n_bytes", *OP4_COLUMNS)
+
+
+@query("op3_orc_token_files")
+def op3_orc_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's ids from the ORC files they were written to."""
+    files = f"{scratch_dir(spark, 'tokens')}/files"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    token_files.write(docs, files, tokenizer("byte_bpe_50k.json"), end=2, parts=parts)
+    return token_files.index(spark, files)
+
+
+@query("op8_simhash_near_duplicates")
+def op8_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and class of near duplicates."""
+    found = simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
