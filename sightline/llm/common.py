@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sightline.session import scratch_dir
+
 #: White space as the contracts define it: blank, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Text handed to one numpy step; keeps a Python worker's memory independent of the Arrow batch.
@@ -87,3 +89,15 @@ def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
 
 def record(names: Sequence[str], arrays: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], list(names))
+
+
+def rewritten(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written beside the checkpoints and read back.
+
+    Like a checkpoint, but the plan also forgets how the rows were dealt out:
+    a join that follows shuffles both sides anew, so that adaptive planning
+    can split a hot key.
+    """
+    spark, folder = df.sparkSession, f"{scratch_dir(df.sparkSession, name)}/rows"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
