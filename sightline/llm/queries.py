@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import line_dedup, matroska, sharding, simhash, token_files, url_filter
+from sightline.llm import line_dedup, matroska, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -113,3 +113,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines found in ten documents or more."""
     cut = line_dedup.dedup_lines(table(spark, folder, "documents", "doc_id", "text"), least=10, shortest=1)
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_word_bpe_round_trip")
+def op9_word_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded through a lexicon of the corpus's frequent words, and decoded again."""
+    docs, path = table(spark, folder, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json")
+    return word_bpe.round_trip(docs, path, word_bpe.lexicon_of(docs, path))
