@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import line_dedup, matroska, sharding, simhash, token_files, url_filter, word_bpe
+from sightline.llm import language, line_dedup, matroska, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -120,3 +120,11 @@ def op9_word_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded through a lexicon of the corpus's frequent words, and decoded again."""
     docs, path = table(spark, folder, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json")
     return word_bpe.round_trip(docs, path, word_bpe.lexicon_of(docs, path))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's language; learned from the labelled documents outside the held-out fold."""
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
