@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import language, line_dedup, matroska, sharding, simhash, token_files, url_filter, word_bpe
+from sightline.llm import language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -128,3 +128,9 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_paragraph_dedup")
+def op10_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage that repeats across documents."""
+    return paragraphs.passages(table(spark, folder, "documents", "doc_id", "text"))
