@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
+from sightline.llm import decontaminate, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -134,3 +134,10 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op10_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every passage that repeats across documents."""
     return paragraphs.passages(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that contains a benchmark item, with the item and its edits."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, folder, "benchmark", "item_id", "text"))
