@@ -134,8 +134,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     whole = Window.partitionBy("label").orderBy("at", "key")
     some = ids.withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= per_language)
     some = some.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= per_language)
+    texts = docs.select(F.col(key).alias("key"), F.col(lang).alias("label"), F.col(text).alias("text"))
     # At most per_language rows of each language: a bounded side.
-    sample = docs.join(F.broadcast(some.select("key", "label")), (F.col(key) == F.col("key")) & (F.col(lang) == F.col("label")))
+    sample = texts.join(F.broadcast(some.select("key", "label")), ["key", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +149,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     yield record(["label", "at", "found"], [batch.column(0).take(pa.array([at + i for i in keep])),
                         batch.column(2).take(pa.array([at + i for i in keep])), [row.tobytes() for row in found]])
 
-    rows = sample.select("label", text, F.xxhash64(key)).mapInArrow(run, "label string, at bigint, found binary").toPandas()
+    rows = sample.select("label", "text", F.xxhash64("key")).mapInArrow(run, "label string, at bigint, found binary").toPandas()
     rows = rows.sort_values(["label", "at"], kind="stable")
     languages = tuple(sorted(rows["label"].unique()))
     if not languages:

@@ -195,8 +195,9 @@ def dedup_lines(
     least: int = 10,
     shortest: int = 1,
     keep: str = "none",
+    added: tuple[str, str, str] = ("kept", "n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with the columns ``kept`` (text), ``n_lines`` and ``n_dropped`` added.
+    """``docs`` with the columns ``kept`` (text), ``n_lines`` and ``n_dropped`` (or as ``added`` names them).
 
     A line's key is the line stripped of blanks at both ends, A-Z in lower
     case. Keys of at least ``shortest`` code points found in ``least``
@@ -211,8 +212,7 @@ def dedup_lines(
     """
     if keep not in ("none", "first"):
         raise ValueError("keep must be 'none' or 'first'")
-    added = ("kept", "n_lines", "n_dropped")
-    rest = [c for c in docs.columns if c.lower() not in added]
+    rest = [c for c in docs.columns if c.lower() not in map(str.lower, added)]
     docs = docs.select(*map(quoted, rest))
     d1, d2, drops = (fresh(docs, n) for n in ("d1", "d2", "drops"))
     # What a row is known by: two 64-bit hashes of its key and text. Rows alike in both lose the same lines.
@@ -247,5 +247,5 @@ def dedup_lines(
     marked = docs.select("*", marks[0].alias(d1), marks[1].alias(d2)).join(lists, [d1, d2], "left")
     schema = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in rest)
     return marked.select(*map(quoted, rest), drops).mapInArrow(
-        _cut(rest.index(text), [*rest, *added]), f"{schema}, kept string, n_lines bigint, n_dropped bigint"
+        _cut(rest.index(text), [*rest, *added]), ", ".join([schema, *(f"{quoted(c)} {kind}" for c, kind in zip(added, ("string", "bigint", "bigint")))])
     )

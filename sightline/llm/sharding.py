@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sightline.llm.common import quoted
 from sightline.session import cut_lineage
 
 
@@ -111,31 +112,27 @@ def assign(docs: DataFrame, key: str, shards: int, points: int = 128) -> DataFra
     begun = numbers(starts[:-1], "int")
     at = F.xxhash64(F.col(key))
     cell = (F.shiftright(at, 64 - lead) + F.lit(1 << (lead - 1))).cast("int")
-    hashed = docs.select(*others, at.alias("_at"), F.element_at(begun, cell + 1).alias("_first"))
-    within = sum((F.element_at(table, F.col("_first") + 1 + i) < F.col("_at")).cast("int") for i in range(widest))
-    placed = cut_lineage(
-        hashed.select(*others, "_at", ((F.col("_first") + within) % len(nodes)).cast("int").alias("_arc"))
-    )
-    counts = {r["_arc"]: r["count"] for r in placed.groupBy("_arc").count().collect()}  # at most shards x points rows
-    rows = sum(counts.values())
-    pieces = settle(counts, nodes, capacities(rows, shards))
+    # The rows are known by their position, their arc and the rest as one value: no name of theirs can clash.
+    hashed = docs.select(F.struct(*map(quoted, others)).alias("row"), at.alias("at"), F.element_at(begun, cell + 1).alias("first"))
+    within = sum((F.element_at(table, F.col("first") + 1 + i) < F.col("at")).cast("int") for i in range(widest))
+    placed = cut_lineage(hashed.select("row", "at", ((F.col("first") + within) % len(nodes)).cast("int").alias("arc")))
+    counts = {r["arc"]: r["count"] for r in placed.groupBy("arc").count().collect()}  # at most shards x points rows
+    pieces = settle(counts, nodes, capacities(sum(counts.values()), shards))
     filled = [0] * shards
     by_arc: dict[int, list[tuple[int, int, int]]] = {}
     for arc, first, number, shard in sorted(pieces):
         by_arc.setdefault(arc, []).append((first, shard, filled[shard]))
         filled[shard] += number
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
+    plan = docs.sparkSession.createDataFrame(
         [(arc, [f for f, _, _ in own], [s for _, s, _ in own], [b for _, _, b in own]) for arc, own in by_arc.items()],
-        "_arc int, _firsts array<bigint>, _shards array<int>, _bases array<bigint>",
+        "arc int, firsts array<bigint>, shards array<int>, bases array<bigint>",
     )
-    order = Window.partitionBy("_arc").orderBy("_at", *others)
-    ranked = placed.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("at", "row")).cast("long") - 1)
     # Pieces of an arc: at most a few; the last that begins at or before the rank is the row's own.
-    joined = ranked.join(F.broadcast(plan), "_arc")
-    own = F.size(F.filter("_firsts", lambda f: f <= F.col("_rank")))
-    return joined.withColumn("_own", own).select(
-        *others,
-        F.element_at("_shards", F.col("_own")).alias("shard"),
-        (F.element_at("_bases", F.col("_own")) + F.col("_rank") - F.element_at("_firsts", F.col("_own"))).alias("slot"),
+    joined = ranked.join(F.broadcast(plan), "arc")
+    own = F.size(F.filter("firsts", lambda f: f <= F.col("rank")))
+    return joined.withColumn("own", own).select(
+        "row.*",
+        F.element_at("shards", F.col("own")).alias("shard"),
+        (F.element_at("bases", F.col("own")) + F.col("rank") - F.element_at("firsts", F.col("own"))).alias("slot"),
     )

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import fresh, quoted
 from sightline.session import cut_lineage
 
 #: Hash functions of a level, and bits for each key of a level.
@@ -136,8 +137,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     ``rules`` has ``host``, ``path`` and ``verdict`` (``block`` or ``allow``);
     a rule listed under both is an error of the list and counts as ``block``.
-    The longest fitting rule decides; a url that no rule fits gets ``default``:
-    a list of names lets pass what it doesn't name. A null url, or one
+    The longest fitting rule decides, of two equally long ones the one that
+    blocks; a url that no rule fits gets ``default``: a list of names lets
+    pass what it doesn't name. A null url, or one
     without ``://``, has an empty host and path and fits no rule. Columns of
     ``pages`` called like the added ones are replaced.
     """
@@ -146,7 +148,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     )
     lengths = [r["length"] for r in listed.select("length").distinct().collect()]  # as many as paths are long
     added = ("host", "path", "rule", "verdict")
-    rest = [c for c in pages.columns if c.lower() not in added]
+    rest = [quoted(c) for c in pages.columns if c.lower() not in added]
     split = pages.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     universe = split.select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     cascades = {v: build(listed.filter(F.col("verdict") == v), universe) for v in ("block", "allow")}
@@ -158,15 +160,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
             fits, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a)
         )
 
-    found = split.select(*rest, "host", "path", longest("block").alias("_block"), longest("allow").alias("_allow"))
-    blocked = F.col("_allow").isNull() | (F.length("_block") >= F.length("_allow"))
+    block, allow = fresh(pages, "block"), fresh(pages, "allow")
+    found = split.select(*rest, "host", "path", longest("block").alias(block), longest("allow").alias(allow))
+    blocked = F.col(allow).isNull() | (F.length(block) >= F.length(allow))
     return found.select(
         *rest,
         "host",
         "path",
-        F.when(F.col("_block").isNotNull() & blocked, F.col("_block")).otherwise(F.col("_allow")).alias("rule"),
-        F.when(F.col("_block").isNotNull() & blocked, F.lit("block"))
-        .when(F.col("_allow").isNotNull(), F.lit("allow"))
+        F.when(F.col(block).isNotNull() & blocked, F.col(block)).otherwise(F.col(allow)).alias("rule"),
+        F.when(F.col(block).isNotNull() & blocked, F.lit("block"))
+        .when(F.col(allow).isNotNull(), F.lit("allow"))
         .otherwise(F.lit(default))
         .alias("verdict"),
     )
