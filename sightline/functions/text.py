@@ -34,10 +34,3 @@ def normalize_path(value: Column | str) -> Column:
 
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
-
-
-def name_bucket(value: Column | str) -> Column:
-    """First two bytes as a number: does not decrease along binary string order."""
-    head = F.hex(F.encode(F.substring(_col(value), 1, 2), "UTF-8"))
-    padded = F.rpad(F.substring(head, 1, 4), 4, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("bigint"), F.lit(0))

@@ -20,7 +20,7 @@ from sightline.operators.centroids import centroid
 from sightline.operators.graph import close_merge_map
 from sightline.operators.greedy import greedy_select
 from sightline.operators.knn import best_groups, nearest
-from sightline.operators.ordered import bucketed_scan, first_by, top_k
+from sightline.operators.ordered import RANGE, bucketed_scan, first_by, ranged, top_k
 from sightline.session import cut_lineage
 
 PROMOTED, PROVISIONAL = "promoted", "provisional"
@@ -202,13 +202,9 @@ def create_identities(tracks: DataFrame, next_ordinal: int) -> DataFrame:
     ``tracks`` (asset_id, track_key, track_quality, cover_box, reference_id,
     reference_name, reference_pack).
     """
-    ranked = bucketed_scan(
-        tracks.withColumn("_all", F.lit(0)),
-        ["_all"],
-        F.coalesce(F.conv(F.substring(F.rpad(F.hex(F.encode(F.col("asset_id").cast("string"), "UTF-8")), 4, "0"), 1, 4), 16, 10).cast("bigint"), F.lit(0)),
-        [F.col("asset_id").cast("string"), F.col("track_key")],
-        rank="_rank",
-    )
+    order = [F.col("asset_id").cast("string"), F.col("track_key")]
+    every = ranged(tracks.withColumn("_all", F.lit(0)), order)
+    ranked = bucketed_scan(every, ["_all"], F.col(RANGE), order, rank="_rank", hot=True)
     number = F.col("_rank") + F.lit(next_ordinal - 1)
     padded = F.when(number < 10000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
     none = F.lit(None)

@@ -339,7 +339,7 @@ def _last(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType.simpleString()
     if kind == "string":
         return F.lit("\U0010ffff")
-    return F.lit(float("inf")) if kind in ("double", "float") else F.lit((1 << 31) - 1)
+    return F.lit(float("inf")) if kind in ("double", "float") else F.lit((1 << 63) - 1 if kind == "bigint" else (1 << 31) - 1)
 
 
 def _prepared(queries, corpus, query_id, query_vector, vector, match_on, carried):

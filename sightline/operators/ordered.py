@@ -1,7 +1,7 @@
 """Ordered operators that do not put one key into one task.
 
-A plain window over a key sorts all of its rows in one task. Here rows of a
-key are first split into buckets that follow the order (time slots or value
+A plain window over a key sorts all of its rows in one task. Where a key is
+too large for that, its rows are first split into buckets that follow the order (time slots or value
 ranges); the window runs inside a bucket, and a second window over one summary
 row per bucket carries what came before. Results equal the plain window.
 """
@@ -13,7 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.session import cut_lineage
+
 BUCKET = "_bucket"
+RANGE = "_range"
 
 
 def time_bucket(seconds: Column | str, width: float = 600.0) -> Column:
@@ -22,22 +25,26 @@ def time_bucket(seconds: Column | str, width: float = 600.0) -> Column:
     return F.floor(value / F.lit(float(width))).cast("bigint")
 
 
-def range_buckets(df: DataFrame, column: str, buckets: int = 64) -> Column:
-    """Order-preserving bucket from approximate quantiles of a numeric column.
+#: Rows of one key that a plain window may sort in one task.
+HOT_ROWS = 1_000_000
+
+
+def has_hot_key(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> bool:
+    """Whether a key holds more than ``rows`` rows: one aggregate over the keys alone."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (largest or 0) > rows
 
-    Only the boundaries (at most ``buckets`` numbers) reach the driver. The
-    boundaries decide balance, never the result.
+
+def ranged(df: DataFrame, order: Sequence[Column | str], bucket: str = RANGE) -> DataFrame:
+    """``df`` with an order-preserving bucket: the number of its sampled range.
+
+    Spark samples the bounds, which works for any type that sorts and decides
+    balance, never the result. Equal values share a bucket.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    edges = df.approxQuantile(column, shares, 0.5 / buckets) if shares else []
-    cuts = sorted(set(edges))
-    if not cuts:
-        return F.lit(0).cast("bigint")
-    below = [F.when(F.col(column) > F.lit(edge), 1).otherwise(0) for edge in cuts]
-    total = below[0]
-    for flag in below[1:]:
-        total = total + flag
-    return total.cast("bigint")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order)
+    # Written out: the bounds are drawn anew whenever a plan runs.
+    return cut_lineage(dealt.withColumn(bucket, F.spark_partition_id().cast("bigint")))
 
 
 def bucketed_scan(
@@ -51,6 +58,7 @@ def bucketed_scan(
     running_sum: Mapping[str, str] | None = None,
     running_max_before: Mapping[str, str] | None = None,
     group_rows: str | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add ordered columns over ``keys``.
 
@@ -58,12 +66,21 @@ def bucketed_scan(
     ``running_sum``: inclusive cumulative sum. ``running_max_before``: maximum
     over the rows before this one (null on the first). ``group_rows``: number
     of rows of the key. ``bucket`` must not decrease along ``order``, and
-    ``order`` must be total within a key.
+    ``order`` must be total within a key. Null keys are a key of their own.
+
+    Without a hot key these are plain windows, which neighbouring scans over
+    the same keys share one shuffle for; with one, the key's buckets are
+    scanned apart. The rows are the same. ``hot`` states which, where the
+    caller has measured it (``has_hot_key``); otherwise it is measured here.
     """
     keys = list(keys)
     lag, running_sum = dict(lag or {}), dict(running_sum or {})
     running_max_before = dict(running_max_before or {})
     order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if hot is None:
+        hot = has_hot_key(df, keys)
+    if not hot:
+        return _plain_scan(df, keys, order, rank, lag, running_sum, running_max_before, group_rows)
     local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,7 +92,8 @@ def bucketed_scan(
         columns[f"_sum_{name}"] = F.sum(source).over(upto)
     for name, source in running_max_before.items():
         columns[f"_max_{name}"] = F.max(source).over(before)
-    scanned = df.withColumn(BUCKET, bucket).withColumns(columns)
+    # Written out once: the summary and the rows both read it, and nested scans don't repeat what lies below.
+    scanned = cut_lineage(df.withColumn(BUCKET, bucket).withColumns(columns))
 
     facts = [F.max("_rank").alias("_n")]
     facts += [F.max_by(F.struct(s), F.col("_rank")).alias(f"_last_{n}") for n, s in lag.items()]
@@ -94,9 +112,11 @@ def bucketed_scan(
         carried[f"_floor_{name}"] = F.max(f"_top_{name}").over(earlier)
     if group_rows:
         carried[group_rows] = F.sum("_n").over(Window.partitionBy(*keys))
-    carry = summary.withColumns(carried).select(*keys, BUCKET, *carried)
+    mine = [F.col(k).alias(f"_key{i}") for i, k in enumerate([*keys, BUCKET])]
+    carry = summary.withColumns(carried).select(*mine, *carried)
 
-    joined = scanned.join(carry, [*keys, BUCKET])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate([*keys, BUCKET])]
+    joined = scanned.join(carry, same)
     out = {}
     if rank:
         out[rank] = F.col("_rank") + F.col("_offset")
@@ -112,6 +132,21 @@ def bucketed_scan(
     return joined.withColumns(out).select(*df.columns, *out, *extra)
 
 
+def _plain_scan(df, keys, order, rank, lag, running_sum, running_max_before, group_rows) -> DataFrame:
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    out = {}
+    if rank:
+        out[rank] = F.row_number().over(whole).cast("bigint")
+    out |= {name: F.lag(source).over(whole) for name, source in lag.items()}
+    out |= {name: F.sum(source).over(upto) for name, source in running_sum.items()}
+    out |= {name: F.max(source).over(before) for name, source in running_max_before.items()}
+    if group_rows:
+        out[group_rows] = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return df.withColumns(out)
+
+
 def top_k(
     df: DataFrame,
     keys: Sequence[str],

@@ -21,6 +21,7 @@ from sightline.operators.knn import nearest, nearest_per_group
 from sightline.operators.ordered import first_by, time_bucket, top_k
 from sightline.operators.search import best_per_host
 from sightline.operators.timeline import interval_weights, merge_intervals, representatives
+from sightline.session import cut_lineage
 
 MATCH_ON = ("kind", "kind_family", "modality", "is_semantic", "source_key")
 OVERALL_VISUAL, OVERALL_SEMANTIC = "overall_visual", "overall_semantic"
@@ -28,6 +29,7 @@ PART_VISUAL, PART_SEMANTIC = "part_visual", "part_semantic"
 # Order in which roles take turns in the diversified result.
 ROLE_TURNS = (PART_VISUAL, OVERALL_VISUAL, OVERALL_SEMANTIC, PART_SEMANTIC)
 _QUERY = ("asset_id", "query_pos", "role", "weight", "scope", *MATCH_ON, "vector")
+from sightline.session import cut_lineage
 
 
 def _visual(embeddings: DataFrame) -> DataFrame:
@@ -142,21 +144,29 @@ def _section_vectors(sections: DataFrame, intervals: DataFrame, keys: Sequence[s
     return mean.unionByName(closest)
 
 
-def segment_queries(embeddings: DataFrame, intervals: DataFrame) -> DataFrame:
+def segment_queries(
+    embeddings: DataFrame,
+    intervals: DataFrame,
+    interval_limit: int | None = SEARCH.interval_limit,
+    part_limit: int = SEARCH.part_queries,
+) -> DataFrame:
     """Query vectors for time ranges of videos (asset_id, start_seconds,
     end_seconds): one over all ranges per kind, and where there are several
-    ranges, one per evenly spaced range.
+    ranges, one per evenly spaced range. ``interval_limit`` ranges of an asset
+    count, evenly spaced (``None``: all); ``part_limit`` get a query.
     """
     sections = (
         _visual(embeddings)
         .filter((F.col("host_type") == "video") & (F.col("section_index") > 0))
         .withColumn("asset_id", F.col("host_id"))
     )
-    merged = merge_intervals(intervals, ["asset_id"], SEARCH.interval_limit)
+    # Six branches follow: merged once, and small from here on.
+    merged = cut_lineage(merge_intervals(intervals, ["asset_id"], interval_limit))
     counts = merged.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_n"))
     whole = merged.withColumn("part", F.lit(0))
     few = representatives(
-        merged, ["asset_id"], ["start_seconds"], SEARCH.part_queries, time_bucket("start_seconds")
+        merged, ["asset_id"], ["start_seconds"], part_limit, time_bucket("start_seconds"),
+        hot=None if interval_limit is None else False,
     )
     turn = F.row_number().over(Window.partitionBy("asset_id").orderBy("start_seconds"))
     parts = few.withColumn("part", turn).join(

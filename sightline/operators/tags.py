@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.text import clean, is_blank, key_of, name_bucket
-from sightline.operators.ordered import bucketed_scan, first_by
+from sightline.functions.text import clean, is_blank, key_of
+from sightline.operators.ordered import RANGE, bucketed_scan, first_by, ranged
 from sightline.operators.timeline import confidence_floor
 
 
@@ -67,7 +67,7 @@ def upsert_tags(dimension: DataFrame, names: DataFrame) -> DataFrame:
     )
     top = dimension.agg(F.coalesce(F.max("tag_id"), F.lit(0)).cast("bigint").alias("_top"))
     top = top.withColumn("_all", F.lit(0))
-    numbered = bucketed_scan(fresh, ["_all"], name_bucket("name"), ["name"], rank="_rank")
+    numbered = bucketed_scan(ranged(fresh, ["name"]), ["_all"], F.col(RANGE), ["name"], rank="_rank", hot=True)
     added = numbered.join(top, "_all").select(
         (F.col("_top") + F.col("_rank")).cast("bigint").alias("tag_id"), "name"
     )

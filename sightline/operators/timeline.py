@@ -16,7 +16,7 @@ from sightline.config import (
     VOICE_FLOOR,
     VOICE_SOUND_TYPES,
 )
-from sightline.operators.ordered import bucketed_scan, time_bucket
+from sightline.operators.ordered import bucketed_scan, has_hot_key, time_bucket
 
 # Buckets of slices without a time sort before all timed ones.
 _UNTIMED = -(1 << 40)
@@ -33,14 +33,14 @@ def confidence_floor(df: DataFrame, floor: float = TAG_CONFIDENCE_FLOOR) -> Data
     return df.filter(F.coalesce(F.col("confidence") >= floor, F.lit(True)))
 
 
-def frame_ordinals(slices: DataFrame) -> DataFrame:
+def frame_ordinals(slices: DataFrame, hot: bool | None = None) -> DataFrame:
     """``frame_ordinal`` of each slice of an asset, counting empty slices."""
     order = [
         F.asc_nulls_first("time_seconds"),
         F.asc_nulls_first("slice_index"),
         F.col("slice_pos"),
     ]
-    return bucketed_scan(slices, ["asset_id"], slice_bucket(), order, rank="frame_ordinal")
+    return bucketed_scan(slices, ["asset_id"], slice_bucket(), order, rank="frame_ordinal", hot=hot)
 
 
 def tag_segments(slices: DataFrame, predictions: DataFrame, span: Column | None = None) -> DataFrame:
@@ -51,7 +51,8 @@ def tag_segments(slices: DataFrame, predictions: DataFrame, span: Column | None
     run breaks when the next slice lacks the tag, whatever the time between.
     """
     span = F.coalesce(F.col("frame_interval"), F.lit(DEFAULT_SLICE_SPAN)) if span is None else span
-    placed = frame_ordinals(slices).select(
+    hot = has_hot_key(slices, ["asset_id"])  # a run's key holds at most one row for each slice of its asset
+    placed = frame_ordinals(slices, hot).select(
         "asset_id",
         "slice_pos",
         "frame_ordinal",
@@ -68,7 +69,7 @@ def tag_segments(slices: DataFrame, predictions: DataFrame, span: Column | None
         .join(placed, ["asset_id", "slice_pos"])
     )
     ranked = bucketed_scan(
-        per_slice, key, F.floor(F.col("frame_ordinal") / 1000), ["frame_ordinal"], rank="_rank"
+        per_slice, key, F.floor(F.col("frame_ordinal") / 1000), ["frame_ordinal"], rank="_rank", hot=hot
     )
     runs = ranked.groupBy(*key, (F.col("frame_ordinal") - F.col("_rank")).alias("_run")).agg(
         F.min_by("_time", "frame_ordinal").alias("start_seconds"),
@@ -95,6 +96,7 @@ def infer_frame_span(slices: DataFrame) -> DataFrame:
     """
     stated = slices.groupBy("asset_id").agg(F.max("frame_interval").alias("_stated"))
     times = slices.filter(F.col("time_seconds").isNotNull()).select("asset_id", "time_seconds")
+    hot = has_hot_key(times, ["asset_id"])
     gaps = (
         bucketed_scan(
             times.distinct(),
@@ -102,6 +104,7 @@ def infer_frame_span(slices: DataFrame) -> DataFrame:
             time_bucket("time_seconds"),
             ["time_seconds"],
             lag={"_before": "time_seconds"},
+            hot=hot,
         )
         .withColumn("_gap", F.col("time_seconds") - F.col("_before"))
         .filter(F.col("_gap") > 0)
@@ -109,7 +112,7 @@ def infer_frame_span(slices: DataFrame) -> DataFrame:
     counts = gaps.groupBy("asset_id", "_gap").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy("asset_id").agg(F.sum("_n").alias("_total"))
     running = bucketed_scan(
-        counts, ["asset_id"], time_bucket("_gap", 1.0), ["_gap"], running_sum={"_upto": "_n"}
+        counts, ["asset_id"], time_bucket("_gap", 1.0), ["_gap"], running_sum={"_upto": "_n"}, hot=hot
     )
     median = (
         running.join(totals, "asset_id")
@@ -134,11 +137,12 @@ def representatives(
     order: Sequence[Column | str],
     limit: int,
     bucket: Column,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Evenly spaced rows, at most ``limit`` per key, first and last included."""
     if limit <= 0:
         return df.limit(0)
-    ranked = bucketed_scan(df, keys, bucket, order, rank="_rank", group_rows="_rows")
+    ranked = bucketed_scan(df, keys, bucket, order, rank="_rank", group_rows="_rows", hot=hot)
     step = (F.col("_rows") - 1) / F.lit(float(max(limit - 1, 1)))
     wanted = F.transform(
         F.sequence(F.lit(0), F.lit(limit - 1)),
@@ -148,13 +152,16 @@ def representatives(
     return ranked.filter(chosen).select(*df.columns)
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+def merge_intervals(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, hot: bool | None = None
+) -> DataFrame:
     """Merge overlapping or touching intervals (start_seconds, end_seconds).
 
     A missing end means the start. A negative start or an end before the start
     fails the job. ``limit`` keeps that many evenly spaced merged intervals.
     """
     keys = list(keys)
+    hot = has_hot_key(df, keys) if hot is None else hot
     start = F.col("start_seconds").cast("double")
     end = F.coalesce(F.col("end_seconds").cast("double"), start)
     infinite = start.isin(float("inf")) | end.isin(float("inf")) | F.isnan(start) | F.isnan(end)
@@ -170,19 +177,19 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], limit: int | None = None
     order = ["start_seconds", "end_seconds"]
     bucket = time_bucket("start_seconds")
     reached = bucketed_scan(
-        checked, keys, bucket, order, running_max_before={"_reach": "end_seconds"}
+        checked, keys, bucket, order, running_max_before={"_reach": "end_seconds"}, hot=hot
     ).withColumn(
         "_opens",
         F.when(F.col("_reach").isNull() | (F.col("start_seconds") > F.col("_reach")), 1).otherwise(0),
     )
-    numbered = bucketed_scan(reached, keys, bucket, order, running_sum={"_group": "_opens"})
+    numbered = bucketed_scan(reached, keys, bucket, order, running_sum={"_group": "_opens"}, hot=hot)
     merged = numbered.groupBy(*keys, "_group").agg(
         F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds")
     )
     merged = merged.drop("_group")
     if limit is None:
         return merged
-    return representatives(merged, keys, ["start_seconds"], limit, time_bucket("start_seconds"))
+    return representatives(merged, keys, ["start_seconds"], limit, time_bucket("start_seconds"), hot)
 
 
 def interval_weights(
@@ -254,12 +261,13 @@ def sample_windows(
     gap = F.greatest(F.lit(gap_floor), floor * gap_spans)
     order = [F.asc_nulls_first("time_seconds"), F.col("frame_order")]
     bucket = slice_bucket("time_seconds", "frame_order")
+    hot = has_hot_key(samples, keys)
     moved = bucketed_scan(
-        samples.withColumn("moment", moment), keys, bucket, order, lag={"_before": "moment"}
+        samples.withColumn("moment", moment), keys, bucket, order, lag={"_before": "moment"}, hot=hot
     ).withColumn(
         "_opens", F.when((F.col("moment") - F.col("_before")) > gap, 1).otherwise(0)
     )
-    numbered = bucketed_scan(moved, keys, bucket, order, running_sum={"_breaks": "_opens"})
+    numbered = bucketed_scan(moved, keys, bucket, order, running_sum={"_breaks": "_opens"}, hot=hot)
     return numbered.withColumn("window_no", (F.col("_breaks") + 1).cast("bigint")).drop(
         "_before", "_opens", "_breaks"
     )

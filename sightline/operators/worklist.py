@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.text import is_blank, key_of
-from sightline.operators.ordered import bucketed_scan, first_by, range_buckets
+from sightline.operators.ordered import RANGE, bucketed_scan, first_by, has_hot_key, ranged
 
 _CLOSE = 1e-6
 _NO_IDENTIFIER = (1 << 31) - 1
@@ -347,10 +347,11 @@ def batches(signatures: DataFrame, size: int = 288) -> DataFrame:
     ``bucketed_scan``), not sorted in one.
     """
     size = max(1, size)
-    bucket = range_buckets(signatures, "asset_id")
-    ranked = bucketed_scan(signatures, ["signature"], bucket, ["asset_id"], rank="_rank")
+    hot = has_hot_key(signatures, ["signature"])
+    signatures = ranged(signatures, ["asset_id"]) if hot else signatures.withColumn(RANGE, F.lit(0))
+    ranked = bucketed_scan(signatures, ["signature"], F.col(RANGE), ["asset_id"], rank="_rank", hot=hot)
     return ranked.withColumn(
         "batch_no", F.floor((F.col("_rank") - 1) / size).cast("bigint")
-    ).drop("_rank")
+    ).drop("_rank", RANGE)
 
 

@@ -47,7 +47,9 @@ def identity_candidates(spark, folder):
 
 @query(
     "pair_score",
-    with_views(*_PAIR_VIEWS, body="WITH " + _PAIR_SQL + "SELECT asset_id, track_key, face_key, round(score, 6) AS score FROM scored"),
+    with_views(*_PAIR_VIEWS, body="WITH " + _PAIR_SQL + """
+SELECT asset_id, track_key, face_key, round(avg(c), 6) AS score FROM ranked JOIN pairs USING (asset_id, track_key, face_key)
+WHERE i <= 2 GROUP BY ALL HAVING round(avg(c), 6) > 0"""),
 )
 def pair_score(spark, folder):
     known = fx.identities_view(spark, folder).select(
