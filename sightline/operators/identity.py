@@ -19,7 +19,7 @@ from sightline.functions.vectors import cosine
 from sightline.operators.centroids import centroid
 from sightline.operators.graph import close_merge_map
 from sightline.operators.greedy import greedy_select
-from sightline.operators.knn import best_groups, nearest
+from sightline.operators.knn import best_groups, group_scores, nearest
 from sightline.operators.ordered import RANGE, bucketed_scan, first_by, ranged, top_k
 from sightline.session import cut_lineage
 
@@ -426,7 +426,13 @@ def _threshold(l: dict[str, Column], r: dict[str, Column], cfg: IdentitySettings
     return F.when(shared, together).otherwise(apart)
 
 
-_FACTS = ("lifecycle", "promotion_reason", "reference_id", "asset_ids", "anchors", "observation_count", "quality")
+_FACTS = ("lifecycle", "promotion_reason", "reference_id", "asset_ids", "observation_count", "quality")
+
+
+def _least_score(cfg: IdentitySettings) -> float:
+    """Below this a pair neither merges nor comes within the margin of one that does."""
+    lowest = min(cfg.consolidation, cfg.consolidation_same_asset, cfg.match)
+    return max(1e-9, lowest - cfg.consolidation_margin)
 
 
 def _sides(pairs: DataFrame, identities: DataFrame) -> DataFrame:
@@ -439,66 +445,96 @@ def _struct_fields(name: str) -> dict[str, Column]:
     return {f: F.col(f"{name}.{f}") for f in _FACTS}
 
 
-def merge_proposals(identities: DataFrame, pairs: DataFrame, cfg: IdentitySettings = IDENTITY) -> DataFrame:
+def pair_scores(
+    identities: DataFrame, others: DataFrame | None = None, cfg: IdentitySettings = IDENTITY
+) -> DataFrame:
+    """(source, other, score) of all pairs of identities whose score can matter for merging, both ways.
+
+    Every identity is held against every other one, block by block. With
+    ``others`` only pairs between the two sets.
+    """
+
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.select("face_key", F.explode("anchors").alias("a")).select("face_key", F.col("a.vector").alias("vector"))
+
+    mine = vectors(identities)
+    if others is None:
+        found = group_scores(mine, mine, group="face_key", least=_least_score(cfg))
+    else:
+        rest = vectors(others)
+        # The score of a pair depends on its direction: each side is asked in turn.
+        found = group_scores(mine, rest, group="face_key", least=_least_score(cfg)).unionByName(
+            group_scores(rest, mine, group="face_key", least=_least_score(cfg))
+        )
+    return found.filter(F.col("source") != F.col("other")).distinct()
+
+
+def merge_proposals(identities: DataFrame, scores: DataFrame, cfg: IdentitySettings = IDENTITY) -> DataFrame:
     """For each identity the best one it should merge with, if any
     (source, other, score): the score reaches the pair's threshold and leads
     the runner-up, or every rival within the margin could itself merge with
-    the best. Conflicting references never pair.
+    the best. Conflicting references never pair. ``scores`` as by
+    ``pair_scores``.
     """
     l, r = _struct_fields("_l"), _struct_fields("_r")
-    # Scoring is heavy for its bytes: keep the pairs spread over the tasks.
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = (
-        _sides(pairs.repartition(parts), identities)
+    scored = cut_lineage(
+        _sides(scores, identities)
         .filter(~_conflict(l["reference_id"], r["reference_id"]))
-        .withColumns(
-            {
-                "score": F.round(pair_score(_vectors(l["anchors"]), _vectors(r["anchors"])), 9),
-                "threshold": _threshold(l, r, cfg),
-            }
-        )
-        .filter(F.col("score") > 0)
-        .select("source", "other", "score", "threshold")
-    )
-    scored = cut_lineage(scored)
-    best = first_by(scored, ["source"], [-F.col("score"), F.col("other")]).filter(
-        F.col("score") >= F.col("threshold")
-    )
-    rivals = scored.select("source", F.col("other").alias("_rival"), F.col("score").alias("_score"))
+        .select("source", "other", "score", (F.col("score") >= _threshold(l, r, cfg)).alias("merges"))
+    )
+    # Equal scores fall to a hash of the pair: copies of one face then pair off among themselves, where the smallest
+    # key would draw all of them to one.
+    order = F.struct((-F.col("score")).alias("down"), _pair_hash("source", "other").alias("hash"), "other")
+    best = (
+        scored.groupBy("source")
+        .agg(F.min(order).alias("first"), F.min_by("merges", order).alias("merges"))
+        .filter("merges")
+        .select("source", F.col("first.other").alias("other"), (-F.col("first.down")).alias("score"))
+    )
+    rivals = scored.select("source", F.col("other").alias("rival"), F.col("score").alias("near"))
     close = best.join(rivals, "source").filter(
-        (F.col("_rival") != F.col("other")) & ((F.col("score") - F.col("_score")) < cfg.consolidation_margin)
-    )
-    judged = _sides(
-        close.select(F.col("source").alias("_for"), F.col("other").alias("source"), F.col("_rival").alias("other")),
-        identities,
-    )
-    mergeable = ~_conflict(l["reference_id"], r["reference_id"]) & (
-        pair_score(_vectors(l["anchors"]), _vectors(r["anchors"])) >= _threshold(l, r, cfg)
-    )
-    blocked = (
-        judged.groupBy(F.col("_for").alias("source")).agg(F.bool_and(mergeable).alias("_ok")).filter(~F.col("_ok"))
+        (F.col("rival") != F.col("other")) & ((F.col("score") - F.col("near")) < cfg.consolidation_margin)
     )
-    return best.join(blocked, "source", "left_anti").select("source", "other", "score")
+    # A rival that has no score with the best one, or conflicts with it, can't merge with it.
+    judged = scored.filter("merges").select(F.col("source").alias("other"), F.col("other").alias("rival"))
+    blocked = close.join(judged, ["other", "rival"], "left_anti").select("source").distinct()
+    return best.join(blocked, "source", "left_anti")
+
+
+def _pair_hash(a: str, b: str) -> Column:
+    return F.md5(F.concat_ws("|", F.least(a, b), F.greatest(a, b)))
 
 
 def independent_merges(proposals: DataFrame) -> DataFrame:
     """Proposals that are the strongest at both of their ends, so that all of
     them can be merged at once (source, other).
+
+    Of equally strong ones a hash of the pair decides: among many equal
+    proposals a constant share is chosen in each round.
     """
     edges = proposals.select(
         F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b"), "score"
     ).groupBy("a", "b").agg(F.max("score").alias("score"))
-    ends = edges.select("a", "b", "score", F.explode(F.array("a", "b")).alias("_end"))
-    top = ends.groupBy("_end").agg(
-        F.min_by(F.struct("a", "b"), F.struct(-F.col("score"), F.col("a"), F.col("b"))).alias("_top")
-    )
-    agreed = ends.join(top, "_end").filter((F.col("_top.a") == F.col("a")) & (F.col("_top.b") == F.col("b")))
+    turn = F.struct((-F.col("score")).alias("down"), _pair_hash("a", "b").alias("hash"), "a", "b")
+    edges = edges.withColumn("turn", turn)
+    ends = edges.select("a", "b", "turn", F.explode(F.array("a", "b")).alias("end"))
+    top = ends.groupBy("end").agg(F.min("turn").alias("top"))
+    agreed = ends.join(top, "end").filter(F.col("turn") == F.col("top"))
     return (
-        agreed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 2)
+        agreed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2)
         .select(F.col("a").alias("source"), F.col("b").alias("other"))
     )
 
 
+def chosen_merges(identities: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(duplicate, target) of pairs to merge."""
+    keep_left = choose_target(_struct_fields("_l"), _struct_fields("_r"))
+    return _sides(chosen, identities).select(
+        F.when(keep_left, F.col("other")).otherwise(F.col("source")).alias("duplicate"),
+        F.when(keep_left, F.col("source")).otherwise(F.col("other")).alias("target"),
+    )
+
+
 def choose_target(l: dict[str, Column], r: dict[str, Column]) -> Column:
     """True where the left one is kept: promoted, then referenced, then more
     observations, then quality.
@@ -561,69 +597,37 @@ def merge_into(identities: DataFrame, merges: DataFrame, cfg: IdentitySettings =
     ).select(*COLUMNS)
 
 
-def candidate_pairs(identities: DataFrame, k: int = IDENTITY.candidate_k) -> DataFrame:
-    """(source, other) both ways: identities with near anchors, and those
-    sharing a reference (each with the first of its reference).
-    """
-    rows = _anchor_rows(identities)
-    asked = rows.select(F.col("anchor_id").alias("query_id"), F.col("face_key").alias("source"), "vector")
-    # An identity's own anchors (12 at most) must not use up its neighbours.
-    found = nearest(
-        asked, rows, k + IDENTITY.anchor_limit, row_id="anchor_id", keep=["face_key"]
-    )
-    near = found.join(asked.select("query_id", "source"), "query_id").select("source", F.col("face_key").alias("other"))
-    named = identities.filter(~is_blank("reference_id")).select(F.lower("reference_id").alias("_ref"), "face_key")
-    firsts = named.groupBy("_ref").agg(F.min("face_key").alias("other"))
-    alike = named.join(firsts, "_ref").select(F.col("face_key").alias("source"), "other")
-    one = near.unionByName(alike).filter(F.col("source") != F.col("other"))
-    return one.unionByName(one.select(F.col("other").alias("source"), F.col("source").alias("other"))).distinct()
-
-
-def consolidate(
-    identities: DataFrame, cfg: IdentitySettings = IDENTITY, max_rounds: int = 200
-) -> tuple[DataFrame, DataFrame]:
+def consolidate(identities: DataFrame, cfg: IdentitySettings = IDENTITY) -> tuple[DataFrame, DataFrame]:
     """Merge identities of the same person until none qualifies.
 
     Returns the remaining identities and the closed merge map (duplicate,
     target). Each round merges, at once, all proposals that are the strongest
-    at both ends; the strongest of all is among them, so rounds end when no
-    identity has a valid proposal. One-at-a-time merging in list order may
-    pick other pairs on larger graphs; the stopping rule is the same.
+    at both ends; the strongest of all is among them, so every round merges
+    and the rounds end when no identity has a valid proposal. Only identities
+    that a round has changed are scored again. One-at-a-time merging in list
+    order may pick other pairs on larger graphs; the stopping rule is the same.
     """
     current = cut_lineage(identities.select(*COLUMNS))
-    usable = current.filter(F.size("anchors") > 0)
-    pairs = cut_lineage(candidate_pairs(usable, cfg.candidate_k))
+    scores = cut_lineage(pair_scores(current, cfg=cfg))
     history = None
-    for _ in range(max_rounds):
-        chosen = cut_lineage(independent_merges(merge_proposals(current, pairs, cfg)))
+    while True:
+        chosen = cut_lineage(independent_merges(merge_proposals(current, scores, cfg)))
         if chosen.isEmpty():
             break
-        l, r = _struct_fields("_l"), _struct_fields("_r")
-        keep_left = choose_target(l, r)
-        merges = cut_lineage(
-            _sides(chosen, current).select(
-                F.when(keep_left, F.col("other")).otherwise(F.col("source")).alias("duplicate"),
-                F.when(keep_left, F.col("source")).otherwise(F.col("other")).alias("target"),
-            )
-        )
+        merges = cut_lineage(chosen_merges(current, chosen))
         history = merges if history is None else history.unionByName(merges)
         current = cut_lineage(merge_into(current, merges, cfg))
-        pairs = cut_lineage(_repointed(pairs, merges))
-    else:
-        raise RuntimeError("consolidation did not settle")
+        stale = merges.select(F.col("duplicate").alias("face_key")).unionByName(merges.select(F.col("target").alias("face_key")))
+        kept = scores.join(stale.withColumnRenamed("face_key", "source"), "source", "left_anti").join(
+            stale.withColumnRenamed("face_key", "other"), "other", "left_anti"
+        )
+        changed = cut_lineage(current.join(stale, "face_key", "left_semi"))
+        scores = cut_lineage(kept.select("source", "other", "score").unionByName(pair_scores(changed, current, cfg)))
     if history is None:
         history = current.select(F.col("face_key").alias("duplicate"), F.col("face_key").alias("target")).limit(0)
     return current, close_merge_map(history)
 
 
-def _repointed(pairs: DataFrame, merges: DataFrame) -> DataFrame:
-    """Neighbour pairs after merges: a target inherits its duplicate's."""
-    for side in ("source", "other"):
-        map_ = merges.select(F.col("duplicate").alias(side), F.col("target").alias("_to"))
-        pairs = pairs.join(map_, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
-    return pairs.filter(F.col("source") != F.col("other")).distinct()
-
-
 def backfill(identities: DataFrame, reference: DataFrame, pack_id: str, cfg: IdentitySettings = IDENTITY) -> DataFrame:
     """Match every identity without a reference against a reference set,
     label and promote those that match.

@@ -334,6 +334,79 @@ def best_groups(
     return ranked.withColumnsRenamed({"_query": group, "distance": "score"})
 
 
+class _PairScan:
+    """Scores of pairs of groups: for each left vector its best cosine among the right group's, mean of the best two."""
+
+    STEP = 256
+
+    def __init__(self, left: pa.Table, least: float):
+        names = left["_query"].to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        left = left.take(pa.array(order, pa.int64()))
+        self.names, self.starts = np.unique(np.array([names[i] for i in order], dtype=object), return_index=True)
+        self.spaces = {s: (at, _matrix(left["_vector"].take(pa.array(at)))) for s, at in _by_space(left["_space"])}
+        self.rows, self.least = left.num_rows, least
+
+    def candidates(self, right: pa.Table):
+        group = right.schema.names[0]
+        order = pc.sort_indices(right, sort_keys=[(group, "ascending")])
+        keys = right[group].take(order).combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        first = order.to_numpy()[starts]
+        spaces = [(s, at, _matrix(right["_vector"].take(order).take(pa.array(at)))) for s, at in _by_space(right["_space"].take(order))]
+        ends = np.append(self.starts[1:], self.rows)
+        begin = 0
+        while begin < len(self.names):
+            stop = begin + 1
+            while stop < len(self.names) and ends[stop] - self.starts[begin] <= self.STEP:
+                stop += 1
+            low, high = self.starts[begin], ends[stop - 1]
+            best = np.zeros((high - low, len(starts)))  # a negative cosine, or none, counts as 0
+            for space, at, vectors in spaces:
+                if space not in self.spaces:
+                    continue
+                mine, rows = self.spaces[space]
+                inside = np.flatnonzero((mine >= low) & (mine < high))
+                if not len(inside):
+                    continue
+                # Vectors of one space need not fill every group.
+                owner = np.searchsorted(starts, at, side="right") - 1
+                cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                top = np.maximum.reduceat(np.minimum(rows[inside] @ vectors.T, 1.0), cuts, axis=1)
+                place = np.ix_(mine[inside] - low, owner[cuts])
+                best[place] = np.maximum(best[place], top)
+            cuts = self.starts[begin:stop] - low
+            sizes = np.diff(np.append(cuts, high - low))
+            one = np.maximum.reduceat(best, cuts, axis=0)
+            at = np.where(best == np.repeat(one, sizes, axis=0), np.arange(high - low)[:, None], high - low)
+            holder = np.minimum.reduceat(at, cuts, axis=0)
+            best[holder, np.arange(len(starts))] = -1.0
+            two = np.maximum.reduceat(best, cuts, axis=0)
+            score = np.round(np.where((sizes > 1)[:, None], (one + two) / 2, one), DECIMALS)
+            q, r = np.nonzero(score >= self.least)
+            if len(q):
+                yield [self.names[begin + i] for i in q], first[r], score[q, r]
+            begin = stop
+
+
+def group_scores(
+    left: DataFrame, right: DataFrame, *, group: str, least: float, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(source, other, score) of every pair of vector groups with a score of ``least`` or more.
+
+    A group's few vectors stay in one block; each pair of blocks is one
+    bounded task, and only pairs that reach ``least`` leave it.
+    """
+    if least <= 0:
+        raise ValueError("least must be positive: every pair reaches zero")
+    asked, searched, count, _ = _prepared(left, right, group, "vector", "vector", (), [group])
+    schema = _schema(asked, searched, [group])
+    found = _blocks(
+        asked, searched, lambda t: _PairScan(t, least), count, [group], _arrow_type(asked, "_query"), schema, block_rows
+    )
+    return found.select(F.col("_query").alias("source"), F.col(group).alias("other"), F.col("distance").alias("score"))
+
+
 def _last(df: DataFrame, column: str) -> Column:
     """A value that sorts a missing number or text last."""
     kind = df.schema[column].dataType.simpleString()

@@ -429,3 +429,85 @@ def prepare(spark, folder):
         for k in kinds
     ]
     return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+# One round of consolidation over the whole set, with thresholds that random vectors reach.
+_ROUND_SQL = """
+f AS (SELECT *, 'v' || (n % 50) AS asset, lifecycle = 'promoted' AS promoted, lower(reference_id) AS ref, (1 + n % 7)::BIGINT AS seen,
+  (n % 11)::DOUBLE AS quality FROM identities_view),
+av AS (SELECT face_key, unnest(anchors)::DOUBLE[] AS v, generate_subscripts(anchors, 1) AS place FROM identities_view),
+c AS (SELECT l.face_key AS source, r.face_key AS other, l.place, max(greatest(0.0, least(1.0, list_cosine_similarity(l.v, r.v)))) AS c
+  FROM av l JOIN av r ON l.face_key <> r.face_key GROUP BY ALL),
+p AS (SELECT source, other, round(avg(c), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source, other ORDER BY c DESC) AS i FROM c)
+  WHERE i <= 2 GROUP BY ALL),
+j AS (SELECT source, other, score, score >= (CASE WHEN l.asset = r.asset THEN CASE WHEN l.ref IS NOT NULL OR r.ref IS NOT NULL OR (l.promoted AND r.promoted)
+    THEN 0.30 ELSE 0.72 END ELSE CASE WHEN l.promoted AND r.promoted AND (l.ref = r.ref) IS NOT TRUE THEN 0.70 ELSE 0.22 END END)::DOUBLE AS merges
+  FROM p JOIN f l ON l.face_key = source JOIN f r ON r.face_key = other WHERE score > 0 AND (l.ref <> r.ref) IS NOT TRUE),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source
+  ORDER BY score DESC, md5(least(source, other) || '|' || greatest(source, other)), other) AS i FROM j) WHERE i = 1 AND merges),
+blocked AS (SELECT DISTINCT b.source FROM b JOIN j x ON x.source = b.source AND x.other <> b.other AND b.score - x.score < 0.03::DOUBLE
+  LEFT JOIN j y ON y.source = b.other AND y.other = x.other AND y.merges WHERE y.source IS NULL),
+proposed AS (SELECT source, other, score FROM b WHERE source NOT IN (SELECT source FROM blocked)),
+edges AS (SELECT least(source, other) AS a, greatest(source, other) AS b, max(score) AS score, md5(least(source, other) || '|' || greatest(source, other)) AS h
+  FROM proposed GROUP BY ALL),
+ends AS (SELECT a, b, row_number() OVER (PARTITION BY e ORDER BY score DESC, h, a, b) AS i FROM (SELECT *, unnest([a, b]) AS e FROM edges)),
+agreed AS (SELECT a AS source, b AS other FROM ends WHERE i = 1 GROUP BY a, b HAVING count(*) = 2),
+sided AS (SELECT source, other, CASE WHEN l.promoted <> r.promoted THEN l.promoted WHEN (l.ref IS NULL) <> (r.ref IS NULL) THEN l.ref IS NOT NULL
+    WHEN l.seen <> r.seen THEN l.seen > r.seen ELSE l.quality >= r.quality END AS stays
+  FROM agreed JOIN f l ON l.face_key = source JOIN f r ON r.face_key = other),
+merged AS (SELECT CASE WHEN stays THEN other ELSE source END AS duplicate, CASE WHEN stays THEN source ELSE other END AS target FROM sided)
+"""
+
+
+def _round(spark, folder):
+    known = fx.identities_view(spark, folder)
+    return known, ident.merge_proposals(known, ident.pair_scores(known, cfg=_LOOSE), cfg=_LOOSE)
+
+
+@query(
+    "merge_proposals",
+    with_views("identities_view", body="WITH " + _ROUND_SQL + "SELECT source, other, round(score, 6) AS score FROM proposed"),
+)
+def merge_proposals(spark, folder):
+    return _round(spark, folder)[1].select("source", "other", F.round("score", 6).alias("score"))
+
+
+@query("independent_merges", with_views("identities_view", body="WITH " + _ROUND_SQL + "SELECT source, other FROM agreed"))
+def independent_merges(spark, folder):
+    return ident.independent_merges(_round(spark, folder)[1])
+
+
+@query("choose_target", with_views("identities_view", body="WITH " + _ROUND_SQL + "SELECT duplicate, target FROM merged"))
+def choose_target(spark, folder):
+    known, proposals = _round(spark, folder)
+    return ident.chosen_merges(known, ident.independent_merges(proposals))
+
+
+@query(
+    "merge_into",
+    with_views(
+        "identities_view",
+        body="WITH " + _ROUND_SQL + """
+SELECT t.face_key, coalesce(t.reference_id, d.reference_id) AS reference_id, CASE WHEN d.promoted THEN 'promoted' ELSE t.lifecycle END AS lifecycle,
+  t.seen + coalesce(d.seen, 0) AS observation_count, greatest(t.quality, coalesce(d.quality, 0)) AS quality,
+  CASE WHEN d.asset <> t.asset THEN 2 ELSE 1 END AS assets
+FROM f t LEFT JOIN merged m ON m.target = t.face_key LEFT JOIN f d ON d.face_key = m.duplicate
+WHERE t.face_key NOT IN (SELECT duplicate FROM merged)""",
+    ),
+)
+def merge_into(spark, folder):
+    known, proposals = _round(spark, folder)
+    merges = ident.chosen_merges(known, ident.independent_merges(proposals))
+    made = ident.merge_into(known.select(*ident.COLUMNS), merges, cfg=_LOOSE)
+    return made.select(
+        "face_key", "reference_id", "lifecycle", "observation_count", "quality", F.size("asset_ids").alias("assets")
+    )
+
+
+@query("consolidate")
+def consolidate(spark, folder):
+    """All rounds: every identity with the one it ends in."""
+    known = fx.identities_view(spark, folder)
+    remaining, merges = ident.consolidate(known, cfg=_LOOSE)
+    gone = merges.select(F.col("duplicate").alias("face_key"), F.col("target").alias("into"))
+    return remaining.select("face_key", F.col("face_key").alias("into")).unionByName(gone)

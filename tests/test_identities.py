@@ -212,3 +212,45 @@ def test_links_follow_faces_and_are_taken_back(spark):
     got = {(r["performer_id"], r["host_id"]) for r in links.collect()}
     assert got == {(7, 10), (8, 11), (5, 12)}
     assert {(r["face_id"], r["performer_id"]) for r in mine.collect()} == {(1, 7)}
+
+
+def copies(spark, number):
+    people = [person(f"face-{i:04d}", [(1, 0)], [f"a{i}"], "provisional", None, n=i) for i in range(number)]
+    return world(spark, *people)
+
+
+def test_many_copies_pair_off_in_one_round(spark):
+    known = copies(spark, 300)
+    merges = ident.independent_merges(ident.merge_proposals(known, ident.pair_scores(known))).collect()
+    ends = [x for r in merges for x in r]
+    # A share of what is left merges in every round, so a few rounds settle any number of copies.
+    assert len(ends) == len(set(ends)) and len(merges) >= 40
+
+
+def test_copies_settle_in_one_identity(spark):
+    left, merges = ident.consolidate(copies(spark, 9))
+    rows = left.collect()
+    assert len(rows) == 1 and rows[0]["observation_count"] == sum(range(9)) and merges.count() == 8
+
+
+def test_pair_scores_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    people = [
+        person(f"face-{i:04d}", rng.normal(size=(1 + i % 4, 3 if i % 7 else 2)).round(3).tolist(), ["a"]) for i in range(60)
+    ]
+    frame = world(spark, *people)
+
+    def unit(v):
+        return np.float32(v).astype(float) / max(np.linalg.norm(np.float32(v).astype(float)), 1e-12)
+
+    anchors = {r["face_key"]: [unit(a["vector"]) for a in r["anchors"]] for r in frame.collect()}
+    expected = {}
+    for x, mine in anchors.items():
+        for y, theirs in anchors.items():
+            if x != y:
+                best = sorted((max([min(1.0, max(0.0, float(a @ b))) for b in theirs if len(a) == len(b)], default=0.0) for a in mine), reverse=True)[:2]
+                score = sum(best) / len(best)
+                if score >= 0.47 - 1e-9:
+                    expected[x, y] = score
+    got = {(r["source"], r["other"]): r["score"] for r in ident.pair_scores(frame).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-6 for k in got)
