@@ -11,12 +11,15 @@ matter; such a text goes to the library whole (``_doubtful``).
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain, repeat
 
 import numpy as np
 
 #: What a worker keeps between batches: at most so many pieces, and so many characters of them.
-MOST_PIECES, MOST_CHARS = 600_000, 16 << 20
+MOST_PIECES, MOST_CHARS = 800_000, 24 << 20
+#: A word of Latin letters and what may close it: two pre-tokens at most, whatever the library's Unicode tables.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 #: New pieces handed to the library as one text.
 TOGETHER = 4096
 
@@ -44,6 +47,11 @@ class Encoder:
         self._leads = np.zeros(tokens[-1][1] + 1, bool)  # tokens that start with a blank or a line feed
         for token, ident in tokens:
             self._leads[ident] = token[:1] in ("Ġ", "Ċ")
+        self._model = self._library.model
+        # How the byte-level pre-tokenizer shows a byte, read from the vocabulary's single bytes.
+        self._shown = {b: self._library.pre_tokenizer.pre_tokenize_str(chr(b))[-1][0][-1] for b in range(128)}
+        self._shown |= {b: _shown_as(self._library, b) for b in range(128, 256)}
+        self._closing: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -67,6 +75,34 @@ class Encoder:
         self._chars += sum(map(len, keys))
 
     def _learn(self, keys: list[str]) -> None:
+        found: dict[str, list[int]] = {}
+        rest: list[str] = []
+        for key in keys:
+            word = _WORD.fullmatch(key)
+            if word is None:
+                rest.append(key)
+                continue
+            # One pre-token of letters with its blank, one of marks: the library's model merges each on its own.
+            stem, marks = word.groups()
+            ids = found.get(stem) or self._word(stem)
+            found[key] = ids + self._marks(marks) if marks else ids
+        plain = [k for k in keys if k in found]
+        sizes = np.fromiter((len(found[k]) for k in plain), np.int64, len(plain))
+        self._add(plain, np.fromiter(chain.from_iterable(found[k] for k in plain), np.int32, int(sizes.sum())), sizes)
+        self._learn_others(rest)
+
+    def _word(self, stem: str) -> list[int]:
+        place = self._place.get(stem)
+        if place is not None:
+            return self._ids[self._starts[place] : self._starts[place] + self._sizes[place]].tolist()
+        return [t.id for t in self._model.tokenize("Ġ" + stem.encode().decode("latin-1").translate(self._shown))]
+
+    def _marks(self, marks: str) -> list[int]:
+        if marks not in self._closing:
+            self._closing[marks] = self._library.encode(marks, add_special_tokens=False).ids
+        return self._closing[marks]
+
+    def _learn_others(self, keys: list[str]) -> None:
         # Words without further white space are encoded as one text: each begins where a token starts with its blank.
         cores = [k[1:] if k[:1] == "\n" else k for k in keys]
         words = [k for k, core in zip(keys, cores) if k[:1] != " " and core.split() == [core]]
@@ -134,6 +170,15 @@ class Encoder:
         return ids, np.diff(ends[bounds])
 
 
+def _shown_as(library, byte: int) -> str:
+    """The character that stands for a byte above ASCII: it is the second or the first byte of some letter."""
+    text = bytes([0xC3, byte]).decode() if byte < 0xC0 else (bytes([byte, 0x80]).decode() if 0xC2 <= byte < 0xE0 else "")
+    if not text:
+        return "\0"  # no byte of a Latin letter
+    shown = "".join(piece for piece, _ in library.pre_tokenizer.pre_tokenize_str(text))
+    return shown[-1] if byte < 0xC0 else shown[0]
+
+
 def _room(array: np.ndarray, length: int) -> np.ndarray:
     while length > len(array):
         array = np.concatenate([array, np.zeros_like(array)])
