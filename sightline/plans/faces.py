@@ -36,7 +36,11 @@ def prepare_faces(
     duration_seconds, frame_interval).
     """
     key = ["asset_id", "track_key"]
-    tracked = tracks.build_tracks(samples)
+    images = assets.filter(F.col("media_kind") == "image").select("asset_id")
+    # A face of an image is a track of its own; only videos are tracked through their frames.
+    tracked = tracks.build_tracks(samples.join(images, "asset_id", "left_anti")).unionByName(
+        tracks.image_tracks(samples.join(images, "asset_id", "left_semi"))
+    )
     clustered = tracks.cluster_tracks(tracked).select("asset_id", "track_no", "cluster_key")
     tracked = cut_lineage(
         tracked.drop("track_key")

@@ -52,14 +52,14 @@ def box_geometry(spark, folder):
     "face_samples",
     """
 WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'e' || event_id AS asset_id, vec_id IS NOT NULL AS has
-  FROM events LEFT JOIN embeddings ON vec_id = event_id WHERE event_type NOT IN ('error', 'signup'))
-SELECT asset_id, 1 AS frame_order, unnest([1, 2]) AS sample_pos, unnest([0, 2]) AS det_index, unnest([0.5, 0.0])::DOUBLE AS score, value AS time_seconds,
-  2.0::DOUBLE AS frame_span, unnest([0, CASE WHEN has THEN 1 ELSE 0 END]) AS vectors FROM e
+  FROM events LEFT JOIN embeddings ON vec_id = event_id WHERE event_type <> 'error')
+SELECT asset_id, 1 AS frame_order, unnest([1, 2]) AS sample_pos, unnest([0, 2]) AS det_index, unnest([0.5, 0.0])::DOUBLE AS score,
+  CASE WHEN event_type <> 'signup' THEN value END AS time_seconds, CASE WHEN event_type <> 'signup' THEN 2.0 ELSE 0.5 END::DOUBLE AS frame_span, unnest([0, CASE WHEN has THEN 1 ELSE 0 END]) AS vectors FROM e
 """,
 )
 def face_samples(spark, folder):
     """Detections and vectors of the event payloads, put together."""
-    slices = _slices(spark, folder).filter(F.col("media_kind") == "video")
+    slices = _slices(spark, folder).filter(F.col("media_kind") != "audio")
     made = tracks.face_samples(slices, payload.explode_detections(slices), payload.explode_embeddings(slices))
     return made.select(
         "asset_id",
