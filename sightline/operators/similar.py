@@ -28,7 +28,9 @@ OVERALL_VISUAL, OVERALL_SEMANTIC = "overall_visual", "overall_semantic"
 PART_VISUAL, PART_SEMANTIC = "part_visual", "part_semantic"
 # Order in which roles take turns in the diversified result.
 ROLE_TURNS = (PART_VISUAL, OVERALL_VISUAL, OVERALL_SEMANTIC, PART_SEMANTIC)
-_QUERY = ("asset_id", "query_pos", "role", "weight", "scope", *MATCH_ON, "vector")
+# An asset is known by its type and its id: an image and a video may share a number.
+_ASSET = ("asset_type", "asset_id")
+_QUERY = (*_ASSET, "query_pos", "role", "weight", "scope", *MATCH_ON, "vector")
 from sightline.session import cut_lineage
 
 
@@ -53,7 +55,7 @@ def _by_semantic(semantic, other) -> Column:
 
 def with_query_id(queries: DataFrame) -> DataFrame:
     return queries.withColumn(
-        "query_id", F.concat_ws(":", F.col("asset_id").cast("string"), F.col("query_pos"))
+        "query_id", F.concat_ws(":", "asset_type", F.col("asset_id").cast("string"), F.col("query_pos"))
     )
 
 
@@ -75,6 +77,7 @@ def asset_queries(
         key,
         [-F.unix_micros(F.col("created_at").cast("timestamp")), F.col("embedding_id")],
     ).select(
+        F.col("host_type").alias("asset_type"),
         F.col("host_id").alias("asset_id"),
         _by_semantic(1, 0).cast("bigint").alias("query_pos"),
         _by_semantic(OVERALL_SEMANTIC, OVERALL_VISUAL).alias("role"),
@@ -90,6 +93,7 @@ def asset_queries(
     parts = representatives(sections, key, _sections_in_order(), SEARCH.part_queries, bucket)
     turn = F.row_number().over(Window.partitionBy(*key).orderBy(*_sections_in_order()))
     parts = parts.withColumn("_turn", turn).select(
+        F.col("host_type").alias("asset_type"),
         F.col("host_id").alias("asset_id"),
         (_by_semantic(2 + SEARCH.part_queries, 2) + F.col("_turn") - 1)
         .cast("bigint")
@@ -176,6 +180,7 @@ def segment_queries(
     vectors = _section_vectors(sections, every, ["asset_id", "part"])
     is_part = F.col("part") > 0
     return vectors.select(
+        F.lit("video").alias("asset_type"),
         "asset_id",
         (F.col("part") * 2 + _by_semantic(1, 0)).cast("bigint").alias("query_pos"),
         _by_semantic(PART_SEMANTIC, PART_VISUAL).alias("role"),
@@ -205,7 +210,8 @@ def similar_matches(
     k: int = SEARCH.knn_limit,
 ) -> DataFrame:
     """Best match per (query, host). The neighbour limit applies first; own
-    host and wrong sections are dropped after it.
+    host and wrong sections are dropped after it. A host of another type is
+    never the own one, whatever its id.
     """
     asked = with_query_id(queries.filter(F.col("weight") > 0))
     found = nearest(
@@ -215,10 +221,10 @@ def similar_matches(
         match_on=MATCH_ON,
         keep=["host_id", "section_index", "start_seconds", "end_seconds", "kind"],
     ).drop("rank")
-    joined = found.join(asked.select("query_id", "asset_id", "query_pos", "role", "weight", "scope"), "query_id")
+    joined = found.join(asked.select("query_id", *_ASSET, "query_pos", "role", "weight", "scope"), "query_id")
     kept = joined.filter(_in_scope())
     if exclude_self:
-        kept = kept.filter(F.col("host_id") != F.col("asset_id"))
+        kept = kept.filter((F.col("host_id") != F.col("asset_id")) | (F.col("asset_type") != F.lit(host_type)))
     return best_per_host(kept)
 
 
@@ -230,7 +236,7 @@ def blend_visual(matches: DataFrame) -> DataFrame:
     similarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("distance")))
     weighted = similarity * F.col("weight")
     best = F.struct("embedding_id", "kind", "section_index", "start_seconds", "end_seconds", "role")
-    grouped = matches.groupBy("asset_id", "host_id").agg(
+    grouped = matches.groupBy(*_ASSET, "host_id").agg(
         F.sum(weighted).alias("_score"),
         F.sum("weight").alias("_weight"),
         F.size(F.collect_set("role")).alias("role_count"),
@@ -243,7 +249,7 @@ def blend_visual(matches: DataFrame) -> DataFrame:
     )
     distance = F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - mean - bonus))
     return grouped.select(
-        "asset_id",
+        *_ASSET,
         "host_id",
         F.round(distance, 9).alias("distance"),
         F.col("role_count").cast("bigint").alias("role_count"),
@@ -255,8 +261,8 @@ def diversify(blended: DataFrame, limit: int = SEARCH.maximum_results) -> DataFr
     """``position`` in the mixed order: the two nearest, then the roles taking
     turns. Closed form of the turn-taking: order by turn within the role.
     """
-    by_distance = Window.partitionBy("asset_id").orderBy("distance", "host_id")
-    within = Window.partitionBy("asset_id", "_top", "role").orderBy("distance", "host_id")
+    by_distance = Window.partitionBy(*_ASSET).orderBy("distance", "host_id")
+    within = Window.partitionBy(*_ASSET, "_top", "role").orderBy("distance", "host_id")
     turns = F.element_at(
         F.create_map(*[F.lit(x) for i, role in enumerate(ROLE_TURNS) for x in (role, i)]), F.col("role")
     )
@@ -270,7 +276,7 @@ def diversify(blended: DataFrame, limit: int = SEARCH.maximum_results) -> DataFr
         F.col("_turn"),
         turns,
     ]
-    placed = top_k(ranked, ["asset_id"], order, limit, rank="position")
+    placed = top_k(ranked, _ASSET, order, limit, rank="position")
     return placed.drop("_rank", "_top", "_turn")
 
 
@@ -301,6 +307,7 @@ def audio_queries(embeddings: DataFrame, hosts: DataFrame) -> DataFrame:
 
     def shaped(df: DataFrame, position: Column, role: str, weight: float, scope: str) -> DataFrame:
         return df.select(
+            F.lit("video").alias("asset_type"),
             F.col("host_id").alias("asset_id"),
             position.cast("bigint").alias("query_pos"),
             F.lit(role).alias("role"),

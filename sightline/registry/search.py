@@ -395,8 +395,9 @@ def derive_sort_keys(spark, folder):
     )
 
 
+# Images take the numbers of videos here, so that only the type tells them apart.
 _QUERIES_SQL = """
-v AS (SELECT * FROM embeddings_view),
+v AS (SELECT * REPLACE (CASE WHEN host_type = 'image' THEN host_id - 1 ELSE host_id END AS host_id) FROM embeddings_view),
 sections AS (SELECT *, row_number() OVER (PARTITION BY host_type, host_id, is_semantic
         ORDER BY start_seconds NULLS LAST, section_index, embedding_id) - 1 AS i,
         count(*) OVER (PARTITION BY host_type, host_id, is_semantic) AS n
@@ -418,12 +419,14 @@ asked AS (
     with_views(
         "embeddings_view",
         body="WITH " + _QUERIES_SQL + """
-SELECT asset_id, query_pos::BIGINT AS query_pos, role, weight, scope, kind, round(vector[1]::DOUBLE, 6) AS head FROM asked""",
+SELECT host_type AS asset_type, asset_id, query_pos::BIGINT AS query_pos, role, weight, scope, kind, round(vector[1]::DOUBLE, 6) AS head FROM asked""",
     ),
 )
 def asset_queries(spark, folder):
-    made = similar.asset_queries(fx.embeddings_view(spark, folder), fx.host_list(spark, folder))
+    view = _shared_ids(spark, folder)
+    made = similar.asset_queries(view, view.select("host_type", "host_id").distinct())
     return made.select(
+        "asset_type",
         "asset_id",
         "query_pos",
         "role",
@@ -434,27 +437,33 @@ def asset_queries(spark, folder):
     )
 
 
+def _shared_ids(spark, folder):
+    image = F.col("host_type") == "image"
+    number = F.when(image, F.col("host_id") - 1).otherwise(F.col("host_id"))
+    return fx.embeddings_view(spark, folder).withColumn("host_id", number)
+
+
 def _blend_sql(asked: str) -> str:
     return asked + """,
-found AS (SELECT q.asset_id, q.query_pos, q.role, q.weight, q.scope, e.embedding_id, e.host_id, e.section_index, e.start_seconds,
+found AS (SELECT q.host_type AS asset_type, q.asset_id, q.query_pos, q.role, q.weight, q.scope, e.embedding_id, e.host_id, e.section_index, e.start_seconds,
      round(1 - list_cosine_similarity(q.vector::DOUBLE[], e.vector::DOUBLE[]), 9) AS distance
-   FROM asked q JOIN embeddings_view e ON q.kind = e.kind AND e.host_type = 'video'),
-limited AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, query_pos ORDER BY distance, embedding_id) AS r FROM found) WHERE r <= 2000),
-scoped AS (SELECT *, row_number() OVER (PARTITION BY asset_id, query_pos, host_id
+   FROM asked q JOIN v e ON q.kind = e.kind AND e.host_type = 'video'),
+limited AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_type, asset_id, query_pos ORDER BY distance, embedding_id) AS r FROM found) WHERE r <= 2000),
+scoped AS (SELECT *, row_number() OVER (PARTITION BY asset_type, asset_id, query_pos, host_id
       ORDER BY distance, section_index, start_seconds NULLS LAST, embedding_id) AS i FROM limited
-   WHERE host_id <> asset_id AND CASE scope WHEN 'asset' THEN section_index = 0 ELSE section_index > 0 END),
+   WHERE (host_id <> asset_id OR asset_type <> 'video') AND CASE scope WHEN 'asset' THEN section_index = 0 ELSE section_index > 0 END),
 hits AS (SELECT *, greatest(-1.0, least(1.0, 1 - distance)) * weight AS ws FROM scoped WHERE i = 1),
-tops AS (SELECT *, row_number() OVER (PARTITION BY asset_id, host_id ORDER BY ws DESC, query_pos) AS t FROM hits),
-blended AS (SELECT asset_id, host_id,
+tops AS (SELECT *, row_number() OVER (PARTITION BY asset_type, asset_id, host_id ORDER BY ws DESC, query_pos) AS t FROM hits),
+blended AS (SELECT asset_type, asset_id, host_id,
      round(greatest(0.0, least(2.0, 1 - sum(ws) / sum(weight) - least(0.04, 0.012 * (count(DISTINCT role) - 1)))), 9) AS distance,
      count(DISTINCT role) AS role_count, max(embedding_id) FILTER (t = 1) AS embedding_id, max(role) FILTER (t = 1) AS role
-   FROM tops GROUP BY asset_id, host_id)
+   FROM tops GROUP BY asset_type, asset_id, host_id)
 """
 
 
 def _blended(spark, folder):
-    view = fx.embeddings_view(spark, folder)
-    asked = similar.asset_queries(view, fx.host_list(spark, folder))
+    view = _shared_ids(spark, folder)
+    asked = similar.asset_queries(view, view.select("host_type", "host_id").distinct())
     return similar.blend_visual(similar.similar_matches(asked, view))
 
 
@@ -463,12 +472,12 @@ def _blended(spark, folder):
     with_views(
         "embeddings_view",
         body="WITH " + _blend_sql(_QUERIES_SQL) + """
-SELECT asset_id, host_id, round(distance, 6) AS distance, role_count, embedding_id, role FROM blended""",
+SELECT asset_type, asset_id, host_id, round(distance, 6) AS distance, role_count, embedding_id, role FROM blended""",
     ),
 )
 def blend_visual(spark, folder):
     return _blended(spark, folder).select(
-        "asset_id", "host_id", F.round("distance", 6).alias("distance"), "role_count", "embedding_id", "role"
+        "asset_type", "asset_id", "host_id", F.round("distance", 6).alias("distance"), "role_count", "embedding_id", "role"
     )
 
 
@@ -477,16 +486,16 @@ def blend_visual(spark, folder):
     with_views(
         "embeddings_view",
         body="WITH " + _blend_sql(_QUERIES_SQL) + """,
-ranked AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY distance, host_id) AS r FROM blended),
-turns AS (SELECT *, row_number() OVER (PARTITION BY asset_id, r <= 2, role ORDER BY distance, host_id) AS turn FROM ranked),
-placed AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY CASE WHEN r <= 2 THEN r ELSE 1000000 END, turn,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY asset_type, asset_id ORDER BY distance, host_id) AS r FROM blended),
+turns AS (SELECT *, row_number() OVER (PARTITION BY asset_type, asset_id, r <= 2, role ORDER BY distance, host_id) AS turn FROM ranked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY asset_type, asset_id ORDER BY CASE WHEN r <= 2 THEN r ELSE 1000000 END, turn,
    CASE role WHEN 'part_visual' THEN 0 WHEN 'overall_visual' THEN 1 WHEN 'overall_semantic' THEN 2 ELSE 3 END) AS position FROM turns)
-SELECT asset_id, host_id, role, position FROM placed WHERE position <= 500""",
+SELECT asset_type, asset_id, host_id, role, position FROM placed WHERE position <= 500""",
     ),
 )
 def diversified_similar(spark, folder):
     placed = similar.diversify(_blended(spark, folder))
-    return placed.select("asset_id", "host_id", "role", F.col("position").cast("bigint").alias("position"))
+    return placed.select("asset_type", "asset_id", "host_id", "role", F.col("position").cast("bigint").alias("position"))
 
 
 _RANGES_SQL = """
