@@ -443,7 +443,7 @@ def _shared_ids(spark, folder):
     return fx.embeddings_view(spark, folder).withColumn("host_id", number)
 
 
-def _blend_sql(asked: str) -> str:
+def _blend_sql(asked: str, host: str = "video") -> str:
     return asked + """,
 found AS (SELECT q.host_type AS asset_type, q.asset_id, q.query_pos, q.role, q.weight, q.scope, e.embedding_id, e.host_id, e.section_index, e.start_seconds,
      round(1 - list_cosine_similarity(q.vector::DOUBLE[], e.vector::DOUBLE[]), 9) AS distance
@@ -458,7 +458,7 @@ blended AS (SELECT asset_type, asset_id, host_id,
      round(greatest(0.0, least(2.0, 1 - sum(ws) / sum(weight) - least(0.04, 0.012 * (count(DISTINCT role) - 1)))), 9) AS distance,
      count(DISTINCT role) AS role_count, max(embedding_id) FILTER (t = 1) AS embedding_id, max(role) FILTER (t = 1) AS role
    FROM tops GROUP BY asset_type, asset_id, host_id)
-"""
+""".replace("'video'", f"'{host}'")
 
 
 def _blended(spark, folder):
@@ -534,8 +534,15 @@ SELECT asset_id, (part * 2 + CASE WHEN is_semantic THEN 1 ELSE 0 END)::BIGINT AS
     ),
 )
 def segment_queries(spark, folder):
-    """Several ranges for even hosts, one range past the end for odd ones."""
     view = fx.embeddings_view(spark, folder)
+    made = similar.segment_queries(view, _ranges(view))
+    return made.select(
+        "asset_id", "query_pos", "role", "weight", F.round(F.col("vector")[0].cast("double"), 5).alias("head")
+    )
+
+
+def _ranges(view):
+    """Several ranges for even hosts, one range past the end for odd ones."""
     videos = view.filter(F.col("host_type") == "video").select(F.col("host_id").alias("asset_id")).distinct()
 
     def span(start, end):
@@ -544,10 +551,53 @@ def segment_queries(spark, folder):
     several = F.array(span(2.0, 3.5), span(3.0, 8.0), span(25.0, 38.0))
     one = F.array(span(55.0, 55.0))
     chosen = F.when(F.col("asset_id") % 2 == 0, several).otherwise(one)
-    intervals = videos.select("asset_id", F.explode(chosen).alias("r")).select("asset_id", "r.*")
-    made = similar.segment_queries(view, intervals)
+    return videos.select("asset_id", F.explode(chosen).alias("r")).select("asset_id", "r.*")
+
+
+_SEGMENT_SQL = _RANGES_SQL.replace("\nasked AS (", "\nheads AS (") + """,
+v AS (SELECT * FROM embeddings_view),
+vectors AS (SELECT asset_id, part, kind, is_semantic, list(x ORDER BY pos) AS vector FROM mean GROUP BY ALL
+   UNION ALL SELECT asset_id, part, kind, is_semantic, vector::DOUBLE[] FROM near n WHERE i = 1 AND NOT EXISTS
+     (SELECT 1 FROM mean m WHERE m.asset_id = n.asset_id AND m.part = n.part AND m.kind = n.kind)),
+asked AS (SELECT 'video' AS host_type, asset_id, part * 2 + CASE WHEN is_semantic THEN 1 ELSE 0 END AS query_pos,
+   CASE WHEN is_semantic THEN 'part_semantic' ELSE 'part_visual' END AS role,
+   (CASE WHEN part > 0 THEN CASE WHEN is_semantic THEN 0.25 ELSE 0.7 END ELSE CASE WHEN is_semantic THEN 0.42 ELSE 1.0 END END)::DOUBLE AS weight,
+   'section' AS scope, kind, vector FROM vectors)
+"""
+
+
+@query(
+    "segment_similar",
+    with_views(
+        "embeddings_view",
+        body="WITH " + _blend_sql(_SEGMENT_SQL) + """
+SELECT asset_id, host_id, round(distance, 5) AS distance, role_count, embedding_id, role FROM blended""",
+    ),
+)
+def segment_similar(spark, folder):
+    """Videos like the chosen ranges of each video."""
+    view = fx.embeddings_view(spark, folder)
+    found = similar.similar_matches(similar.segment_queries(view, _ranges(view)), view)
+    return similar.blend_visual(found).select(
+        "asset_id", "host_id", F.round("distance", 5).alias("distance"), "role_count", "embedding_id", "role"
+    )
+
+
+@query(
+    "similar_images",
+    with_views(
+        "embeddings_view",
+        body="WITH " + _blend_sql(_QUERIES_SQL, "image") + """
+SELECT asset_type, asset_id, host_id, round(distance, 6) AS distance, role_count, embedding_id, role FROM blended""",
+    ),
+)
+def similar_images(spark, folder):
+    """Images like each image and each video; only the image itself is left out."""
+    view = _shared_ids(spark, folder)
+    asked = similar.asset_queries(view, view.select("host_type", "host_id").distinct())
+    made = similar.blend_visual(similar.similar_matches(asked, view, host_type="image"))
     return made.select(
-        "asset_id", "query_pos", "role", "weight", F.round(F.col("vector")[0].cast("double"), 5).alias("head")
+        "asset_type", "asset_id", "host_id", F.round("distance", 6).alias("distance"), "role_count", "embedding_id", "role"
     )
 
 
