@@ -195,6 +195,8 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius must be even: half of it is what both sides reach")
+    # A fingerprint grows to its variants: deal them out by number, or a small table would end up in few tasks.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = cut_lineage(_sorted_runs(_variants(fps, parts, radius)).mapInArrow(_compare(radius), "a bigint, b bigint"))
     near = found.filter(F.col("b").isNotNull())
     family = found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
