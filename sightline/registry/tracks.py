@@ -8,7 +8,7 @@ from sightline import fixtures as fx
 from sightline.fixtures import with_views
 from sightline.functions import geometry
 from sightline.functions.quality import identity_score, sample_flags
-from sightline.operators import tracks
+from sightline.operators import emit, tracks
 from sightline.registry.base import query
 from sightline.registry.ingest import _slices
 from sightline.sources import payload
@@ -197,3 +197,81 @@ def sections(spark, folder):
     )
     made = tracks.visual_sections(frames)
     return made.select("asset_id", "section_index", "start_seconds", "end_seconds", "frame_count", F.round("norm", 4).alias("norm"))
+
+
+# Emission over given tracks: every third frame of an asset belongs to one, and faces of even assets are shown.
+_EMIT_SQL = """
+s AS (SELECT asset_id, 't' || (frame_order % 3) AS track_key, frame_order, sample_pos, score, norm, vector FROM sample_boxes),
+o AS (SELECT *, CASE WHEN frame_order - lag(frame_order) OVER (PARTITION BY asset_id, track_key ORDER BY frame_order, sample_pos) > 8 THEN 1 ELSE 0 END AS opens FROM s),
+w AS (SELECT *, 1 + sum(opens) OVER (PARTITION BY asset_id, track_key ORDER BY frame_order, sample_pos ROWS UNBOUNDED PRECEDING) AS window_no FROM o),
+seg AS (SELECT asset_id, track_key, window_no, min(frame_order)::DOUBLE AS start_seconds, max(frame_order) + 1.0::DOUBLE AS end_seconds,
+  count(*) AS sample_count, 'face-' || (asset_id % 10) AS ref_key FROM w WHERE asset_id % 2 = 0 GROUP BY ALL)
+"""
+
+
+def _emitted(spark, folder):
+    tracked = fx.face_samples_view(spark, folder).withColumn(
+        "track_key", F.concat(F.lit("t"), (F.col("frame_order") % 3).cast("string"))
+    )
+    shown = F.concat(F.lit("face-"), (F.col("asset_id") % 10).cast("string"))
+    resolved = (
+        tracked.filter(F.col("asset_id") % 2 == 0).select("asset_id", "track_key", shown.alias("face_key")).distinct()
+    )
+    vectors = tracked.select(
+        "asset_id", "track_key", "frame_order", "sample_pos", "score", F.explode("embeddings").alias("e")
+    ).select("asset_id", "track_key", "frame_order", "sample_pos", "e.vector", (F.col("score") * F.col("e.norm")).alias("quality"))
+    return emit.emit_faces(tracked, resolved, vectors, fx.identities_view(spark, folder))
+
+
+@query(
+    "emit_segments",
+    with_views(
+        "sample_boxes",
+        body="WITH " + _EMIT_SQL + """
+SELECT asset_id, track_key, start_seconds, end_seconds, sample_count, ref_key,
+  CASE WHEN count(*) OVER (PARTITION BY asset_id, track_key) > 1 THEN track_key || ':span-' || window_no::BIGINT ELSE track_key END AS group_key FROM seg""",
+    ),
+)
+def emit_segments(spark, folder):
+    made = _emitted(spark, folder)["segments"]
+    return made.select("asset_id", "track_key", "start_seconds", "end_seconds", "sample_count", "ref_key", "group_key")
+
+
+@query(
+    "emit_appearances",
+    with_views(
+        "sample_boxes",
+        body="WITH " + _EMIT_SQL + """
+SELECT asset_id, track_key, 'face-' || (asset_id % 10) AS ref_key, count(*) AS sample_count, min(frame_order)::DOUBLE AS first_seen,
+  max(frame_order)::DOUBLE AS last_seen, round(max(score), 6) AS top_confidence, count(DISTINCT window_no) AS segment_count
+FROM w WHERE asset_id % 2 = 0 GROUP BY ALL""",
+    ),
+)
+def emit_appearances(spark, folder):
+    made = _emitted(spark, folder)["appearances"]
+    return made.select(
+        "asset_id", "track_key", "ref_key", "sample_count", "first_seen", "last_seen",
+        F.round("top_confidence", 6).alias("top_confidence"), "segment_count",
+    )
+
+
+@query(
+    "emit_embeddings",
+    with_views(
+        "sample_boxes",
+        body="WITH " + _EMIT_SQL + """,
+x AS (SELECT asset_id, track_key, unnest(vector)::DOUBLE AS x, generate_subscripts(vector, 1) AS pos, greatest(1e-6, score * norm) AS q FROM s
+  WHERE vector IS NOT NULL AND asset_id % 2 = 0),
+m AS (SELECT asset_id, track_key, pos, sum(x * q) / sum(q) AS x FROM x GROUP BY ALL),
+n AS (SELECT asset_id, track_key, sqrt(sum(x * x)) AS norm, max(x) FILTER (pos = 1) AS head FROM m GROUP BY ALL),
+t AS (SELECT asset_id, track_key, min(frame_order)::DOUBLE AS start_seconds, max(frame_order)::DOUBLE AS end_seconds FROM s GROUP BY ALL)
+SELECT asset_id, track_key, 'face-' || (asset_id % 10) AS ref_key, 'face.embed.v1' AS kind, round(norm, 4) AS norm, round(head / norm, 4) AS head,
+  start_seconds, end_seconds FROM n JOIN t USING (asset_id, track_key)""",
+    ),
+)
+def emit_embeddings(spark, folder):
+    made = _emitted(spark, folder)["embeddings"]
+    head = F.round(F.col("vector")[0].cast("double"), 4)
+    return made.select(
+        "asset_id", "track_key", "ref_key", "kind", F.round("norm", 4).alias("norm"), head.alias("head"), "start_seconds", "end_seconds"
+    )
