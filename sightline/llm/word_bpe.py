@@ -30,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.common import plain, quoted, record, slices
+from sightline.session import cut_lineage
 
 #: Words of the lexicon; what a worker keeps between batches (words, characters); words counted before handing on.
 LEXICON_WORDS, MOST_WORDS, MOST_CHARS, COUNTED = 100_000, 500_000, 12 << 20, 400_000
 _MAGIC = b"SLEXICON"
+#: Counts from here on are told apart no further when the lexicon's words are chosen.
+_FREQUENT = 1 << 16
 
 
 def words_of(text: str) -> list[str]:
@@ -258,9 +261,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
-    """The ``most`` most frequent words of all texts with their counts ``n``; ties fall to the smaller word."""
-    counted = docs.select(text).mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("word") != "").orderBy(F.desc("n"), "word").limit(most)
+    """The most frequent words of all texts with their counts ``n``: at most ``most``, and all that are as frequent
+    as the rarest of them or none.
+
+    A histogram of the counts (at most ``_FREQUENT`` rows) tells from which count on they are few enough, so that no
+    task sends its own best ones to the driver.
+    """
+    counted = cut_lineage(
+        docs.select(text)
+        .mapInArrow(_counts, "word string, n bigint")
+        .filter(F.col("word") != "")
+        .groupBy("word")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > 1)
+    )
+    held, least = 0, _FREQUENT + 1
+    steps = counted.groupBy(F.least("n", F.lit(_FREQUENT)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    for step in sorted(steps, reverse=True):
+        held += step["words"]
+        if held > most:
+            break
+        least = step["n"]
+    return counted.filter(F.col("n") >= least)
 
 
 def ship(spark: SparkSession, words: list[str], path: str) -> str:
