@@ -48,9 +48,7 @@ class Encoder:
         for token, ident in tokens:
             self._leads[ident] = token[:1] in ("Ġ", "Ċ")
         self._model = self._library.model
-        # How the byte-level pre-tokenizer shows a byte, read from the vocabulary's single bytes.
-        self._shown = {b: self._library.pre_tokenizer.pre_tokenize_str(chr(b))[-1][0][-1] for b in range(128)}
-        self._shown |= {b: _shown_as(self._library, b) for b in range(128, 256)}
+        self._shown = shown_bytes(self._library)
         self._closing: dict[str, list[int]] = {}
         self._forget()
 
@@ -170,6 +168,12 @@ class Encoder:
         return ids, np.diff(ends[bounds])
 
 
+def shown_bytes(library) -> dict[int, str]:
+    """How a byte-level pre-tokenizer shows the bytes of Latin letters: for ``str.translate`` of Latin-1 text."""
+    letters = {b: chr(b) for b in range(128) if chr(b).isalpha()}
+    return letters | {b: _shown_as(library, b) for b in range(128, 256)}
+
+
 def _shown_as(library, byte: int) -> str:
     """The character that stands for a byte above ASCII: it is the second or the first byte of some letter."""
     text = bytes([0xC3, byte]).decode() if byte < 0xC0 else (bytes([byte, 0x80]).decode() if 0xC2 <= byte < 0xE0 else "")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -29,12 +30,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.byte_bpe import shown_bytes
 from sightline.llm.common import plain, quoted, record, slices
 from sightline.session import cut_lineage
 
 #: Words of the lexicon; what a worker keeps between batches (words, characters); words counted before handing on.
 LEXICON_WORDS, MOST_WORDS, MOST_CHARS, COUNTED = 100_000, 500_000, 12 << 20, 400_000
 _MAGIC = b"SLEXICON"
+#: A word of Latin letters (each one composed, with one lower-case form) and what may close it.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]*)")
 #: Counts from here on are told apart no further when the lexicon's words are chosen.
 _FREQUENT = 1 << 16
 
@@ -166,6 +170,7 @@ class Coder:
         self._library.no_truncation()
         self._library.no_padding()
         self._lexicon = lexicon
+        self._model, self._shown, self._closing = self._library.model, shown_bytes(self._library), {}
         vocabulary = self._library.get_vocab(with_added_tokens=True)
         self._tokens = [""] * (max(vocabulary.values()) + 1)
         for token, ident in vocabulary.items():
@@ -182,11 +187,32 @@ class Coder:
         self._starts = np.zeros(0, np.int64)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by the tokenizer itself: (ids one after the other, number of each)."""
-        found = [e.ids for e in self._library.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids by the tokenizer itself: (ids one after the other, number of each).
+
+        A plain word and the marks behind it are two pre-tokens; its merges come from the tokenizer's model, without
+        the way through normaliser and pre-tokenizer.
+        """
+        found: list[list[int] | None] = []
+        for word in words:
+            parts = _WORD.fullmatch(word)
+            if parts is None:
+                found.append(None)
+                continue
+            stem, marks = parts.groups()
+            shown = stem.lower().encode().decode("latin-1").translate(self._shown)
+            ids = [t.id for t in self._model.tokenize(shown)]
+            found.append(ids + self._marks(marks) if marks else ids)
+        rest = [w for w, own in zip(words, found) if own is None]
+        others = iter([e.ids for e in self._library.encode_batch_fast(rest, add_special_tokens=False)])
+        found = [own if own is not None else next(others) for own in found]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
+    def _marks(self, marks: str) -> list[int]:
+        if marks not in self._closing:
+            self._closing[marks] = self._library.encode(marks, add_special_tokens=False).ids
+        return self._closing[marks]
+
     def _learn(self, words: list[str]) -> None:
         if self._lexicon is not None:
             ranks = self._lexicon.ranks([w.encode() for w in words])

@@ -135,3 +135,15 @@ def test_word_bpe_round_trip_equals_the_library(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
     assert word_bpe.round_trip(frame.limit(0), path, word_bpe.lexicon_of(frame.limit(0), path)).count() == 0
+
+
+def test_plain_words_merge_as_the_library_does():
+    rnd = random.Random(5)
+    letters = [chr(c) for c in range(0x41, 0x260)] + list("abcdefghijklmnop") * 20 + list("ÉÀÜß") * 10
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(1, 9))) + rnd.choice(["", ".", ",", "!!", "'s", "?!"]) for _ in range(6000)]
+    texts += [f"a{chr(c)}b" for c in range(1, 0x400)]
+    for own, name in ((word_bpe.Coder, "word_bpe_49k.json"), (Encoder, "byte_bpe_50k.json")):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        ids, counts = own(public_tokenizers.path(name)).encode(texts)
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
