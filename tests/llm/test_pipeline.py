@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from sightline.llm import decontaminate, language
+from sightline.llm import decontaminate, language, near_copies
 from sightline.session import scratch_dir
 
 from .test_corpus import BLANKS, classes, lower, plain_distance, plain_print
@@ -122,3 +122,67 @@ def test_every_stage_takes_an_empty_table(spark, corpus):
         assert out.count() == 0
         if name != "encoding":
             assert out.columns == docs.columns
+
+
+def shingle_sets(texts):
+    split = [lower(t or "").split() for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def test_near_copies_against_brute_force_jaccard(spark):
+    rnd = random.Random(12)
+    pool = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for words_, edits in [(200, 1), (200, 2), (200, 4), (500, 10), (60, 1)] * 20:
+        own = rnd.choices(pool, k=words_)
+        copy = list(own)
+        for at in rnd.sample(range(5, words_ - 5), edits):
+            copy[at] = "edited"
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(copy))]
+    base = rnd.choices(pool, k=300)
+    for _ in range(150):  # a family larger than the window, and half copies that must stay apart
+        copy = list(base)
+        copy[rnd.randrange(300)] = rnd.choice(pool)
+        rows.append((len(rows), " ".join(copy)))
+    for _ in range(20):
+        rows.append((len(rows), " ".join(base[:150] + rnd.choices(pool, k=150))))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["A b", "a  B", "a b c", "", None, "rep " * 30_000, rows[0][1].upper()])]
+    sets = shingle_sets([t for _, t in rows])
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    true = [(a, b) for a in range(len(rows)) for b in range(a) if alike(a, b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    after = {r["doc_id"] for r in near_copies.keep_one(frame).collect()}
+    expected = set(classes(range(len(rows)), true).values())
+    assert expected <= after and len(after - expected) <= 1  # bands miss two pairs of a thousand at 0.8
+    planted = [b for a, b in pairs if alike(a, b)]
+    assert len(planted) > 60 and sum(b in after for b in planted) <= 1
+
+
+def test_near_copies_keep_texts_that_share_an_id(spark):
+    text, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, text), (5, text + " end"), (5, other), (5, other), (None, text), (None, text)]
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text), (5, other), (None, text), (None, text)], key=str)
+    assert near_copies.keep_one(got.limit(0)).count() == 0
+
+
+def test_near_duplicates_stage_holds_jaccard_and_later_stages_follow(spark, corpus):
+    folder, bench = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(f"{folder}/again/{name}")
+        docs = spark.read.parquet(f"{folder}/again/{name}")
+        after = {r["doc_id"]: r for r in docs.collect()}
+        assert len(after) == docs.count()
+        if name == "near_duplicates":
+            keys = list(before)
+            sets = dict(zip(keys, shingle_sets([before[k]["text"] for k in keys])))
+            links = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            assert after.keys() == set(classes(keys, links).values()) < before.keys()
+            assert all(after[k] == before[k] for k in after)
+        elif name in ("decontamination", "encoding"):
+            globals()[f"check_{name}"](spark, docs, before, after, bench)
+        before = after
+    assert {tuple(r) for r in corpus_pipeline.run(spark, folder).collect()} == {tuple(r) for r in after.values()}
