@@ -10,7 +10,9 @@ Every word of every text starts a window of an item's size, walked with each
 of several random walks; items are walked from several of their words, so that
 edits at one end leave another start untouched. A window that agrees with an
 item in all sampled places of a walk is a candidate. Places are compared one
-after the other, so most windows are left after a few steps. Candidates are
+after the other, so most windows are left after a few steps. A short item has
+few walks, so it is also cut into one segment more than it may have edits: one
+of them stands in the text as it is, and nothing is missed. Candidates are
 verified by the edit distance, in words, of the whole item to the best
 matching part of the text.
 """
@@ -18,7 +20,7 @@ matching part of the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import plain, quoted, raw_bytes, record, slices
-from sightline.llm.words import LETTERS, Words, mixed, words
+from sightline.llm.words import LETTERS, Words, mixed, sequences, words
 
 #: Random walks, sampled places of each (the first is the start), and the steps they are taken from.
 WALKS, SAMPLES, STEPS = 8, 5, 20
 #: Edits of an item's words, as a share of them, up to which a text contains it; starts within an item.
 TOLERANCE, STARTS = 0.2, 4
+#: Items of at most so many words are searched by segments, too.
+SHORT = 25
 #: Words of the items of one block; larger benchmarks are searched block by block.
 BLOCK_WORDS = 2_000_000
 _TABLE = 1 << 18
@@ -60,9 +64,29 @@ class Items:
     levels: list[list[np.ndarray]]
     final: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
     tables: list[list[np.ndarray]]
+    #: For each length of segments of short items: sorted hashes, the item and the first word of each.
+    segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    tolerance: float = TOLERANCE
 
 
-def embed(ids: list, tokens: list[np.ndarray], walks: int, samples: int, steps: int, starts: int) -> Items:
+def cut(tokens: list[np.ndarray], tolerance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments of the short items by their length: one more than the edits allowed, so that one is free of edits."""
+    rows: dict[int, list] = {}
+    for item, own in enumerate(tokens):
+        number = allowed(len(own), tolerance) + 1
+        if len(own) > SHORT or number > len(own):
+            continue
+        bounds = np.array([len(own) * i // number for i in range(number + 1)])
+        for value, a, b in zip(sequences(own, bounds[:-1], bounds[1:]), bounds[:-1].tolist(), bounds[1:].tolist()):
+            rows.setdefault(b - a, []).append((int(value), item, a))
+    out = {}
+    for length, found in rows.items():
+        values, owners, offsets = zip(*sorted(found))
+        out[length] = np.array(values, np.uint64), np.array(owners, np.int64), np.array(offsets, np.int64)
+    return out
+
+
+def embed(ids: list, tokens: list[np.ndarray], walks: int, samples: int, steps: int, starts: int, tolerance: float = TOLERANCE) -> Items:
     """Walk every item from its starts. An item too short for a walk ends with the last place it reaches."""
     plan = plans(walks, samples, steps)
     levels = [[[] for _ in range(samples)] for _ in plan]
@@ -101,7 +125,7 @@ def embed(ids: list, tokens: list[np.ndarray], walks: int, samples: int, steps:
                 (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64))
             )
     tables = [[_lookup(pack(keys)) for keys in walk] for walk in levels]
-    return Items(ids, tokens, [[pack(k) for k in walk] for walk in levels], ends, tables)
+    return Items(ids, tokens, [[pack(k) for k in walk] for walk in levels], ends, tables, cut(tokens, tolerance), tolerance)
 
 
 def chained(key: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -154,7 +178,34 @@ def candidates(tokens: np.ndarray, items: Items, walks: int, samples: int, steps
                     found.append(np.stack([owner[which], np.repeat(start, many) - offset[which]], axis=1))
             if not len(at):
                 break
-    return np.unique(np.concatenate(found), axis=0)
+    return np.unique(np.concatenate([*found, segmented(tokens, items)]), axis=0)
+
+
+def segmented(tokens: np.ndarray, items: Items) -> np.ndarray:
+    """(item, word where it would begin) of the short items that have a segment in the text and enough words around it."""
+    found = [np.zeros((0, 2), np.int64)]
+    for length, (keys, owner, offset) in items.segments.items():
+        begin = np.arange(len(tokens) - length + 1)
+        if not len(begin):
+            continue
+        here = sequences(tokens, begin, begin + length)
+        at = _members(here, keys, _lookup(keys))
+        low, high = np.searchsorted(keys, here[at], "left"), np.searchsorted(keys, here[at], "right")
+        many = high - low
+        which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        found.append(np.stack([owner[which], np.repeat(at, many) - offset[which]], axis=1))
+    every = np.unique(np.concatenate(found), axis=0)
+    heads = np.flatnonzero(np.diff(every[:, 0], prepend=-1))
+    left = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(every)]):
+        own = items.tokens[every[a, 0]]
+        slack, wanted = allowed(len(own), items.tolerance), np.unique(own)
+        for part in np.split(every[a:b], range(1 << 14, b - a, 1 << 14)):
+            # All words of the item but the edited ones stand in the window.
+            near = tokens[np.clip(part[:, 1, None] + np.arange(-slack, len(own) + slack), 0, len(tokens) - 1)]
+            inside = wanted[np.minimum(np.searchsorted(wanted, near), len(wanted) - 1)] == near
+            left.append(part[inside.sum(axis=1) >= len(own) - slack])
+    return np.concatenate(left)
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -189,9 +240,9 @@ def _search(blocks: list[Items], walks: int, samples: int, steps: int, tolerance
         for item, place in candidates(found.hashes, items, walks, samples, steps).tolist():
             own = items.tokens[item]
             slack = allowed(len(own), tolerance)
-            # The window begins in the text that holds the candidate's own words.
+            # Of all texts that the window touches one holds the candidate's own words; with edits it may be shorter than the item.
             doc = int(np.searchsorted(found.bounds, max(place, 0), "right")) - 1
-            for text in {doc, int(np.searchsorted(found.bounds, min(place + len(own) - 1, len(found.hashes) - 1), "right")) - 1}:
+            for text in range(doc, int(np.searchsorted(found.bounds, min(place + len(own) - 1, len(found.hashes) - 1), "right"))):
                 low, high = int(found.bounds[text]), int(found.bounds[text + 1])
                 a, b = max(low, place - slack), min(high, place + len(own) + slack)
                 if b <= a or checked.get((item, text), -1) >= b:
@@ -259,10 +310,10 @@ def contaminated(
         own.append(item)
         size += len(item)
         if size >= BLOCK_WORDS:
-            blocks.append(embed(ids, own, walks, samples, steps, starts))
+            blocks.append(embed(ids, own, walks, samples, steps, starts, tolerance))
             ids, own, size = [], [], 0
     if own:
-        blocks.append(embed(ids, own, walks, samples, steps, starts))
+        blocks.append(embed(ids, own, walks, samples, steps, starts, tolerance))
     spark = docs.sparkSession
     kinds = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     found = None

@@ -255,6 +255,27 @@ def test_decontamination_recall_and_exactness(spark, small):
     assert decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), nothing).count() == 0
 
 
+def test_short_items_are_found_wherever_they_are_edited(spark):
+    rnd = random.Random(9)
+    pool = [f"w{i}" for i in range(2000)]
+    items, docs, gone = [], [], 0
+    for number in range(400):
+        item = rnd.choices(pool, k=rnd.choice([5, 6, 8, 10, 15, 20, 25]))
+        own = list(item)
+        places = rnd.sample(range(len(own)), len(own) // 5) if number % 2 else [0]
+        for at in sorted(places, reverse=True):
+            own[at : at + 1] = rnd.choice([[], ["edited"]])
+        if number % 5 == 4:  # a whole text, shorter than the item at both ends
+            own = item[1:-1] if len(item) >= 10 else item[1:]
+        around = [] if number % 5 == 4 else rnd.choices(pool, k=30)
+        items.append((number, " ".join(item)))
+        docs.append((number, " ".join(around + own + around)))
+    got = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]} == set(range(400))
+
+
 def test_walks_stay_together_after_edits():
     own = words(*raw_bytes(pa.array([" ".join(f"w{i}" for i in range(60))])), LETTERS).hashes
     block = decontaminate.embed([1], [own], 8, 5, 20, 4)
