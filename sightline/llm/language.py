@@ -5,6 +5,11 @@ in lower case, everything else one blank), hashed to a fixed number of
 dimensions. Each language has several centroids, found by clustering a bounded
 sample of its labelled texts; a text takes the language of the centroid with
 the largest cosine, and is rejected if even that one is too far away.
+
+How near a text can come depends on how many different n-grams it has: a short
+one of the language is as far away as a long one of random letters. The floor
+is therefore a curve over that number. At each point it lies in the gap between
+what random letters reach and what learned texts, cut to that size, have.
 """
 
 from __future__ import annotations
@@ -24,8 +29,11 @@ from sightline.llm.common import plain, quoted, record, slices
 DIMENSIONS, GRAMS, AT_ONCE = 2048, (1, 2, 3), 256
 #: Labelled texts learned from per language, centroids per language, rounds of clustering.
 PER_LANGUAGE, CENTROIDS, ROUNDS = 500, 4, 12
-#: A text is rejected if its cosine is below this share of what the least similar learned texts of the language have.
-REJECTION = 0.25
+#: The floor's place in the gap between random letters and the least similar learned texts (their 1 % quantile); where
+#: there is no gap, the share of that quantile.
+REJECTION, NO_GAP = 0.25, 0.75
+#: Bytes that learned texts and random letters are cut to; numbers of different n-grams at which the floors are known.
+CUTS, SIZES = [10 << k for k in range(10)], np.array([1 << k for k in range(4, 12)])
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -74,7 +82,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each, at length one
     owners: np.ndarray  # language of each centroid
-    floors: np.ndarray  # cosine below which a language rejects
+    floors: np.ndarray  # cosine below which a language rejects, at each of SIZES
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, cosine in 0..1, whether rejected) of each text."""
@@ -88,10 +96,11 @@ class Model:
             score, rejected = np.zeros(len(own)), np.ones(len(own), bool)
             some = np.flatnonzero(lettered)
             if len(some):
-                near = weighted(counts([own[i] for i in some.tolist()]), self.idf) @ self.centroids.T
+                found = counts([own[i] for i in some.tolist()])
+                near = weighted(found, self.idf) @ self.centroids.T
                 best = near.argmax(axis=1)
                 score[some] = np.clip(near[np.arange(len(some)), best], 0, 1)
-                rejected[some] = score[some] < self.floors[self.owners[best]]
+                rejected[some] = score[some] < floor_at(self.floors[self.owners[best]], (found > 0).sum(axis=1))
                 for i, b in zip(some.tolist(), self.owners[best].tolist()):
                     languages[at + i] = self.languages[b]
             scores.append(score)
@@ -99,6 +108,39 @@ class Model:
         return languages, np.concatenate(scores), np.concatenate(out)
 
 
+def place(sizes: np.ndarray) -> np.ndarray:
+    """Of numbers of different n-grams among SIZES, as a fraction between two of them."""
+    return np.clip(np.log2(np.maximum(sizes, 1)) - np.log2(SIZES[0]), 0, len(SIZES) - 1)
+
+
+def floor_at(curves: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each row's value at its size."""
+    at = place(sizes)
+    low = at.astype(np.int64)
+    high, row = np.minimum(low + 1, len(SIZES) - 1), np.arange(len(at))
+    return curves[row, low] + (at - low) * (curves[row, high] - curves[row, low])
+
+
+def noise() -> list[bytes]:
+    """Words of random letters, cut to all sizes; the same ones each time."""
+    rng = np.random.Generator(np.random.PCG64(13))
+    out = []
+    for size in CUTS:
+        for _ in range(40):
+            raw = rng.integers(97, 123, size, dtype=np.uint8)
+            raw[np.cumsum(rng.integers(4, 11, size))[: size // 5] % size] = 32
+            out.append(raw.tobytes())
+    return out
+
+
+def curve(sizes: np.ndarray, cosines: np.ndarray, share: float) -> np.ndarray:
+    """That quantile of the cosines at each of SIZES, each over the sizes nearest to it; what is not known is as at the nearest known."""
+    near = np.rint(place(sizes)).astype(np.int64)
+    known = [k for k in range(len(SIZES)) if (near == k).sum() >= 20] or sorted(set(near.tolist()))
+    values = [float(np.quantile(cosines[near == k], share)) for k in known]
+    return np.interp(np.arange(len(SIZES)), known, values)
+
+
 def cluster(vectors: np.ndarray, number: int) -> np.ndarray:
     """Centroids of vectors of length one, by cosine. Starts from the vectors farthest apart; the same input gives the same."""
     chosen = [int((vectors @ vectors.mean(axis=0)).argmax())]
@@ -146,25 +188,37 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 keep = [i for i, t in enumerate(own) if has_letters(t)]
                 if keep:
                     found = counts([own[i] for i in keep]).astype(np.int32)
-                    yield record(["label", "at", "found"], [batch.column(0).take(pa.array([at + i for i in keep])),
-                        batch.column(2).take(pa.array([at + i for i in keep])), [row.tobytes() for row in found]])
+                    yield record(["label", "at", "found", "head"], [batch.column(0).take(pa.array([at + i for i in keep])),
+                        batch.column(2).take(pa.array([at + i for i in keep])), [row.tobytes() for row in found],
+                        [own[i][: CUTS[-1]] for i in keep]])
 
-    rows = sample.select("label", "text", F.xxhash64("key")).mapInArrow(run, "label string, at bigint, found binary").toPandas()
+    rows = sample.select("label", "text", F.xxhash64("key")).mapInArrow(run, "label string, at bigint, found binary, head binary").toPandas()
     rows = rows.sort_values(["label", "at"], kind="stable")
     languages = tuple(sorted(rows["label"].unique()))
     if not languages:
-        return Model((), np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, np.int64), np.zeros(0))
+        return Model((), np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros(0, np.int64), np.zeros((0, len(SIZES))))
     found = np.stack([np.frombuffer(x, np.int32) for x in rows["found"]])
     idf = np.log((1 + len(found)) / (1 + (found > 0).sum(axis=0))) + 1
     vectors, labels = weighted(found, idf), rows["label"].to_numpy()
-    centroids, owners, floors = [], [], []
+    centroids, owners, floors, random = [], [], [], counts(noise())
+    random_size, random = (random > 0).sum(axis=1), weighted(random, idf)
+    heads = rows["head"].to_numpy()
     for number, language in enumerate(languages):
         own = vectors[labels == language]
         clustered = cluster(own, CENTROIDS)
         centroids.append(clustered)
         owners += [number] * len(clustered)
-        floors.append(REJECTION * float(np.quantile((own @ clustered.T).max(axis=1), 0.01)))
-    return Model(languages, idf, np.concatenate(centroids), np.array(owners), np.array(floors))
+        size, cosine = [(found[labels == language] > 0).sum(axis=1)], [(own @ clustered.T).max(axis=1)]
+        for cut in CUTS:
+            texts = [h[:cut] for h in heads[labels == language] if len(h) > cut]
+            for at in range(0, len(texts), AT_ONCE):
+                some = counts(texts[at : at + AT_ONCE])
+                size.append((some > 0).sum(axis=1))
+                cosine.append((weighted(some, idf) @ clustered.T).max(axis=1))
+        least = curve(np.concatenate(size), np.concatenate(cosine), 0.01)
+        most = curve(random_size, (random @ clustered.T).max(axis=1), 0.99)
+        floors.append(np.where(least > most, most + REJECTION * (least - most), NO_GAP * least))
+    return Model(languages, idf, np.concatenate(centroids), np.array(owners), np.stack(floors))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

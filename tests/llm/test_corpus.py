@@ -1,5 +1,6 @@
 """Corpus operators against brute force, and their edge cases."""
 
+import base64
 import random
 import re
 from collections import Counter, defaultdict
@@ -204,6 +205,23 @@ def test_language(spark, small):
     assert language.learn(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).languages == ()
 
 
+def test_language_rejects_what_is_no_learned_language(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.learn(docs)
+    rnd = random.Random(11)
+    letters = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 9))) for _ in range(n))
+    odd = [letters(n) for n in (20, 60, 200, 500)]
+    odd += [base64.b64encode(rnd.randbytes(n)).decode() for n in (150, 600, 2000)] + [rnd.randbytes(n).hex() for n in (200, 1000)]
+    odd += [
+        "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach, są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan.",
+        "for i in range(n):\n    buf[i] = x ^ (y << 7) & 0xFF\n    if key not in idx: idx[key] = np.zeros(k, dtype=np.uint8)\nreturn {k: v for k, v in map(f, buf)}\n",
+    ]
+    _, _, rejected = model.predict([t.encode() for t in odd])
+    assert rejected.all()
+    assert language.identify(docs, model).filter("rejected").count() == 0
+
+
 # Decontamination
 
 
