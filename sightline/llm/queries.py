@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
+from sightline.llm import collocations, decontaminate, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -141,3 +141,45 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     """Every document that contains a benchmark item, with the item and its edits."""
     docs = table(spark, folder, "documents", "doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
+_OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+g AS (
+  SELECT lang, unnest(ws) AS phrase, 1 AS size FROM w
+  UNION ALL
+  SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), 2 FROM w WHERE len(ws) >= 2
+  UNION ALL
+  SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])), 3 FROM w WHERE len(ws) >= 3),
+f AS MATERIALIZED (SELECT lang, phrase, size, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, size, a, 1 AS k, ws[1] AS lp, array_to_string(ws[2:], ' ') AS rp FROM c
+  UNION ALL
+  SELECT lang, phrase, size, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE size = 3),
+s AS (
+  SELECT cuts.*, fl.f AS l, fr.f AS r, (1000000::HUGEINT * a * a) // (fl.f * fr.f) AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = lp JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = rp),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM s),
+wide AS (
+  SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM c WHERE size = 3),
+best AS (SELECT lang, phrase, max(a) AS longer FROM wide GROUP BY ALL),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN best ON best.lang = low.lang AND best.phrase = low.phrase AND low.size = 2
+  WHERE pick = 1 AND 100 * coalesce(longer, 0) < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", _OP11_SQL)
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every language's best phrases of two and three words."""
+    docs = table(spark, folder, "documents", "text", "lang")
+    return collocations.collocations(docs, least=10, widest=50, most=2000)
