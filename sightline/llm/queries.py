@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import collocations, decontaminate, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
+from sightline.llm import alignment, collocations, decontaminate, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -183,3 +183,10 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """Every language's best phrases of two and three words."""
     docs = table(spark, folder, "documents", "text", "lang")
     return collocations.collocations(docs, least=10, widest=50, most=2000)
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's tokens by two tokenizers, grouped where both end, with how common its links are."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
