@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import alignment, collocations, decontaminate, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
+from sightline.llm import alignment, collocations, decontaminate, jaccard_join, language, line_dedup, matroska, paragraphs, sharding, simhash, token_files, url_filter, word_bpe
 from sightline.llm.common import table
 from sightline.registry.base import query
 from sightline.session import scratch_dir
@@ -190,3 +190,9 @@ def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFram
     """Every text's tokens by two tokenizers, grouped where both end, with how common its links are."""
     docs = table(spark, folder, "documents", "doc_id", "text")
     return alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op12_ngram_jaccard_join")
+def op12_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of texts linked by a similarity of 90 percent or more, over three-word shingles."""
+    return jaccard_join.components_of(table(spark, folder, "documents", "doc_id", "text"), size=3, percent=90)
