@@ -34,10 +34,10 @@ from sightline.llm.words import mixed
 from sightline.session import cut_lineage
 
 #: A chunk's blocks go out once it holds so many words, or so many different ones.
-CHUNK_WORDS, CHUNK_VOCABULARY = 4 << 20, 1 << 20
-SLICE_BYTES = 4 << 20
-#: Buckets for each partition: what one merge holds at a time.
-SPREAD = 4
+CHUNK_WORDS, CHUNK_VOCABULARY = 1 << 20, 1 << 18
+SLICE_BYTES = 2 << 20
+#: Bytes of text that a bucket of phrases stands for: at least, and at most (what one merge holds).
+BUCKET_BYTES = 4 << 20, 16 << 20
 #: Bytes of each text that end a piece become line feeds, blanks and tabs blanks, A-Z lower case.
 _TRANSLATED = bytes(
     10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
@@ -65,12 +65,13 @@ def _slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[bytes]:
 
 
 class _Chunk:
-    """Words of one language as numbers, -1 where a piece ends."""
+    """Words as numbers, -1 where a piece ends, and the language of each."""
 
     def __init__(self):
-        self.numbers, self.runs, self.size = _Numbers(), [], 0
+        self.numbers, self.languages = _Numbers(), _Numbers()
+        self.runs, self.owners, self.size = [], [], 0
 
-    def add(self, raw: bytes) -> None:
+    def add(self, raw: bytes, language: bytes) -> None:
         # Runs of blanks leave empty words; they and the ends of pieces are known by their own numbers.
         tokens = raw.replace(b"\n", b" \n ").split(b" ")
         run = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
@@ -78,58 +79,58 @@ class _Chunk:
         run = run[run != empty]
         run[run == end] = -1
         self.runs += [run, np.full(1, -1)]
+        self.owners.append(np.full(len(run) + 1, self.languages[language]))
         self.size += len(run)
 
     def full(self) -> bool:
         return self.size >= CHUNK_WORDS or len(self.numbers) >= CHUNK_VOCABULARY
 
-    def blocks(self, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-        """(bucket, words of a phrase, block), and the number of all words as the block of the empty phrase."""
+    def blocks(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, block) of all phrases in prefix order; the empty phrase counts the words of a language."""
         words = np.array(list(self.numbers), dtype=object)
         order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         rank = np.empty(len(words) + 1, np.int64)
         rank[order], rank[-1] = np.arange(len(words)), -1
-        run = rank[np.concatenate(self.runs)]
-        texts = pa.array(words[order].tolist(), pa.binary())
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words[order].tolist()), np.uint64, len(words))
+        run, owner = rank[np.concatenate(self.runs)], np.concatenate(self.owners)
+        texts, hashes = _texts(words[order].tolist())
+        tags, seeds = _texts([b"\n" + t for t in self.languages])
         inside = run >= 0
-        total = int(inside.sum())
-        if not total:
-            return
-        yield 0, 0, packed(pa.array([b""]), np.array([total]))
-        # What comes before the last word of a phrase is one number, its place among ``known``.
-        head, whole, known = np.zeros(len(run), np.int64), inside, [()]
+        totals = np.bincount(owner[inside], minlength=len(tags))
+        found = [(tags, totals, seeds)]
+        # What comes before the last word of a phrase is one number, its place among ``known``; the language leads.
+        head, whole, known = owner, inside, [np.arange(len(tags))]
         for size in (1, 2, 3):
             if size > 1:
                 head, whole = place[:-1], whole[:-1] & inside[size - 1 :]
-            last = run[size - 1 :]
-            found, inverse, count = np.unique(
-                (head * len(words) + last)[whole], return_inverse=True, return_counts=True
-            )
-            if not len(found):
-                return
+            key = (head * len(words) + run[size - 1 :])[whole]
+            if not len(key):
+                break
+            phrases, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             place = np.zeros(len(whole), np.int64)
             place[whole] = inverse
-            lead, own = np.divmod(found, len(words))
-            parts = [*[p[lead] for p in known], own] if size > 1 else [own]
-            known = parts
-            mark = np.full(len(found), size, np.uint64)
-            for part in parts:
+            lead, own = np.divmod(phrases, len(words))
+            known = [*[p[lead] for p in known], own]
+            mark = seeds[known[0]]
+            for part in known[1:]:
                 mark = mixed(mark * np.uint64(0x9E3779B97F4A7C15) + hashes[part])
-            bucket = (mark % np.uint64(buckets)).astype(np.int64)
-            by_bucket = np.argsort(bucket, kind="stable")
-            phrase = texts.take(pa.array(parts[0][by_bucket]))
-            for part in parts[1:]:
-                phrase = pc.binary_join_element_wise(phrase, texts.take(pa.array(part[by_bucket])), b" ")
-            count, bucket = count[by_bucket], bucket[by_bucket]
-            heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)]):
-                yield int(bucket[a]), size, packed(phrase[a:b], count[a:b])
+            parts = [texts.take(pa.array(p)) for p in known[1:]]
+            phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
+            found.append((pc.binary_join_element_wise(phrase, tags.take(pa.array(known[0])), b""), count, mark))
+        phrase, count, mark = pa.concat_arrays([f[0] for f in found]), *(np.concatenate([f[i] for f in found]) for i in (1, 2))
+        bucket = (mark % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        count, bucket = count[by_bucket], bucket[by_bucket]
+        heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)]):
+            yield int(bucket[a]), packed(phrase.take(pa.array(by_bucket[a:b])), count[a:b])
+
+
+def _texts(words: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array(words, pa.binary()), np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def packed(phrases: pa.Array, counts: np.ndarray) -> bytes:
     """A block: number of phrases, their lengths, their counts, their bytes."""
-    phrases = pa.concat_arrays([phrases])  # forgets what a slice was cut from
     offsets = np.frombuffer(phrases.buffers()[1], np.int32, len(phrases) + 1)
     data = phrases.buffers()[2]
     body = data[offsets[0] : offsets[-1]].to_pybytes() if data is not None else b""
@@ -149,25 +150,24 @@ def unpacked(block: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 def blocks(docs: DataFrame, text: str, lang: str, buckets: int) -> DataFrame:
-    """``bucket``, ``lang``, ``size`` (words of a phrase) and ``block`` of every chunk of ``docs``."""
+    """``bucket`` and ``block`` of every chunk of ``docs``; a block's phrases end with a line feed and their language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, _Chunk] = {}
+        held = _Chunk()
 
-        def out(name: str) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
-            for row in held.pop(name).blocks(buckets):
+            for row in held.blocks(buckets):
                 rows.append(row)
                 if len(rows) == 512:
-                    yield ready(name, rows)
+                    yield ready(rows)
                     rows = []
             if rows:
-                yield ready(name, rows)
+                yield ready(rows)
 
-        def ready(name: str, rows: list[tuple]) -> pa.RecordBatch:
-            where, size, block = zip(*rows)
-            names = pa.array([name] * len(rows), pa.string())
-            return record(["bucket", "lang", "size", "block"], [pa.array(where, pa.int32()), names, pa.array(size, pa.int32()), pa.array(block, pa.binary())])
+        def ready(rows: list[tuple]) -> pa.RecordBatch:
+            where, block = zip(*rows)
+            return record(["bucket", "block"], [pa.array(where, pa.int32()), pa.array(block, pa.binary())])
 
         for batch in batches:
             texts = plain(batch.column(0), pa.string()).cast(pa.binary())
@@ -177,16 +177,15 @@ def blocks(docs: DataFrame, text: str, lang: str, buckets: int) -> DataFrame:
                 own = texts.take(pa.array(np.flatnonzero(which == place)))
                 for a in range(0, len(own), 256):
                     for raw in _slices(own[a : a + 256].to_pylist()):
-                        held.setdefault(name, _Chunk()).add(raw)
-                        if held[name].full():
-                            yield from out(name)
-            while sum(c.size for c in held.values()) >= CHUNK_WORDS or sum(len(c.numbers) for c in held.values()) >= CHUNK_VOCABULARY:
-                yield from out(max(held, key=lambda n: held[n].size))
-        for name in list(held):
-            yield from out(name)
+                        held.add(raw, name.encode())
+                        if held.full():
+                            yield from out()
+                            held = _Chunk()
+        if held.size:
+            yield from out()
 
     own = docs.select(F.col(quoted(text)).alias("text"), F.coalesce(F.col(quoted(lang)), F.lit("und")).alias("lang"))
-    return own.mapInArrow(run, "bucket int, lang string, size int, block binary")
+    return own.mapInArrow(run, "bucket int, block binary")
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10) -> DataFrame:
@@ -195,6 +194,9 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     Size 0 is the empty phrase: its count is that of all words of the language, however many there are.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+    # As many buckets as there are tasks, unless that makes them tiny, and enough for each to be merged in memory.
+    buckets = max(1, held // BUCKET_BYTES[1], min(parts, held // BUCKET_BYTES[0]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -203,28 +205,25 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
             if not held:
                 return
             phrases, sums = zip(*map(unpacked, held))
-            if len(held) > 1:
-                every = pa.table({"phrase": pa.concat_arrays(phrases), "f": np.concatenate(sums)})
-                merged = every.group_by("phrase").aggregate([("f", "sum")])
-                phrase, f = merged["phrase"].combine_chunks(), merged["f_sum"].to_numpy()
-            else:
-                phrase, f = phrases[0], sums[0]
-            stay = np.flatnonzero(f >= (least if now[2] else 1))
+            every = pa.table({"phrase": pa.concat_arrays(phrases), "f": np.concatenate(sums)})
+            merged = every.group_by("phrase").aggregate([("f", "sum")])
+            tagged, f = merged["phrase"].combine_chunks(), merged["f_sum"].to_numpy()
+            stay = np.flatnonzero((f >= least) | pc.starts_with(tagged, b"\n").to_numpy(zero_copy_only=False))
             if len(stay):
-                n = len(stay)
-                names, size = pa.array([now[1]] * n, pa.string()), pa.array(np.full(n, now[2], np.int32))
-                yield record(["lang", "size", "phrase", "f"], [names, size, phrase.take(pa.array(stay)).cast(pa.string()), f[stay]])
+                both = pc.split_pattern(tagged.take(pa.array(stay)).cast(pa.string()), "\n", max_splits=1)
+                phrase, name = pc.list_element(both, 0), pc.list_element(both, 1)
+                size = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+                yield record(["lang", "size", "phrase", "f"], [name, size, phrase, f[stay]])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != now:
+            for bucket, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
                     yield from out()
-                    now, held = row[:3], []
-                held.append(row[3])
+                    now, held = bucket, []
+                held.append(block)
         yield from out()
 
-    laid = blocks(docs, text, lang, parts * SPREAD)
-    laid = laid.repartition(parts, "bucket", "lang", "size").sortWithinPartitions("bucket", "lang", "size")
+    laid = blocks(docs, text, lang, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return cut_lineage(laid.mapInArrow(merge, "lang string, size int, phrase string, f bigint"))
 
 

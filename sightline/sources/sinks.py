@@ -1,17 +1,14 @@
-"""Replacing sinks: new evidence takes the place of what a host had."""
+"""New evidence takes the place of what a host had: the rows that result (``store`` has the tables that do it in place)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sightline.functions.text import key_of
-from sightline.session import cut_lineage
-
-HOST = ("host_type", "host_id", "source_key")
+from sightline.sources.store import HOST
 
 
 def replace_by_host(
@@ -42,70 +39,3 @@ def replace_by_model(
     touched = touched.filter(F.col("_model") != "").distinct()
     kept = existing.withColumn("_model", model(existing)).join(touched, [*keys, "_model"], "left_anti")
     return kept.drop("_model").unionByName(new)
-
-
-class EvidenceTable:
-    """A Parquet table split by a hash of the host, replaced bucket by bucket.
-
-    Parquet has no merge: a change reads and rewrites only the buckets of the
-    hosts it touches. The new content is settled before any file is replaced,
-    so a lost executor cannot leave a half-read bucket behind.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, buckets: int = 64):
-        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        value = F.pmod(F.xxhash64("host_type", F.col("host_id").cast("bigint")), F.lit(self.buckets))
-        return df.withColumn("host_bucket", value.cast("int"))
-
-    def exists(self) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(jvm_path)
-
-    def read(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        full = StructType([*self.schema.fields]).add("host_bucket", "int")
-        return self.spark.read.schema(full).parquet(self.path).select(*self.schema.names)
-
-    def _touched(self, hosts: DataFrame) -> list[int]:
-        """Bucket numbers: at most ``buckets`` small integers."""
-        rows = self._bucketed(hosts.select("host_type", "host_id")).select("host_bucket").distinct()
-        return [r[0] for r in rows.collect()]
-
-    def replace(self, new: DataFrame, processed: DataFrame, keys: Sequence[str] = HOST) -> None:
-        """Replace the rows of processed hosts and sources by ``new``."""
-        new = new.select(*self.schema.names)
-        hosts = processed.select("host_type", "host_id").unionByName(new.select("host_type", "host_id"))
-        touched = self._touched(hosts.distinct())
-        if not touched:
-            return
-        if self.exists():
-            full = StructType([*self.schema.fields]).add("host_bucket", "int")
-            old = self.spark.read.schema(full).parquet(self.path)
-            old = old.filter(F.col("host_bucket").isin(touched)).select(*self.schema.names)
-        else:
-            old = self.spark.createDataFrame([], self.schema)
-        self.write(replace_by_host(old, new, processed, keys), touched)
-
-    def write(self, rows: DataFrame, touched: list[int] | None = None) -> None:
-        """Overwrite the given buckets (all when not given) with ``rows``."""
-        settled = cut_lineage(self._bucketed(rows.select(*self.schema.names)))
-        filled = {r[0] for r in settled.select("host_bucket").distinct().collect()}
-        (
-            settled.repartition("host_bucket", F.pmod(F.xxhash64("host_id"), F.lit(8)))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("host_bucket")
-            .parquet(self.path)
-        )
-        for bucket in set(range(self.buckets) if touched is None else touched) - filled:
-            self._drop(bucket)
-
-    def _drop(self, bucket: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/host_bucket={bucket}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if files.exists(path):
-            files.delete(path, True)
