@@ -36,8 +36,8 @@ from sightline.session import cut_lineage
 #: A chunk's blocks go out once it holds so many words, or so many different ones.
 CHUNK_WORDS, CHUNK_VOCABULARY = 1 << 20, 1 << 18
 SLICE_BYTES = 2 << 20
-#: Bytes of text that a bucket of phrases stands for: at least, and at most (what one merge holds).
-BUCKET_BYTES = 4 << 20, 16 << 20
+#: Bytes of text that a bucket of phrases stands for: what one merge holds.
+BUCKET_BYTES = 4 << 20
 #: Bytes of each text that end a piece become line feeds, blanks and tabs blanks, A-Z lower case.
 _TRANSLATED = bytes(
     10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
@@ -195,8 +195,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
-    # As many buckets as there are tasks, unless that makes them tiny, and enough for each to be merged in memory.
-    buckets = max(1, held // BUCKET_BYTES[1], min(parts, held // BUCKET_BYTES[0]))
+    buckets = max(1, held // BUCKET_BYTES)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
