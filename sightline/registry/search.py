@@ -10,9 +10,11 @@ from sightline.fixtures import with_views
 from sightline.functions.vectors import cosine, l2norm, normalize
 from sightline.operators import search, similar
 from sightline.operators.centroids import centroid
+from sightline.operators.ivf import VectorIndex
 from sightline.operators.knn import nearest
 from sightline.operators.ordered import top_k
 from sightline.registry.base import query
+from sightline.session import scratch_dir
 
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
@@ -147,6 +149,40 @@ def knn(spark, folder):
     )
 
 
+def _index(spark, folder):
+    view = fx.embeddings_view(spark, folder)
+    return VectorIndex.build(view, scratch_dir(spark, "vectors"), match_on=similar.MATCH_ON, keep=["host_id"])
+
+
+@query(
+    "knn_exact_index",
+    with_views(
+        "embeddings_view",
+        body="WITH " + _ASKED_SQL + """
+SELECT query_id, embedding_id, host_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 20""",
+    ),
+)
+def knn_exact_index(spark, folder):
+    """The rows of ``knn`` through the index, rings beyond each query's bound skipped."""
+    found = _index(spark, folder).exact(_asked(spark, folder), 20)
+    return found.select(
+        "query_id", "embedding_id", "host_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank")
+    )
+
+
+@query("knn_probed_index")
+def knn_probed_index(spark, folder):
+    """Approximate: each query's best 20 among its nearest cells (a quarter of them), with the share of rows compared.
+
+    No SQL states which cells the fitted centroids make; tests measure recall.
+    """
+    index = _index(spark, folder)
+    asked = _asked(spark, folder)
+    probes = max(1, len(index.rings["cell"].unique()) // 4)
+    read = index.reads(asked, probes=probes).select("query_id", F.round(F.col("rows") / F.col("all_rows"), 6).alias("share_read"))
+    return index.approximate(asked, 20, probes).join(read, "query_id")
+
+
 _BEST_SQL = _ASKED_SQL + """,
 limited AS (SELECT * FROM ranked WHERE rank <= 2000),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host_id
