@@ -20,7 +20,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from sightline.llm.common import plain, quoted, record, rewritten, slices
 from sightline.session import renamed
 
 #: Links of a chunk of documents; pairs in one row of a chunk's list.
-CHUNK_LINKS, LIST_ROWS = 4 << 20, 1 << 16
+CHUNK_LINKS, LIST_ROWS = 2 << 20, 1 << 16
 #: What a worker remembers of the words that it has encoded.
 MOST_WORDS, MOST_IDS = 1 << 20, 8 << 20
 
@@ -48,6 +48,22 @@ def byte_of_character() -> dict[str, int]:
 class ByteLevel(Encoder):
     """Ids of a byte-level tokenizer file; the strings of special tokens are plain text."""
 
+    def full(self) -> bool:
+        return len(self._place) > MOST_WORDS or self._used > MOST_IDS
+
+    def forget(self) -> None:
+        self._forget()
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return self._places(words)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self._ids, self._starts, self._sizes, places)
+
+    def doubtful(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Texts whose words the tokenizer may join across white space."""
+        return self._doubtful(places, bounds)
+
     def __init__(self, path: str):
         super().__init__(path)
         self._library.encode_special_tokens = True
@@ -76,9 +92,9 @@ class Pieces:
         ]
         self._blank = self._library.piece_to_id("▁")
         self._whole_words = not any("\n" in n or "▁" in n.lstrip("▁") for n in names)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._place: dict[str, int] = {"": 0}
         self._parts, self._sizes = [np.array([self._blank], np.int64)], [np.ones(1, np.int64)]
         self._pool, self._size, self._start = self._parts[0], self._sizes[0], np.zeros(1, np.int64)
@@ -87,7 +103,7 @@ class Pieces:
         new = [k for k in dict.fromkeys(keys) if k not in self._place]
         if not new:
             return
-        found = self._library.encode([_actual(k) for k in new], num_threads=1)
+        found = self._library.encode(new, num_threads=1)
         for i, key in enumerate(new):
             if key[0] == "\n":  # a line feed follows what is before it without a blank
                 if found[i][0] != self._blank:
@@ -101,34 +117,41 @@ class Pieces:
         self._pool, self._size = self._parts[0], self._sizes[0]
         self._start = np.cumsum(self._size) - self._size
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each)."""
-        if len(self._place) > MOST_WORDS or len(self._pool) > MOST_IDS:
-            self._forget()
-        keys: list[list[str]] = []
-        for text in texts:
-            if not text:
-                keys.append([])
-            elif not self._whole_words or text[0] == " " or "  " in text or "▁" in text or "\0" in text:
-                keys.append(["\0" + text])  # a whole text
-            else:
-                keys.append(text.replace("\n", " \n").split(" "))
-        flat = list(chain.from_iterable(keys))
+    def full(self) -> bool:
+        return len(self._place) > MOST_WORDS or len(self._pool) > MOST_IDS
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text, a line feed leading its own; none if only the library can tell the text's pieces."""
+        if not self._whole_words or text[0] == " " or "  " in text or "▁" in text:
+            return None
+        return text.replace("\n", " \n").split(" ")
+
+    def places(self, words: list[str]) -> np.ndarray:
         try:
-            places = np.fromiter(map(self._place.__getitem__, flat), np.int64, len(flat))
+            return np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
         except KeyError:
-            self._learn(flat)
-            places = np.fromiter(map(self._place.__getitem__, flat), np.int64, len(flat))
-        sizes = self._size[places]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self._pool[np.repeat(self._start[places] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))])
-        return ids, np.diff(ends[bounds])
+            self._learn(words)
+            return np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
 
+    def known(self, start: int) -> list[str]:
+        """Words from place ``start`` on."""
+        return list(islice(self._place, start, None))
 
-def _actual(key: str) -> str:
-    """What the library is asked for: a whole text is marked by a leading NUL."""
-    return key[1:] if key[0] == "\0" else key
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self._pool, self._start, self._size, places)
+
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._library.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+
+
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches of a pool one after the other, where each ends)."""
+    sizes = size[places]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(start[places] - (ends - sizes), sizes) + np.arange(total)], ends
 
 
 def shared_cuts(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +161,18 @@ def shared_cuts(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray) -> tupl
     bytes counted through; ``first`` has the first token on side A of every
     document, and one more at the end. Both sides end with every document.
     """
+    ended = np.zeros(end_a[-1] + 1, bool)
+    ended[end_b] = True
     low, high = first[:-1], first[1:] - 1  # tokens of A; the last one ends the interval
     start = np.concatenate([[0], end_a[high[:-1]]])
     cuts = [high]
     while len(low):
         inner = high > low
         low, high, start = low[inner], high[inner], start[inner]
-        middle = np.clip(np.searchsorted(end_a, (start + end_a[high]) // 2), low, high - 1)
+        middle = (low + high) // 2
+        wide = np.flatnonzero(high - low > 8)
+        middle[wide] = np.searchsorted(end_a, (start[wide] + end_a[high[wide]]) // 2)
+        middle = np.clip(middle, low, high - 1)
         found = np.full(len(low), -1)
         open_, step = np.arange(len(low)), 0
         while len(open_):
@@ -152,8 +180,7 @@ def shared_cuts(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray) -> tupl
             at = middle[open_] + (-(step // 2) if step % 2 == 0 else (step + 1) // 2)
             inside = (at >= low[open_]) & (at < high[open_])
             place = at[inside]
-            ends = end_a[place]
-            hit = end_b[np.searchsorted(end_b, ends)] == ends
+            hit = ended[end_a[place]]
             found[open_[inside][hit]] = place[hit]
             reach = (step + 1) // 2
             more = (middle[open_] + reach < high[open_]) | (middle[open_] - reach >= low[open_])
@@ -168,7 +195,7 @@ def shared_cuts(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray) -> tupl
             np.concatenate([start[some], end_a[cut]]),
         )
     last_a = np.sort(np.concatenate(cuts))
-    return last_a, np.searchsorted(end_b, end_a[last_a])
+    return last_a, (np.cumsum(ended, dtype=np.int32)[end_a[last_a]] - 1).astype(np.int64)
 
 
 @dataclass
@@ -188,6 +215,7 @@ class Aligner:
 
     def __init__(self, bytes_path: str, pieces_path: str):
         self.a, self.b = ByteLevel(bytes_path), Pieces(pieces_path)
+        self._in_a = np.zeros(0, np.int64)  # side A's place of each word of side B
         self._sizes = [np.array([len(b) for b in side.bytes], np.int64) for side in (self.a, self.b)]
         self._begin = [np.cumsum(sizes) - sizes for sizes in self._sizes]
         self._bytes = [np.frombuffer(b"".join(side.bytes), np.uint8) for side in (self.a, self.b)]
@@ -198,9 +226,7 @@ class Aligner:
     def align(self, texts: list[str]) -> Aligned:
         """A text that is empty, or that either side's tokens don't spell with its leading blank, has no tokens."""
         n = len(texts)
-        ids_a, n_a = self.a.encode([" " + t if t else "" for t in texts])
-        ids_b, n_b = self.b.encode(texts)
-        ids_a = ids_a.astype(np.int64)
+        ids_a, n_a, ids_b, n_b = self._encode(texts)
         whole = b"".join([b" " + t.encode() if t else b"" for t in texts])
         size = np.fromiter((1 + len(t.encode()) if t else 0 for t in texts), np.int64, n)
         spelt = self._spelt(0, ids_a, n_a, whole, size) & self._spelt(1, ids_b, n_b, whole, size)
@@ -229,6 +255,42 @@ class Aligner:
         pairs = (ids_a[own_a] << 32) | ids_b[own_b]
         return Aligned(n_a, n_b, n_groups, n_a + n_b - n_groups, digest, pairs)
 
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides, one text after the other, and the number of each text's; words are looked up once for both."""
+        if self.a.full() or self.b.full():
+            self.a.forget()
+            self.b.forget()
+            self._in_a = np.zeros(0, np.int64)
+        words = [None if not t or "<|" in t else self.b.words(t) for t in texts]
+        quick = np.array([i for i, own in enumerate(words) if own is not None], np.int64)
+        places = self.b.places(list(chain.from_iterable(words[i] for i in quick.tolist())))
+        new = self.b.known(len(self._in_a))
+        if new:
+            self._in_a = np.concatenate([self._in_a, self.a.places(new)])
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter((len(words[i]) for i in quick.tolist()), np.int64, len(quick)))])
+        in_a = self._in_a[places]
+        doubtful = np.zeros(len(quick), bool)
+        if len(places):
+            doubtful[self.a.doubtful(in_a, bounds)] = True
+        if doubtful.any():
+            stay = np.repeat(~doubtful, np.diff(bounds))
+            places, in_a = places[stay], in_a[stay]
+            bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[~doubtful])])
+            quick = quick[~doubtful]
+        rest = np.setdiff1d(np.flatnonzero([bool(t) for t in texts]), quick)
+        slow = [texts[i] for i in rest.tolist()]
+        out = []
+        for side, own, whole in ((self.a, in_a, [" " + t for t in slow]), (self.b, places, slow)):
+            ids, ends = side.ids(own)
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[quick] = np.diff(np.concatenate([[0], ends])[bounds])
+            if slow:
+                more, sizes[rest] = side.encode(whole) if side is self.a else side.library(whole)
+                owner = np.concatenate([np.repeat(quick, sizes[quick]), np.repeat(rest, sizes[rest])])
+                ids = np.concatenate([ids, more])[np.argsort(owner, kind="stable")]
+            out += [ids.astype(np.int64), sizes]
+        return tuple(out)
+
     def _spelt(self, side: int, ids: np.ndarray, tokens: np.ndarray, whole: bytes, size: np.ndarray) -> np.ndarray:
         """Texts whose tokens have exactly the bytes that ``whole`` has for them, ``size`` of each."""
         lengths = self._sizes[side][ids]

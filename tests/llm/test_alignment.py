@@ -83,11 +83,12 @@ def test_shared_cuts_halve_whole_intervals():
         assert [end_a[i] for i in a] == common == [end_b[i] for i in b]
 
 
-def test_pieces_forget(monkeypatch):
-    texts = odd_texts(9, 120)
+def test_what_a_worker_knows_is_bounded(monkeypatch):
+    texts = ["".join(p) for p in zip(odd_texts(9, 240), odd_texts(10, 240))] + ["The same few words. " * 9] * 5
+    whole = alignment.Aligner(A_FILE, B_FILE).align(texts)
     monkeypatch.setattr(alignment, "MOST_WORDS", 5)
-    pieces, model = alignment.Pieces(B_FILE), sentencepiece.SentencePieceProcessor(model_file=B_FILE)
-    for at in range(0, len(texts), 10):
-        ids, sizes = pieces.encode(texts[at : at + 10])
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [model.encode(t) for t in texts[at : at + 10]]
+    small = alignment.Aligner(A_FILE, B_FILE)
+    parts = [small.align(texts[at : at + 10]) for at in range(0, len(texts), 10)]
+    assert len(small.b.known(0)) < 500
+    assert [d for p in parts for d in p.digest] == whole.digest
+    assert np.concatenate([p.pairs for p in parts]).tolist() == whole.pairs.tolist()
