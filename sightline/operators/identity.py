@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,16 +50,68 @@ COLUMNS = (
 
 
 def pair_score(left: Column, right: Column, mode: str = "unit") -> Column:
-    """For each left vector its best cosine on the right; mean of the best two.
+    """For each left vector its best cosine on the right; mean of the best two. Zero where a side is empty or null.
 
-    Both sides are short arrays of vectors (12 anchors at most).
+    Both sides are short arrays of vectors (12 anchors at most); a batch of
+    pairs is scored at once, as products of its unit vectors.
     """
-    best = F.transform(
-        left, lambda a: F.array_max(F.transform(right, lambda b: cosine(a, b, mode)))
-    )
-    top = F.slice(F.sort_array(best, asc=False), 1, 2)
-    mean = F.aggregate(top, F.lit(0.0), lambda total, x: total + x) / F.size(top)
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), mean).otherwise(F.lit(0.0))
+    if mode not in ("raw", "unit"):
+        raise ValueError(f"no pair score of mode {mode!r}")
+
+    @F.arrow_udf("double")
+    def score(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(_pair_means(left, right, mode == "unit"))
+
+    return score(left.cast("array<array<double>>"), right.cast("array<array<double>>"))
+
+
+def _unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Of lists of vectors: sizes of the lists, each vector's length and place among those of its length, unit rows by length."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    vectors = lists.flatten()
+    vectors = vectors.fill_null([]) if vectors.null_count else vectors
+    dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    place, rows = np.zeros(len(dims), np.int64), {}
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        own = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+        norms = np.sqrt((own * own).sum(axis=1, keepdims=True))
+        place[at], rows[dim] = np.arange(len(at)), np.divide(own, norms, out=np.zeros_like(own), where=norms > 0)
+    return sizes, dims, rows, place
+
+
+def _pair_means(left: pa.Array, right: pa.Array, clamp: bool, step: int = 1 << 22) -> np.ndarray:
+    n_left, dim_left, rows_left, place_left = _unit_rows(left)
+    n_right, dim_right, rows_right, place_right = _unit_rows(right)
+    out = np.zeros(len(n_left))
+    both = (n_left > 0) & (n_right > 0)
+    # One line for each left vector of a scored pair, one cell for each right vector it meets.
+    owner = np.repeat(np.flatnonzero(both), n_left[both])
+    if not len(owner):
+        return out
+    first_left, first_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    starts = np.cumsum(n_left[both]) - n_left[both]
+    line = np.repeat(first_left[both] - starts, n_left[both]) + np.arange(len(owner))
+    cells = n_right[owner]
+    heads = np.cumsum(cells) - cells
+    a = np.repeat(line, cells)
+    b = np.repeat(first_right[owner] - heads, cells) + np.arange(len(a))
+    value = np.zeros(len(a))
+    for dim in set(rows_left) & set(rows_right) - {0}:
+        at = np.flatnonzero((dim_left[a] == dim) & (dim_right[b] == dim))
+        for low in range(0, len(at), max(1, step // dim)):
+            some = at[low : low + max(1, step // dim)]
+            value[some] = np.einsum("ij,ij->i", rows_left[dim][place_left[a[some]]], rows_right[dim][place_right[b[some]]])
+    if clamp:
+        value = np.clip(value, 0.0, 1.0)
+    best = np.maximum.reduceat(value, heads)
+    # The best two of each pair's lines.
+    order = np.lexsort((-best, owner))
+    top = best[order]
+    second = np.where(n_left[both] > 1, top[np.minimum(starts + 1, len(top) - 1)], np.nan)
+    out[both] = np.where(np.isnan(second), top[starts], (top[starts] + second) / 2)
+    return out
 
 
 def _vectors(anchors: Column) -> Column:

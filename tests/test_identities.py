@@ -1,5 +1,8 @@
 """Identity goldens and brute-force checks."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +257,26 @@ def test_pair_scores_match_brute_force(spark):
                     expected[x, y] = score
     got = {(r["source"], r["other"]): r["score"] for r in ident.pair_scores(frame).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+
+
+def test_pair_score_of_odd_sides(spark):
+    rnd = random.Random(6)
+
+    def side():
+        kind = rnd.randrange(6)
+        if kind == 0:
+            return rnd.choice([None, [], [[]], [[0.0, 0.0]]])
+        return [[rnd.uniform(-1, 1) for _ in range(rnd.choice([2, 2, 2, 3]))] for _ in range(rnd.randrange(1, 5))]
+
+    def cos(a, b, clamp):
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        value = sum(x * y for x, y in zip(a, b)) / norms if len(a) == len(b) and norms > 0 else 0.0
+        return min(1.0, max(0.0, value)) if clamp else value
+
+    rows = [(i, side(), side()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "i int, a array<array<double>>, b array<array<double>>")
+    for mode in ("raw", "unit"):
+        got = {r["i"]: r["s"] for r in frame.select("i", ident.pair_score(F.col("a"), F.col("b"), mode).alias("s")).collect()}
+        for i, a, b in rows:
+            best = sorted((max(cos(x, y, mode == "unit") for y in b) for x in a), reverse=True)[:2] if a and b else []
+            assert math.isclose(got[i], sum(best) / len(best) if best else 0.0, abs_tol=1e-12)
