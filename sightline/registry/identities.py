@@ -9,8 +9,10 @@ from sightline.config import IDENTITY
 from sightline.fixtures import with_views
 from sightline.operators import identity as ident
 from sightline.operators.graph import close_merge_map
+from sightline.operators.identity_state import IdentityState
 from sightline.plans.faces import prepare_faces
 from sightline.registry.base import query
+from sightline.session import scratch_dir
 
 # Similarities of random vectors are low; these thresholds make matches happen.
 _LOOSE = IDENTITY.__class__(match=0.30, same_asset_relaxation=0.07, ambiguity=0.05, consolidation=0.22,
@@ -407,6 +409,71 @@ def purge(spark, folder):
     return ident.purge(people, face_keys=gone).select("face_key", "observation_count")
 
 
+# Tracks as batches: an even track is in the first, an odd one in the second; each goes to the identity of its number.
+_FOLD_SQL = """
+n AS (SELECT count(*) AS people FROM identities_view),
+tv AS (SELECT vec_id, vec_id // 3 AS t, 'v' || ((vec_id // 3) % 50) AS asset, embedding::DOUBLE[] AS v, (5 + vec_id % 11)::DOUBLE AS q FROM embeddings),
+named AS (SELECT *, 'face-' || lpad(((t // 2) % (SELECT people FROM n))::VARCHAR, 6, '0') AS face_key, t % 2 AS batch FROM tv),
+tr AS (SELECT DISTINCT face_key, t, batch, asset, 3 + t % 5 AS samples, (t % 13)::DOUBLE AS tq, (t % 17)::DOUBLE / 17 AS cq FROM named),
+agg AS (SELECT face_key, sum(samples) AS samples, max(tq) AS tq FROM tr GROUP BY face_key),
+one AS (SELECT face_key, batch, max(cq) AS cq, min_by(asset, struct_pack(c := -cq, a := asset, k := t)) AS asset FROM tr GROUP BY ALL),
+cover AS (SELECT face_key, CASE WHEN a0.face_key IS NULL THEN a1.asset WHEN a1.cq > a0.cq THEN a1.asset ELSE a0.asset END AS cover_asset
+  FROM (SELECT * FROM one WHERE batch = 0) a0 FULL JOIN (SELECT * FROM one WHERE batch = 1) a1 USING (face_key)),
+ring AS (SELECT face_key, asset, min(o) AS o FROM (
+  SELECT face_key, asset, (1 - batch) AS o FROM tr UNION ALL SELECT face_key, 'v' || (n % 50), 2 FROM identities_view) GROUP BY ALL),
+rings AS (SELECT face_key, string_agg(asset, ',' ORDER BY o, asset DESC) AS assets FROM ring GROUP BY face_key),
+held AS (SELECT face_key, unnest(anchors)::DOUBLE[] AS v FROM identities_view),
+fresh AS (SELECT a.* FROM named a WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.face_key = a.face_key AND list_cosine_similarity(h.v, a.v) >= 0.975)
+  AND NOT EXISTS (SELECT 1 FROM named b WHERE b.face_key = a.face_key AND (b.batch < a.batch OR (b.batch = a.batch AND (b.q > a.q OR (b.q = a.q AND b.vec_id < a.vec_id))))
+    AND list_cosine_similarity(b.v, a.v) >= 0.975)),
+added AS (SELECT face_key, count(*) AS vectors FROM fresh GROUP BY face_key)
+"""
+
+
+@query(
+    "fold_identities",
+    with_views(
+        "identities_view",
+        body="WITH " + _FOLD_SQL + """
+SELECT i.face_key, 1 + i.n % 7 + coalesce(samples, 0)::BIGINT AS observation_count, greatest((i.n % 11)::DOUBLE, coalesce(tq, 0)) AS quality, cover_asset, assets,
+  least(12, len(anchors) + coalesce(vectors, 0))::BIGINT AS anchor_count
+FROM identities_view i LEFT JOIN agg USING (face_key) LEFT JOIN cover USING (face_key) LEFT JOIN rings USING (face_key) LEFT JOIN added USING (face_key)""",
+    ),
+)
+def fold_identities(spark, folder):
+    """Two batches of tracks folded into the stored identities, the second of them twice."""
+    state = IdentityState(spark, scratch_dir(spark, "identities"), buckets=8)
+    known = fx.identities_view(spark, folder)
+    state.put(known, "load", 0)
+    people = known.count()
+    track = F.expr("vec_id div 3")
+    vectors = fx.load(spark, folder, "embeddings").select(
+        F.concat(F.lit("face-"), F.lpad((F.expr("vec_id div 6") % people).cast("string"), 6, "0")).alias("face_key"),
+        F.concat(F.lit("v"), (track % 50).cast("string")).alias("asset_id"),
+        track.alias("track_key"),
+        F.col("vec_id").alias("vector_pos"),
+        F.lit("face-vectors").alias("model_key"),
+        (5 + F.col("vec_id") % 11).cast("double").alias("quality"),
+        F.col("embedding").alias("vector"),
+    )
+    box = F.struct(*[F.lit(x).alias(n) for n, x in (("x1", 0.0), ("y1", 0.0), ("x2", 0.5), ("y2", 0.5))])
+    assigned = vectors.select("face_key", "asset_id", "track_key").distinct().select(
+        "face_key",
+        "asset_id",
+        "track_key",
+        (3 + F.col("track_key") % 5).alias("sample_count"),
+        (F.col("track_key") % 13).cast("double").alias("track_quality"),
+        box.alias("cover_box"),
+        ((F.col("track_key") % 17).cast("double") / 17).alias("cover_quality"),
+    )
+    for epoch in (0, 1, 1):
+        part = F.col("track_key") % 2 == epoch
+        state.fold(assigned.filter(part), vectors.filter(part), "tracks", epoch)
+    return state.read().select(
+        "face_key", "observation_count", "quality", "cover_asset", F.array_join("asset_ids", ",").alias("assets"), F.size("anchors").cast("bigint").alias("anchor_count")
+    )
+
+
 def prepare(spark, folder):
     """The whole face path over every sample: evidence rows per kind and asset."""
     samples = fx.face_samples_view(spark, folder)
