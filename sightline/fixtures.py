@@ -44,9 +44,10 @@ def with_views(*names: str, body: str) -> str:
         add(name)
     parts = [f"{name} AS (\n{_VIEWS[name][1]}\n)" for name in ordered]
     extra = body.strip()
-    if extra.upper().startswith("WITH "):
-        parts.append(extra[5:])
-        return "WITH " + ",\n".join(parts)
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if extra.upper().startswith(lead):
+            parts.append(extra[len(lead) :])
+            return lead + ",\n".join(parts)
     return "WITH " + ",\n".join(parts) + "\n" + extra
 
 

@@ -168,7 +168,31 @@ def cluster_report(spark, folder):
     return tracks.cluster_report(tracks.cluster_tracks(_tracked(spark, folder)))
 
 
-@query("representatives_by_quality")
+# A greedy walk as recursion: one step per rank takes the next candidate unless it resembles one that is kept.
+_GREEDY_SQL = _QUALITY_SQL + """,
+cand AS MATERIALIZED (SELECT asset_id, frame_order, sample_pos, vector::DOUBLE[] AS v, norm * score * pq AS quality,
+  score >= 0.65 AND norm >= 18 AND (x2 - x1) * (y2 - y1) >= CASE WHEN (x2 - x1) * (y2 - y1) <= 1 THEN 0.01 ELSE 4096 END AS is_anchor,
+  row_number() OVER (PARTITION BY asset_id ORDER BY norm * score * pq DESC, frame_order, sample_pos) AS i
+  FROM q WHERE vector IS NOT NULL AND ((score >= 0.3 AND norm >= 10) OR (score >= 0.65 AND norm >= 18))),
+near AS (SELECT a.asset_id, a.i, list(b.i) AS alike FROM cand a JOIN cand b ON a.asset_id = b.asset_id AND b.i < a.i AND list_cosine_similarity(a.v, b.v) >= 0.96 GROUP BY ALL),
+steps AS MATERIALIZED (SELECT cand.asset_id, cand.i, coalesce(alike, []::BIGINT[]) AS alike FROM cand LEFT JOIN near ON near.asset_id = cand.asset_id AND near.i = cand.i),
+walk AS (
+  SELECT asset_id, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT asset_id FROM cand)
+  UNION ALL
+  SELECT w.asset_id, s.i, CASE WHEN len(w.kept) < 6 AND NOT list_has_any(w.kept, s.alike) THEN list_append(w.kept, s.i) ELSE w.kept END
+  FROM walk w JOIN steps s ON s.asset_id = w.asset_id AND s.i = w.i + 1),
+last AS (SELECT asset_id, unnest(max_by(kept, i)) AS i FROM walk GROUP BY asset_id)
+"""
+
+
+@query(
+    "representatives_by_quality",
+    with_views(
+        "sample_boxes",
+        body="WITH RECURSIVE " + _GREEDY_SQL + """
+SELECT asset_id, frame_order, sample_pos, quality, is_anchor FROM last JOIN cand USING (asset_id, i)""",
+    ),
+)
 def representatives(spark, folder):
     made = tracks.representatives_by_quality(
         fx.face_samples_view(spark, folder).withColumn("track_key", F.lit("all"))
@@ -176,13 +200,57 @@ def representatives(spark, folder):
     return made.select("asset_id", "frame_order", "sample_pos", "quality", "is_anchor")
 
 
-@query("select_keyframes")
+_KEYFRAME_SQL = _COVER_SQL + """,
+o AS MATERIALIZED (SELECT asset_id, frame_order, sample_pos, frame_order::DOUBLE AS t, x1, y1, x2, y2,
+  row_number() OVER (PARTITION BY asset_id ORDER BY frame_order, sample_pos) AS i, count(*) OVER (PARTITION BY asset_id) AS n,
+  row_number() OVER (PARTITION BY asset_id ORDER BY NOT plausible, cq DESC, frame_order, sample_pos) = 1 AS best FROM cover),
+walk AS (
+  SELECT asset_id, i, best, n, true AS keep, t AS kt, x1 AS a, y1 AS b, x2 AS c, y2 AS d FROM o WHERE i = 1
+  UNION ALL
+  SELECT asset_id, i, best, n, keep, CASE WHEN keep THEN t ELSE kt END, CASE WHEN keep THEN x1 ELSE a END, CASE WHEN keep THEN y1 ELSE b END,
+    CASE WHEN keep THEN x2 ELSE c END, CASE WHEN keep THEN y2 ELSE d END
+  FROM (SELECT *, best OR i = n OR t - kt > 2.5 OR CASE WHEN inter <= 0 THEN 0 ELSE inter / ((x2 - x1) * (y2 - y1) + (c - a) * (d - b) - inter) END < 0.86 AS keep
+    FROM (SELECT o.*, w.kt, w.a, w.b, w.c, w.d, greatest(0, least(o.x2, w.c) - greatest(o.x1, w.a)) * greatest(0, least(o.y2, w.d) - greatest(o.y1, w.b)) AS inter
+      FROM walk w JOIN o ON o.asset_id = w.asset_id AND o.i = w.i + 1))),
+kept AS (SELECT asset_id, i, best, n, count(*) OVER (PARTITION BY asset_id) AS many,
+  row_number() OVER (PARTITION BY asset_id, best ORDER BY i) - 1 AS place, count(*) OVER (PARTITION BY asset_id, best) AS others FROM walk WHERE keep),
+spread AS (SELECT DISTINCT asset_id, round_even(p * (others - 1) / 16.0::DOUBLE, 0)::BIGINT AS place FROM kept, range(17) r(p) WHERE NOT best),
+chosen AS (SELECT asset_id, i, best, n FROM kept LEFT JOIN spread USING (asset_id, place) WHERE best OR many <= 18 OR spread.place IS NOT NULL)
+"""
+
+
+@query(
+    "select_keyframes",
+    with_views(
+        "sample_boxes",
+        body="WITH RECURSIVE " + _KEYFRAME_SQL + """
+SELECT c.asset_id, frame_order, sample_pos, t AS time_seconds, CASE WHEN i = 1 THEN 'first' WHEN c.best THEN 'best' WHEN i = c.n THEN 'last' ELSE 'motion-keyframe' END AS role
+FROM chosen c JOIN o USING (asset_id, i)""",
+    ),
+)
 def keyframes(spark, folder):
     made = tracks.select_keyframes(fx.face_samples_view(spark, folder), ("asset_id",))
     return made.select("asset_id", "frame_order", "sample_pos", "time_seconds", "role")
 
 
-@query("visual_sections")
+# Half of each vector's numbers are ones; a section is walked with the sum of its vectors.
+_SECTION_SQL = """
+WITH RECURSIVE f AS (SELECT label AS asset_id, floor(vec_id / 4)::DOUBLE AS t, vec_id, list_concat([1.0 FOR x IN range(48)]::DOUBLE[], embedding[49:]::DOUBLE[]) AS v FROM embeddings),
+o AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t, vec_id) AS i FROM f),
+walk AS (
+  SELECT asset_id, i, t, i AS start, v AS total FROM o WHERE i = 1
+  UNION ALL
+  SELECT asset_id, i, t, CASE WHEN goes THEN start ELSE i END, CASE WHEN goes THEN list_transform(list_zip(total, v), lambda z: z[1] + z[2]) ELSE v END
+  FROM (SELECT o.asset_id, o.i, o.t, o.v, w.start, w.total, list_cosine_similarity(w.total, o.v) >= 0.92 AS goes
+    FROM walk w JOIN o ON o.asset_id = w.asset_id AND o.i = w.i + 1)),
+spans AS (SELECT asset_id, start, min(t) AS start_seconds, max(t) + 1.0 AS end_seconds, count(*) AS frame_count FROM walk GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start) AS section_index FROM spans WHERE frame_count >= 3 AND end_seconds - start_seconds >= 1)
+SELECT asset_id, section_index, start_seconds, end_seconds, frame_count, 1.0::DOUBLE AS norm FROM kept
+UNION ALL SELECT asset_id, 0, NULL, NULL, count(*), 1.0 FROM f GROUP BY asset_id
+"""
+
+
+@query("visual_sections", _SECTION_SQL)
 def sections(spark, folder):
     """Vectors of one label in id order as one video."""
     frames = fx.load(spark, folder, "embeddings").select(
