@@ -10,6 +10,7 @@ from sightline.fixtures import with_views
 from sightline.functions.vectors import cosine, l2norm, normalize
 from sightline.operators import search, similar
 from sightline.operators.centroids import centroid
+from sightline.operators.grams import TextIndex
 from sightline.operators.ivf import VectorIndex
 from sightline.operators.knn import nearest
 from sightline.operators.ordered import top_k
@@ -720,6 +721,17 @@ def text_seeds(spark, folder):
     return _seeds(spark, folder).select("host_type", "host_id", F.col("score").cast("int").alias("score"), "seed_rank")
 
 
+@query(
+    "text_seeds_index",
+    with_views("hosts", body="WITH " + _SEEDS_SQL + "SELECT host_type, host_id, score, seed_rank FROM seeds"),
+)
+def text_seeds_index(spark, folder):
+    """The seeds of ``text_seeds`` through an index of the titles' pieces."""
+    hosts = fx.hosts(spark, folder).withColumn("host_type", F.lit("video"))
+    index = TextIndex.build(hosts, scratch_dir(spark, "titles"), ["title", "details", "code"])
+    return index.seeds("Red Widget ").select("host_type", "host_id", F.col("score").cast("int").alias("score"), "seed_rank")
+
+
 @query(
     "seed_centroid",
     with_views(
