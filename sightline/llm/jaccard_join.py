@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import plain, quoted, record, slices
@@ -37,11 +37,15 @@ from sightline.session import cut_lineage
 #: Counters of the sketch (4 bytes each) and the parts it is summed in: its size doesn't depend on the corpus.
 COUNTERS, PARTS = 1 << 22, 64
 #: The most shared shingles a text may ask for.
-MOST_SHARED = 4
+MOST_SHARED = 8
 #: What a row of a prefix, a pair counted and a pair verified cost, relative to each other.
 ROW_COST, PAIR_COST, VERIFY_COST = 1.0, 1.0, 40.0
+#: Other texts expected to have a shingle beyond those that the sketch tells apart from chance.
+UNSEEN = 0.25
 #: Texts sharing a shingle that are candidates pair by pair; more are a family.
 FAMILY = 24
+#: In families of sets of so many shingles or more, one shingle of so many ties neighbours; smaller sets have few to spare.
+TIES = ((128, 8), (32, 4), (0, 1))
 #: Shingles in a block of a family; texts wanted that may be sent to the corpus instead of shuffling it.
 BLOCK, FEW_TEXTS = 1 << 19, 200_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,18 +129,31 @@ def _first_seen(found: Sets, seen: set[bytes]) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """How many texts of the corpus hold the shingles of each counter (copies met by several tasks count in each)."""
+def surveyed(docs: DataFrame, text: str, size: int, *others: str) -> tuple[DataFrame, np.ndarray]:
+    """One pass: rows with ``fp`` (digest of a text's words), ``n`` (shingles of its set) and ``c0``... (``others``); the sketch.
+
+    The sketch tells how many texts hold the shingles of each counter (copies met by several tasks count in each).
+    """
+    names = [f"c{i}" for i in range(len(others))]
+    kinds = [docs.schema[c].dataType for c in others]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(COUNTERS, np.uint32), set()
-        for _, found in _read(batches, 0, size):
+        total, seen, types = np.zeros(COUNTERS, np.uint32), set(), None
+        for batch, found in _read(batches, 0, size):
+            types = [c.type for c in batch.columns[1:]]
+            rows = len(found.digest)
+            yield record(
+                ["fp", "n", "part", "counts", *names],
+                [pa.array(found.digest, pa.binary()), found.sizes, pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), *batch.columns[1:]],
+            )
             found.only(_first_seen(found, seen))
             at, often = np.unique(found.values % np.uint64(COUNTERS), return_counts=True)
             total[at.astype(np.int64)] += often.astype(np.uint32)
         for part, some in enumerate(np.split(total, PARTS)):
             if some.any():
-                yield record(["part", "counts"], [[part], [zstandard.compress(some.tobytes())]])
+                packed = pa.array([zstandard.compress(some.tobytes())], pa.binary())
+                empty = [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())]
+                yield record(["fp", "n", "part", "counts", *names], [*empty, [part], packed, *[pa.nulls(1, t) for t in types]])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -147,12 +164,14 @@ def sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
         for part, some in held.items():
             yield record(["part", "counts"], [[part], [np.minimum(some, 0xFFFFFFFF).astype(np.uint32).tobytes()]])
 
-    schema = "part bigint, counts binary"
-    parts = docs.select(F.col(quoted(text))).mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema)
+    schema = ", ".join(["fp binary, n bigint, part bigint, counts binary", *[f"{n} {k.simpleString()}" for n, k in zip(names, kinds)]])
+    own = docs.select(F.col(quoted(text)).alias("__text"), *[F.col(quoted(c)).alias(n) for c, n in zip(others, names)])
+    made = cut_lineage(own.mapInArrow(count, schema))
+    parts = made.filter("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(add, "part bigint, counts binary")
     out = np.zeros((PARTS, COUNTERS // PARTS), np.uint32)
     for row in parts.collect():  # at most PARTS rows
         out[row["part"]] = np.frombuffer(row["counts"], np.uint32)
-    return out.ravel()
+    return made.filter("part IS NULL").select("fp", "n", *names), out.ravel()
 
 
 def prefixes(sizes: np.ndarray, owner: np.ndarray, rivals: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +209,7 @@ def _prefix_rows(docs: DataFrame, text: str, size: int, percent: int, counts: np
             known = sent.value[(found.values % np.uint64(COUNTERS)).astype(np.int64)]
             order = np.lexsort((found.values, known, found.owner))
             values, known = found.values[order], known[order]
-            rivals = np.maximum(known - 1.0 - noise, 0.0)
+            rivals = np.maximum(known - 1.0 - noise, 0.0) + UNSEEN
             asked, length = prefixes(found.sizes, found.owner, rivals, percent)
             place = np.arange(len(values)) - np.repeat(np.cumsum(found.sizes) - found.sizes, found.sizes)
             # A counter of one is this text's own: no other has the shingle.
@@ -233,8 +252,10 @@ def _meet(percent: int, most: int):
                 large = True
                 salt = now.to_bytes(8, "little", signed=True)
                 turn = sorted((r[3] for r in rows), key=lambda f: xxhash.xxh3_64_intdigest(f + salt))
-                for one, other in zip([last, *turn[:-1]] if last else turn, turn if last else turn[1:]):
-                    a.append(min(one, other)), b.append(max(one, other))
+                least = min((r[2] for r in rows), default=0)
+                if now % next(one_of for size, one_of in TIES if least >= size) == 0:
+                    for one, other in zip([last, *turn[:-1]] if last else turn, turn if last else turn[1:]):
+                        a.append(min(one, other)), b.append(max(one, other))
                 a.extend(turn), b.extend([None] * len(turn))
                 family.extend([None] * (len(a) - len(family) - len(turn)) + [now] * len(turn))
                 need.extend([0] * (len(a) - len(need))), near.extend([True] * (len(a) - len(near)))
@@ -356,22 +377,39 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_lineage(texts.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")))
 
 
-def numbered(docs: DataFrame, text: str, size: int, *others: str) -> DataFrame:
-    """The columns ``others`` of ``docs``, with the digest of each row's words in ``fp`` and the size of its set in ``n``."""
+def digested(docs: DataFrame, text: str, *others: str) -> DataFrame:
+    """``fp`` (digest of the text's words) and ``c0``... (the columns ``others``) of every row of ``docs``."""
     names = [f"c{i}" for i in range(len(others))]
-    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, others))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _read(batches, 0, size):
-            yield record(["fp", "n", *names], [pa.array(found.digest, pa.binary()), found.sizes, *batch.columns[1:]])
+        for batch in batches:
+            texts = plain(batch.column(0), pa.string()).cast(pa.binary())
+            yield record(["fp", *names], [pa.array([digest(t.as_py()) for t in texts], pa.binary()), *batch.columns[1:]])
 
     own = docs.select(F.col(quoted(text)).alias("__text"), *[F.col(quoted(c)).alias(n) for c, n in zip(others, names)])
-    return own.mapInArrow(run, ", ".join(["fp binary, n bigint", *([kinds] if kinds else [])]))
+    return own.mapInArrow(run, ", ".join(["fp binary", *[f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, others)]]))
+
+
+def digest(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words_of(text)))
 
 
-def links(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """Links (``a``, ``b``, digests of words) between different texts; they connect exactly what all similar pairs connect."""
-    counts = sketch(docs, text, size)
+def classes(
+    docs: DataFrame,
+    text: str = "text",
+    size: int = 3,
+    percent: int = 90,
+    proposed: DataFrame | None = None,
+    counts: np.ndarray | None = None,
+) -> DataFrame:
+    """``fp`` (digest of a text's words) and ``label`` (the smallest digest reachable by links) of every text that has links.
+
+    Pairs ``proposed`` by another method (``a``, ``b``) are verified first, so
+    that what they link needs no further comparison. ``counts`` is the sketch,
+    if it has been made.
+    """
+    if counts is None:
+        _, counts = surveyed(docs, text, size)
     rows = _prefix_rows(docs, text, size, percent, counts).repartition("shingle").sortWithinPartitions("shingle", "fp")
     met = cut_lineage(rows.mapInArrow(_meet(percent, FAMILY), "a binary, b binary, asked int, near boolean, family bigint"))
     pairs = (
@@ -380,9 +418,12 @@ def links(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90)
         .agg(F.max("near").alias("near"), F.min("asked").alias("asked"), F.sum(F.expr("int(not near)")).alias("shared"))
         .filter("near OR shared >= asked")
     )
-    pairs = cut_lineage(pairs.select("a", "b", "near"))
+    pairs = pairs.select("a", "b", "near")
+    if proposed is not None:
+        pairs = pairs.unionByName(proposed.select("a", "b", F.lit(True).alias("near"))).groupBy("a", "b").agg(F.max("near").alias("near"))
+    pairs = cut_lineage(pairs)
     family = met.filter("b IS NULL").select("family", F.col("a").alias("fp"))
-    texts = numbered(docs, text, size, text).select("fp", F.col("c0").alias("text"))
+    texts = digested(docs, text, text).select("fp", F.col("c0").alias("text"))
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(family.select("fp"))
     held = _texts_of(texts, wanted)
 
@@ -391,12 +432,21 @@ def links(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90)
         return cut_lineage(sides.select("a", "b", "left", "right").mapInArrow(_verify(size, percent), "a binary, b binary"))
 
     # One link for each text first; most of a group then is one component, and only what is apart is compared further.
-    first = similar(_one_each(pairs))
-    label = cut_lineage(components(first))
-    rest = _different(pairs, label)
-    second = similar(rest)
-    found = cut_lineage(first.unionByName(second))
-    return found.unionByName(_families(family, held, found, size, percent))
+    label = cut_lineage(components(similar(_one_each(pairs))).toDF("fp", "label"))
+    label = _joined(label, similar(_different(pairs, label)))
+    return _joined(label, _families(family, held, label, size, percent))
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only those that the links join are looked at again."""
+    if links.isEmpty():
+        return label
+    one, other = label.toDF("a", "label_a"), label.toDF("b", "label_b")
+    short = links.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    top = cut_lineage(components(short).toDF("label", "top"))
+    moved = label.join(top, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
+    alone = top.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("fp"), F.col("top").alias("label"))
+    return cut_lineage(moved.unionByName(alone))
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
@@ -409,22 +459,24 @@ def _one_each(pairs: DataFrame) -> DataFrame:
 def _different(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs that lie in different components so far."""
     return (
-        pairs.join(label.toDF("a", "label_a"), "a", "left")
+        pairs.filter("not near")
+        .join(label.toDF("a", "label_a"), "a", "left")
         .join(label.toDF("b", "label_b"), "b", "left")
         .filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
         .select("a", "b")
     )
 
 
-def _families(family: DataFrame, held: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+def _families(family: DataFrame, held: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
     """Links within families between what is still apart: every text outside a family's largest part meets all of it."""
-    label = components(found).toDF("fp", "label")
     members = cut_lineage(family.join(label, "fp", "left").select("family", "fp", F.coalesce("label", "fp").alias("label")))
     parts = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("texts"))
     largest = parts.groupBy("family").agg(
-        F.max_by("label", F.struct("texts", "label")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("texts").alias("texts")
+        F.max_by("label", F.struct("texts", "label")).alias("largest"), F.count(F.lit(1)).alias("parts")
     )
-    open_ = members.join(largest.filter("parts > 1"), "family").join(held, "fp")
+    # The shingles of one family mostly have the same largest part: they are compared together, each text once.
+    mixed_ = members.join(largest.filter("parts > 1"), "family").select(F.col("largest").alias("family"), "fp", "label").distinct()
+    open_ = mixed_.join(held, "fp").withColumn("largest", F.col("family"))
     # Blocks by the bytes of texts, of which a shingle takes a few.
     weight = open_.groupBy("family").agg(
         F.sum(F.octet_length("text")).alias("all"), F.sum(F.when(F.col("label") != F.col("largest"), F.octet_length("text")).otherwise(0)).alias("outside")
@@ -452,10 +504,10 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     Repeated keys stay rows of their own; a null key counts for no component,
     and among null keys alone the id is null. Without rows there are none.
     """
-    rows = cut_lineage(numbered(docs, text, size, key))
+    rows, counts = surveyed(docs, text, size, key)
     worded = rows.filter("n > 0")
     own = worded.groupBy("fp").agg(F.min("c0").alias("least"))
-    label = components(links(docs, text, size, percent)).toDF("fp", "label")
+    label = classes(docs, text, size, percent, counts=counts)
     labelled = cut_lineage(own.join(label, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of_text = labelled.join(smallest, "label").select("fp", "component_id")
