@@ -6,9 +6,10 @@ equal to it in the filter columns and in dimension.
 
 Two plans, chosen by measured size. A bounded query set travels to the tasks
 and the corpus is scanned where it lies: no corpus shuffle, at most a running
-top-k per task leaves it. A larger query set is cut into blocks, as is the
-corpus, and each pair of blocks is one bounded task. Either way block products
-are matrix products on Arrow batches and only candidates leave a task.
+top-k per task leaves it. A larger query set, or one with many results, is cut
+into blocks that each walk the corpus (``walk.py``) and return results alone.
+Scores of groups cut the corpus too: each pair of blocks is one bounded task.
+Either way block products are matrix products on Arrow batches.
 """
 
 from __future__ import annotations
@@ -23,34 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.ordered import first_by, top_k
+from sightline.operators.walk import NearestRows, walk
+from sightline.operators.walk import by_space as _by_space
+from sightline.operators.walk import unit_rows as _matrix
 
 QUERY_BYTES = 64 << 20
 STATE_BYTES = 256 << 20
+#: Results of a query set whose candidates may be gathered from all tasks.
+GATHERED = 1 << 20
 BLOCK_ROWS = 4096
 DECIMALS = 9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of one dimension as unit rows in double precision."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
-def _by_space(spaces: pa.Array):
-    """Row positions for each distinct space."""
-    encoded = spaces.combine_chunks() if isinstance(spaces, pa.ChunkedArray) else spaces
-    encoded = encoded.dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(codes, kind="stable")
-    cuts = np.searchsorted(codes[order], np.arange(len(encoded.dictionary) + 1))
-    for i, space in enumerate(encoded.dictionary.to_pylist()):
-        yield space, order[cuts[i] : cuts[i + 1]]
-
-
 @dataclass
 class _Queries:
     """Unit query rows and their values of ``query_id`` per space."""
@@ -114,7 +99,7 @@ def _emit(batch, carried: Sequence[str], query_type: pa.DataType, found):
     )
 
 
-def _space(df: DataFrame, match_on: Sequence[str], vector: str) -> Column:
+def space_of(df: DataFrame, match_on: Sequence[str], vector: str) -> Column:
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in match_on]
     return F.concat_ws("\u001f", *parts, F.size(vector).cast("string"))
 
@@ -131,7 +116,7 @@ def nearest(
     match_on: Sequence[str] = (),
     keep: Sequence[str] = (),
     query_bytes: int = QUERY_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows per query: ``query_id``, ``row_id``,
     ``keep``, ``distance`` and ``rank`` (by distance, then ``row_id``).
@@ -146,29 +131,54 @@ def nearest(
     query_arrow = _arrow_type(asked, "_query")
     schema = _schema(asked, searched, carried)
 
-    if numbers * 8 <= query_bytes and count * k * 8 <= STATE_BYTES:
-        held = spark.sparkContext.broadcast(_Queries.of(asked.toArrow()))
-
-        def scan(batches):
-            state = _Scan(held.value, k)
-            for batch in batches:
-                for found in state.candidates(batch):
-                    yield _emit(batch, carried, query_arrow, found)
-
-        found = searched.mapInArrow(scan, schema)
-    else:
-
-        def scanner(left: pa.Table):
-            return _Scan(_Queries.of(left), k)
-
-        found = _blocks(asked, searched, scanner, count, carried, query_arrow, schema, block_rows)
-
+    if numbers * 8 > query_bytes or count * k > gathered:
+        names = ["_query", *carried, "distance", "rank"]
+        found = walk(
+            asked, searched, F.col("_query"), [row_id], lambda left: NearestRows(left, k, names), schema + ", rank int", count
+        )
+        return found.withColumnRenamed("_query", query_id)
+    held = spark.sparkContext.broadcast(_Queries.of(asked.toArrow()))
+
+    def scan(batches):
+        state = _Scan(held.value, k)
+        for batch in batches:
+            for found in state.candidates(batch):
+                yield _emit(batch, carried, query_arrow, found)
+
+    found = searched.mapInArrow(scan, schema)
     ranked = top_k(
         found, ["_query"], [F.col("distance"), F.col(row_id)], k, salt=F.col(row_id)
     )
     return ranked.withColumnRenamed("_query", query_id)
 
 
+def nearest_of_groups(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    *,
+    group: str,
+    tie: Sequence[str],
+    most: int | None = None,
+    query_id: str = "query_id",
+    row_id: str = "embedding_id",
+    match_on: Sequence[str] = (),
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Of each query's ``k`` nearest rows the best of every ``group`` (ties by
+    ``tie``, nulls last, then ``row_id``) with its ``rank`` by distance and
+    group; the first ``most`` of them where given.
+    """
+    carried = list(dict.fromkeys([row_id, group, *tie, *keep]))
+    asked, searched, count, _ = _prepared(queries, corpus, query_id, "vector", "vector", match_on, carried)
+    names, ties = ["_query", *carried, "distance", "rank"], [*tie, row_id]
+    found = walk(
+        asked, searched, F.col("_query"), [row_id],
+        lambda left: NearestRows(left, k, names, group, ties, most), _schema(asked, searched, carried) + ", rank int", count,
+    )
+    return found.withColumnRenamed("_query", query_id)
+
+
 class _GroupScan:
     """Nearest row of each corpus group per query, one batch at a time."""
 
@@ -418,12 +428,12 @@ def _last(df: DataFrame, column: str) -> Column:
 def _prepared(queries, corpus, query_id, query_vector, vector, match_on, carried):
     asked = queries.filter(F.size(query_vector) > 0).select(
         F.col(query_id).alias("_query"),
-        _space(queries, match_on, query_vector).alias("_space"),
+        space_of(queries, match_on, query_vector).alias("_space"),
         F.col(query_vector).cast("array<float>").alias("_vector"),
     )
     searched = corpus.filter(F.size(vector) > 0).select(
         *carried,
-        _space(corpus, match_on, vector).alias("_space"),
+        space_of(corpus, match_on, vector).alias("_space"),
         F.col(vector).cast("array<float>").alias("_vector"),
     )
     size = asked.agg(

@@ -17,10 +17,12 @@ from sightline.config import (
     SEMANTIC_KIND,
 )
 from sightline.operators.centroids import centroid
-from sightline.operators.knn import nearest, nearest_per_group
+from sightline.operators.blend import BlendedHosts, MeanHosts
+from sightline.operators.knn import nearest, space_of
 from sightline.operators.ordered import first_by, time_bucket, top_k
 from sightline.operators.search import best_per_host
 from sightline.operators.timeline import interval_weights, merge_intervals, representatives
+from sightline.operators.walk import walk
 from sightline.session import cut_lineage
 
 MATCH_ON = ("kind", "kind_family", "modality", "is_semantic", "source_key")
@@ -257,6 +259,42 @@ def blend_visual(matches: DataFrame) -> DataFrame:
     )
 
 
+def _compared(df: DataFrame, columns: Sequence[str], *also: str) -> DataFrame:
+    """``columns``, the vector, and what must be equal for two vectors to be compared."""
+    vector = F.col("vector").cast("array<float>").alias("_vector")
+    return df.filter(F.size("vector") > 0).select(*columns, space_of(df, [*MATCH_ON, *also], "vector").alias("_space"), vector)
+
+
+def _typed(names: Sequence[str], *sources: DataFrame) -> str:
+    known = {"distance": "double", "role_count": "bigint", "position": "int"}
+    for df in sources:
+        known |= {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{n}` {known[n]}" for n in names)
+
+
+def similar_hosts(
+    queries: DataFrame,
+    embeddings: DataFrame,
+    *,
+    host_type: str = "video",
+    exclude_self: bool = True,
+    k: int = SEARCH.knn_limit,
+    most: int | None = None,
+) -> DataFrame:
+    """The rows of ``blend_visual(similar_matches(...))``, blended where an asset's queries meet the corpus, so that no
+    match leaves a task. ``most``: only so many of each asset and role, the nearest by distance and host.
+    """
+    asked = _compared(queries.filter(F.col("weight") > 0), [*_ASSET, "query_pos", "role", "weight", "scope"])
+    found = ["embedding_id", "kind", "section_index", "start_seconds", "end_seconds"]
+    searched = _compared(embeddings.filter(F.col("host_type") == host_type), ["host_id", *found])
+    names = [*_ASSET, "host_id", "distance", "role_count", *found, "role"]
+    options = {"host_type": host_type if exclude_self else None, "bonus": (SEARCH.role_bonus, SEARCH.role_bonus_cap), "most": most}
+    return walk(
+        asked, searched, F.struct(*_ASSET), ["embedding_id"], lambda left: BlendedHosts(left, k, names, **options),
+        _typed(names, asked, searched), asked.count(),
+    )
+
+
 def diversify(blended: DataFrame, limit: int = SEARCH.maximum_results) -> DataFrame:
     """``position`` in the mixed order: the two nearest, then the roles taking
     turns. Closed form of the turn-taking: order by turn within the role.
@@ -328,27 +366,13 @@ def audio_similar(
     """Videos that sound alike: weighted mean of the best distance per query,
     every stored vector considered; ``position`` up to ``limit`` per asset.
     """
-    queries = with_query_id(audio_queries(embeddings, hosts))
-    corpus = embeddings.filter(F.col("host_type") == "video").withColumn(
-        "scope", F.when(F.col("section_index") == 0, "asset").otherwise("section")
-    )
-    found = nearest_per_group(
-        queries,
-        corpus,
-        group="host_id",
-        tie=["section_index", "start_seconds", "embedding_id"],
-        match_on=[*MATCH_ON, "scope"],
-        keep=["end_seconds"],
-    )
-    matches = found.join(
-        queries.select("query_id", "asset_id", "query_pos", "weight"), "query_id"
-    ).filter(F.col("host_id") != F.col("asset_id"))
-    best = F.struct("embedding_id", "section_index", "start_seconds", "end_seconds")
-    blended = matches.groupBy("asset_id", "host_id").agg(
-        F.round(F.sum(F.col("distance") * F.col("weight")) / F.sum("weight"), 9).alias("_distance"),
-        F.min_by(best, F.struct("distance", "query_pos")).alias("_best"),
-    )
-    result = blended.select(
-        "asset_id", "host_id", F.col("_distance").alias("distance"), F.col("_best.*")
+    scope = F.when(F.col("section_index") == 0, "asset").otherwise("section")
+    asked = _compared(audio_queries(embeddings, hosts), ["asset_id", "query_pos", "weight"], "scope")
+    corpus = embeddings.filter(F.col("host_type") == "video").withColumn("scope", scope)
+    found = ["host_id", "embedding_id", "section_index", "start_seconds", "end_seconds"]
+    searched = _compared(corpus, found, "scope")
+    names = ["asset_id", "host_id", "distance", *found[1:], "position"]
+    order = ["host_id", "section_index", "start_seconds", "embedding_id"]
+    return walk(
+        asked, searched, F.col("asset_id"), order, lambda left: MeanHosts(left, limit, names), _typed(names, asked, searched), asked.count()
     )
-    return top_k(result, ["asset_id"], [F.col("distance"), F.col("host_id")], limit, rank="position")

@@ -12,8 +12,7 @@ from sightline.operators import search, similar
 from sightline.operators.centroids import centroid
 from sightline.operators.grams import TextIndex
 from sightline.operators.ivf import VectorIndex
-from sightline.operators.knn import nearest
-from sightline.operators.ordered import top_k
+from sightline.operators.knn import nearest, nearest_of_groups
 from sightline.registry.base import query
 from sightline.session import scratch_dir
 
@@ -191,6 +190,19 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host
 """
 
 
+def _best(spark, folder, most=None):
+    """The best match of each host among a query's neighbours, ``most`` hosts a query where given."""
+    return nearest_of_groups(
+        _asked(spark, folder),
+        fx.embeddings_view(spark, folder),
+        SEARCH.knn_limit,
+        group="host_id",
+        tie=["section_index", "start_seconds"],
+        most=most,
+        match_on=similar.MATCH_ON,
+    )
+
+
 @query(
     "best_per_host",
     with_views(
@@ -199,8 +211,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, host
     ),
 )
 def best_per_host(spark, folder):
-    best = search.best_per_host(_matches(spark, folder, SEARCH.knn_limit))
-    return best.select("query_id", "host_id", "embedding_id", F.round("distance", 6).alias("distance"))
+    return _best(spark, folder).select("query_id", "host_id", "embedding_id", F.round("distance", 6).alias("distance"))
 
 
 _CUT_SQL = _BEST_SQL + """,
@@ -211,8 +222,7 @@ cut AS (SELECT * FROM placed WHERE visual_rank <= 500 AND (visual_rank <= 5 OR d
 
 
 def _cut(spark, folder):
-    best = search.best_per_host(_matches(spark, folder, SEARCH.knn_limit))
-    return search.candidate_cutoff(best)
+    return search.candidate_cutoff(_best(spark, folder, SEARCH.maximum_results))
 
 
 @query(
@@ -267,8 +277,7 @@ WHERE host_id IN (SELECT host_id FROM hosts WHERE organized)""",
     ),
 )
 def allow_list(spark, folder):
-    best = search.best_per_host(_matches(spark, folder, SEARCH.knn_limit))
-    allowed = search.allow(best, fx.hosts(spark, folder).filter("organized"))
+    allowed = search.allow(_best(spark, folder), fx.hosts(spark, folder).filter("organized"))
     return allowed.select("query_id", "host_id", F.round("distance", 6).alias("distance"))
 
 
@@ -373,9 +382,7 @@ SELECT query_id, host_id, sort_rank, total_count FROM placed WHERE sort_rank BET
 )
 def page(spark, folder):
     """Second page of twelve, the default size of more-like-this."""
-    best = search.best_per_host(_matches(spark, folder, SEARCH.knn_limit))
-    ranked = top_k(best.drop("rank"), ["query_id"], [F.col("distance"), F.col("host_id")], 500, rank="sort_rank")
-    paged = search.similar_page(ranked, 2, 0)
+    paged = search.similar_page(_best(spark, folder).withColumnRenamed("rank", "sort_rank"), 2, 0)
     return paged.select("query_id", "host_id", F.col("sort_rank").cast("bigint").alias("sort_rank"), "total_count")
 
 
@@ -498,10 +505,10 @@ blended AS (SELECT asset_type, asset_id, host_id,
 """.replace("'video'", f"'{host}'")
 
 
-def _blended(spark, folder):
+def _blended(spark, folder, most=None):
     view = _shared_ids(spark, folder)
     asked = similar.asset_queries(view, view.select("host_type", "host_id").distinct())
-    return similar.blend_visual(similar.similar_matches(asked, view))
+    return similar.similar_hosts(asked, view, most=most)
 
 
 @query(
@@ -531,7 +538,8 @@ SELECT asset_type, asset_id, host_id, role, position FROM placed WHERE position
     ),
 )
 def diversified_similar(spark, folder):
-    placed = similar.diversify(_blended(spark, folder))
+    # A position within the limit needs no turn beyond it; two of a role may stand in front.
+    placed = similar.diversify(_blended(spark, folder, SEARCH.maximum_results + 2))
     return placed.select("asset_type", "asset_id", "host_id", "role", F.col("position").cast("bigint").alias("position"))
 
 
@@ -614,8 +622,7 @@ SELECT asset_id, host_id, round(distance, 5) AS distance, role_count, embedding_
 def segment_similar(spark, folder):
     """Videos like the chosen ranges of each video."""
     view = fx.embeddings_view(spark, folder)
-    found = similar.similar_matches(similar.segment_queries(view, _ranges(view)), view)
-    return similar.blend_visual(found).select(
+    return similar.similar_hosts(similar.segment_queries(view, _ranges(view)), view).select(
         "asset_id", "host_id", F.round("distance", 5).alias("distance"), "role_count", "embedding_id", "role"
     )
 
@@ -632,7 +639,7 @@ def similar_images(spark, folder):
     """Images like each image and each video; only the image itself is left out."""
     view = _shared_ids(spark, folder)
     asked = similar.asset_queries(view, view.select("host_type", "host_id").distinct())
-    made = similar.blend_visual(similar.similar_matches(asked, view, host_type="image"))
+    made = similar.similar_hosts(asked, view, host_type="image")
     return made.select(
         "asset_type", "asset_id", "host_id", F.round("distance", 6).alias("distance"), "role_count", "embedding_id", "role"
     )
