@@ -286,7 +286,9 @@ def suppress(spark, folder):
     """Suppressions: hosts that already carry the face's performer."""
     faces = fx.faces(spark, folder)
     rows = fx.appearances(spark, folder).join(faces.select("face_id", "face_key"), "face_id")
-    marks = fx.host_performers(spark, folder).join(faces, "performer_id").select(
+    # Of a performer's faces only those that appear on the host can be absent from it.
+    shown = rows.select("face_key", "host_type", "host_id").distinct().join(faces.select("face_key", "performer_id"), "face_key")
+    marks = shown.join(fx.host_performers(spark, folder), ["performer_id", "host_type", "host_id"], "left_semi").select(
         F.upper("face_key").alias("face_key"), "host_type", "host_id"
     )
     return ident.suppress(rows, marks).select("face_id", "host_type", "host_id").distinct()

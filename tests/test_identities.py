@@ -280,3 +280,12 @@ def test_pair_score_of_odd_sides(spark):
         for i, a, b in rows:
             best = sorted((max(cos(x, y, mode == "unit") for y in b) for x in a), reverse=True)[:2] if a and b else []
             assert math.isclose(got[i], sum(best) / len(best) if best else 0.0, abs_tol=1e-12)
+
+
+def test_suppress_pairs_hosts_with_their_own_faces_alone(spark, small):
+    """The join by performer, whose faces and hosts multiply, has the host in its key."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["suppress"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "performer_id" in line]
+    assert joins and all("host_id" in line for line in joins)
