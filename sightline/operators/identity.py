@@ -22,7 +22,7 @@ from sightline.functions.vectors import cosine
 from sightline.operators.centroids import centroid
 from sightline.operators.graph import close_merge_map
 from sightline.operators.greedy import greedy_select
-from sightline.operators.knn import best_groups, group_scores, nearest
+from sightline.operators.knn import APART, best_groups, group_scores, nearest
 from sightline.operators.ordered import RANGE, bucketed_scan, first_by, ranged, top_k
 from sightline.session import cut_lineage
 
@@ -524,12 +524,28 @@ def pair_scores(
     return found.filter(F.col("source") != F.col("other")).distinct()
 
 
-def merge_proposals(identities: DataFrame, scores: DataFrame, cfg: IdentitySettings = IDENTITY) -> DataFrame:
+def near_scores(identities: DataFrame, cfg: IdentitySettings = IDENTITY) -> DataFrame:
+    """(source, other, score): of ``pair_scores`` at least what comes within the margin of a source's best, and few others.
+
+    Every pair is scored; what a round of merges doesn't ask for never leaves its task.
+    """
+    mark = F.when(is_blank("reference_id"), F.lit("")).otherwise(F.lower("reference_id"))
+    vectors = identities.select(F.concat("face_key", F.lit(APART), mark).alias("named"), F.explode("anchors").alias("a")).select(
+        "named", F.col("a.vector").alias("vector")
+    )
+    found = group_scores(vectors, vectors, group="named", least=_least_score(cfg), margin=cfg.consolidation_margin)
+    return found.select(*[F.substring_index(c, APART, 1).alias(c) for c in ("source", "other")], "score")
+
+
+def merge_proposals(
+    identities: DataFrame, scores: DataFrame, cfg: IdentitySettings = IDENTITY, *, complete: bool = True
+) -> DataFrame:
     """For each identity the best one it should merge with, if any
     (source, other, score): the score reaches the pair's threshold and leads
     the runner-up, or every rival within the margin could itself merge with
     the best. Conflicting references never pair. ``scores`` as by
-    ``pair_scores``.
+    ``pair_scores``; not ``complete`` as by ``near_scores``: pairs of a best
+    one and a rival are then scored where they are missing.
     """
     l, r = _struct_fields("_l"), _struct_fields("_r")
     scored = cut_lineage(
@@ -552,7 +568,17 @@ def merge_proposals(identities: DataFrame, scores: DataFrame, cfg: IdentitySetti
     )
     # A rival that has no score with the best one, or conflicts with it, can't merge with it.
     judged = scored.filter("merges").select(F.col("source").alias("other"), F.col("other").alias("rival"))
-    blocked = close.join(judged, ["other", "rival"], "left_anti").select("source").distinct()
+    blocked = close.join(judged, ["other", "rival"], "left_anti")
+    if not complete:
+        blocked = cut_lineage(blocked)
+        open_ones = blocked.select(F.col("other").alias("source"), F.col("rival").alias("other")).distinct()
+        anchors = identities.select("face_key", F.transform("anchors", lambda a: a["vector"]).alias("_v"))
+        sides = _sides(open_ones, identities).filter(~_conflict(l["reference_id"], r["reference_id"]))
+        sides = sides.join(anchors.toDF("source", "_lv"), "source").join(anchors.toDF("other", "_rv"), "other")
+        own = F.round(pair_score(F.col("_lv"), F.col("_rv")), 9)
+        merging = sides.withColumn("_own", own).filter(F.col("_own") >= _threshold(l, r, cfg))
+        blocked = blocked.join(merging.select(F.col("source").alias("other"), F.col("other").alias("rival")), ["other", "rival"], "left_anti")
+    blocked = blocked.select("source").distinct()
     return best.join(blocked, "source", "left_anti")
 
 

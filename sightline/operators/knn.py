@@ -345,11 +345,16 @@ def best_groups(
 
 
 class _PairScan:
-    """Scores of pairs of groups: for each left vector its best cosine among the right group's, mean of the best two."""
+    """Scores of pairs of groups: for each left vector its best cosine among the right group's, mean of the best two.
+
+    With ``margin`` groups are named ``name``, ``APART``, ``mark``: one doesn't meet itself or another mark, and
+    only what comes within the margin of a group's best leaves.
+    """
 
     STEP = 256
 
-    def __init__(self, left: pa.Table, least: float):
+    def __init__(self, left: pa.Table, least: float, margin: float | None = None):
+        self.margin = margin
         names = left["_query"].to_pylist()
         order = sorted(range(len(names)), key=names.__getitem__)
         left = left.take(pa.array(order, pa.int64()))
@@ -365,6 +370,8 @@ class _PairScan:
         first = order.to_numpy()[starts]
         spaces = [(s, at, _matrix(right["_vector"].take(order).take(pa.array(at)))) for s, at in _by_space(right["_space"].take(order))]
         ends = np.append(self.starts[1:], self.rows)
+        if self.margin is not None:
+            names, marks = _named(right[group].take(pa.array(first)).to_pylist())
         begin = 0
         while begin < len(self.names):
             stop = begin + 1
@@ -393,26 +400,43 @@ class _PairScan:
             best[holder, np.arange(len(starts))] = -1.0
             two = np.maximum.reduceat(best, cuts, axis=0)
             score = np.round(np.where((sizes > 1)[:, None], (one + two) / 2, one), DECIMALS)
+            if self.margin is not None:
+                own, mark = _named(self.names[begin:stop])
+                score[(own[:, None] == names) | ((mark != "")[:, None] & (marks != "") & (mark[:, None] != marks))] = -1.0
+                score[score < score.max(axis=1, keepdims=True) - self.margin - 1e-9] = -1.0
             q, r = np.nonzero(score >= self.least)
             if len(q):
                 yield [self.names[begin + i] for i in q], first[r], score[q, r]
             begin = stop
 
 
+#: Between a group's name and its mark.
+APART = "\u001f"
+
+
+def _named(groups: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [g.rpartition(APART) for g in groups]
+    return np.array([p[0] for p in parts], str), np.array([p[2] for p in parts], str)
+
+
 def group_scores(
-    left: DataFrame, right: DataFrame, *, group: str, least: float, block_rows: int = BLOCK_ROWS
+    left: DataFrame, right: DataFrame, *, group: str, least: float, margin: float | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(source, other, score) of every pair of vector groups with a score of ``least`` or more.
 
     A group's few vectors stay in one block; each pair of blocks is one
-    bounded task, and only pairs that reach ``least`` leave it.
+    bounded task, and only pairs that reach ``least`` leave it. With ``margin``
+    (see ``_PairScan``) at least all pairs within it of a group's best are
+    found, and few others; blocks then follow the number of vectors.
     """
     if least <= 0:
         raise ValueError("least must be positive: every pair reaches zero")
     asked, searched, count, _ = _prepared(left, right, group, "vector", "vector", (), [group])
     schema = _schema(asked, searched, [group])
+    if margin is not None:
+        block_rows = min(4 * block_rows, max(block_rows // 4, count // 12))
     found = _blocks(
-        asked, searched, lambda t: _PairScan(t, least), count, [group], _arrow_type(asked, "_query"), schema, block_rows
+        asked, searched, lambda t: _PairScan(t, least, margin), count, [group], _arrow_type(asked, "_query"), schema, block_rows
     )
     return found.select(F.col("_query").alias("source"), F.col(group).alias("other"), F.col("distance").alias("score"))
 

@@ -530,7 +530,7 @@ merged AS (SELECT CASE WHEN stays THEN other ELSE source END AS duplicate, CASE
 
 def _round(spark, folder):
     known = fx.identities_view(spark, folder)
-    return known, ident.merge_proposals(known, ident.pair_scores(known, cfg=_LOOSE), cfg=_LOOSE)
+    return known, ident.merge_proposals(known, ident.near_scores(known, cfg=_LOOSE), cfg=_LOOSE, complete=False)
 
 
 @query(

@@ -289,3 +289,16 @@ def test_suppress_pairs_hosts_with_their_own_faces_alone(spark, small):
     plan = entry.queries()["suppress"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "performer_id" in line]
     assert joins and all("host_id" in line for line in joins)
+
+
+def test_proposals_need_only_the_scores_near_the_best(spark, small):
+    """The proposals of all scores, from few of them; rivals' own pairs are scored where they are missing."""
+    from sightline import fixtures as fx
+    from sightline.registry.identities import _LOOSE
+
+    known = fx.identities_view(spark, small).cache()
+    scores = ident.pair_scores(known, cfg=_LOOSE).cache()
+    near = ident.near_scores(known, cfg=_LOOSE).cache()
+    assert near.count() < scores.count() / 4 and near.exceptAll(scores).isEmpty()
+    made = ident.merge_proposals(known, near, cfg=_LOOSE, complete=False).collect()
+    assert made and sorted(made) == sorted(ident.merge_proposals(known, scores, cfg=_LOOSE).collect())
