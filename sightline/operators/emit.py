@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from sightline.functions.text import is_blank
 from sightline.operators.centroids import centroid
 from sightline.operators.identity import VIDEO_EVIDENCE, promotion_reason
 from sightline.operators.ordered import first_by
-from sightline.operators.timeline import observation_windows, sample_windows
-from sightline.operators.tracks import best_sample, select_keyframes
+from sightline.operators.timeline import sample_windows, window_rows
+from sightline.operators.tracks import cover_order, select_keyframes, with_cover_score
+from sightline.session import stored
 
 _TRACK = ["asset_id", "track_key"]
 
@@ -33,23 +36,118 @@ def should_emit(cfg: IdentitySettings = IDENTITY) -> Column:
     )
 
 
-def emit_faces(tracked: DataFrame, resolved: DataFrame, vectors: DataFrame, identities: DataFrame) -> dict[str, DataFrame]:
-    """Detections, segments, appearances, embeddings and identity rows.
+TABLES = ("detections", "segments", "appearances", "embeddings", "faces")
+
+
+def emit_faces(
+    tracked: DataFrame,
+    resolved: DataFrame,
+    vectors: DataFrame,
+    identities: DataFrame,
+    only: Sequence[str] = TABLES,
+) -> dict[str, DataFrame]:
+    """Detections, segments, appearances, embeddings and identity rows, or
+    those of them named in ``only``.
 
     ``tracked`` are the samples of clustered tracks, ``resolved`` (asset_id,
     track_key, face_key) the tracks of shown identities, ``vectors``
     (asset_id, track_key, vector, quality, frame_order, sample_pos) the vectors
     they were matched on. Detections of other tracks come without a face.
     """
-    windows = observation_windows(tracked)
-    placed = sample_windows(tracked)
-    best = best_sample(tracked).select(*_TRACK, F.col("frame_order").alias("_bf"), F.col("sample_pos").alias("_bp"), F.col("time_seconds").alias("_bt"))
-    keyframes = select_keyframes(tracked).select(*_TRACK, "frame_order", "sample_pos")
-    in_window = placed.join(best, _TRACK).withColumn(
+    made = {}
+    # Only detections speak of tracks without a face.
+    shown = tracked.join(resolved.select(*_TRACK), _TRACK, "left_semi")
+    samples = tracked if "detections" in only else shown
+    if {"detections", "segments", "appearances"} & set(only):
+        placed, best = _placed(samples)
+        windows = window_rows(placed)
+        segments = None
+    if {"detections", "segments"} & set(only):
+        described = windows.join(_window_facts(placed, best), [*_TRACK, "window_no"])
+        segments = described.join(resolved, _TRACK).filter(F.col("start_seconds").isNotNull()).select(
+            *_TRACK,
+            "start_seconds",
+            "end_seconds",
+            F.col("face_key").alias("title"),
+            F.col("_best.score").alias("confidence"),
+            F.col("face_key").alias("ref_key"),
+            "group_key",
+            "sample_count",
+        )
+    if {"detections", "appearances"} & set(only):
+        keyframes = stored(select_keyframes(samples).select(*_TRACK, "frame_order", "sample_pos"), "keyframes")
+    if "detections" in only:
+        made["detections"] = _detections(placed, keyframes, described, resolved)
+    if "segments" in only:
+        made["segments"] = segments
+    if {"appearances", "embeddings"} & set(only):
+        totals = shown.groupBy(*_TRACK).agg(
+            F.count(F.lit(1)).alias("sample_count"),
+            F.min("time_seconds").alias("first_seen"),
+            F.max("time_seconds").alias("last_seen"),
+            F.max("score").alias("top_confidence"),
+        )
+    if "appearances" in only:
+        retained = keyframes.groupBy(*_TRACK).agg(F.count(F.lit(1)).alias("retained_sample_count"))
+        parts = windows.filter(F.col("start_seconds").isNotNull()).groupBy(*_TRACK).agg(
+            F.count(F.lit(1)).alias("segment_count")
+        )
+        made["appearances"] = (
+            totals.join(resolved, _TRACK)
+            .join(retained, _TRACK)
+            .join(parts, _TRACK, "left")
+            .join(best.select(*_TRACK, F.col("_bt").alias("representative_seconds")), _TRACK)
+            .withColumn("segment_count", F.coalesce("segment_count", F.lit(0)))
+            .withColumnsRenamed({"face_key": "ref_key"})
+        )
+    if "embeddings" in only:
+        means = centroid(
+            vectors.join(resolved.select(*_TRACK), _TRACK, "left_semi"),
+            _TRACK,
+            weight=F.greatest(F.col("quality"), F.lit(1e-6)),
+            first=F.struct("frame_order", "sample_pos"),
+            norm_rule="before",
+        )
+        made["embeddings"] = means.join(resolved, _TRACK).join(totals, _TRACK).select(
+            *_TRACK,
+            F.col("face_key").alias("ref_key"),
+            F.lit(FACE_KIND).alias("kind"),
+            F.lit(FACE_FAMILY).alias("kind_family"),
+            "vector",
+            "norm",
+            F.col("first_seen").alias("start_seconds"),
+            F.col("last_seen").alias("end_seconds"),
+        )
+    if "faces" in only:
+        made["faces"] = first_by(
+            identities.join(resolved.select("face_key").distinct(), "face_key", "left_semi"), ["face_key"], [F.col("face_key")]
+        )
+    return made
+
+
+def _placed(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples without their vectors in their observation windows, written out once, and each track's best."""
+    scored = with_cover_score(samples).drop("embeddings")
+    placed = stored(sample_windows(scored), "placed")
+    narrow = placed.select(*_TRACK, "frame_order", "sample_pos", "time_seconds", "bbox", "cover_quality")
+    order = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cover_order())])
+    first = narrow.groupBy(*_TRACK).agg(F.min_by(F.struct("frame_order", "sample_pos", "time_seconds"), order).alias("_b"))
+    best = first.select(
+        *_TRACK,
+        F.col("_b.frame_order").alias("_bf"),
+        F.col("_b.sample_pos").alias("_bp"),
+        F.col("_b.time_seconds").alias("_bt"),
+    )
+    return placed, best
+
+
+def _window_facts(placed: DataFrame, best: DataFrame) -> DataFrame:
+    """First, last and best sample of each window."""
+    in_window = placed.select(*_TRACK, "window_no", "frame_order", "sample_pos", "score", "time_seconds").join(best, _TRACK).withColumn(
         "_is_best", (F.col("frame_order") == F.col("_bf")) & (F.col("sample_pos") == F.col("_bp"))
     )
     edge = F.struct("frame_order", "sample_pos")
-    facts = in_window.groupBy(*_TRACK, "window_no").agg(
+    return in_window.groupBy(*_TRACK, "window_no").agg(
         F.min(edge).alias("_first"),
         F.max(edge).alias("_last"),
         F.min_by(
@@ -57,8 +155,10 @@ def emit_faces(tracked: DataFrame, resolved: DataFrame, vectors: DataFrame, iden
             F.struct(~F.col("_is_best"), -F.col("score"), F.col("time_seconds"), F.col("frame_order"), F.col("sample_pos")),
         ).alias("_best"),
     )
-    described = windows.join(facts, [*_TRACK, "window_no"])
 
+
+def _detections(placed: DataFrame, keyframes: DataFrame, described: DataFrame, resolved: DataFrame) -> DataFrame:
+    edge = F.struct("frame_order", "sample_pos")
     kept = placed.join(keyframes, [*_TRACK, "frame_order", "sample_pos"], "left_semi").join(
         described.select(*_TRACK, "window_no", "group_key", "_first", "_last", "_best"), [*_TRACK, "window_no"]
     )
@@ -69,7 +169,7 @@ def emit_faces(tracked: DataFrame, resolved: DataFrame, vectors: DataFrame, iden
         .when(edge == F.col("_last"), "last")
         .otherwise("motion-keyframe")
     )
-    detections = kept.join(resolved, _TRACK, "left").select(
+    return kept.join(resolved, _TRACK, "left").select(
         *_TRACK,
         F.col("time_seconds").alias("observed_at"),
         "score",
@@ -81,56 +181,3 @@ def emit_faces(tracked: DataFrame, resolved: DataFrame, vectors: DataFrame, iden
         "frame_order",
         "sample_pos",
     )
-    segments = described.join(resolved, _TRACK).filter(F.col("start_seconds").isNotNull()).select(
-        *_TRACK,
-        "start_seconds",
-        "end_seconds",
-        F.col("face_key").alias("title"),
-        F.col("_best.score").alias("confidence"),
-        F.col("face_key").alias("ref_key"),
-        "group_key",
-        "sample_count",
-    )
-    retained = keyframes.groupBy(*_TRACK).agg(F.count(F.lit(1)).alias("retained_sample_count"))
-    parts = segments.groupBy(*_TRACK).agg(F.count(F.lit(1)).alias("segment_count"))
-    totals = tracked.groupBy(*_TRACK).agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.min("time_seconds").alias("first_seen"),
-        F.max("time_seconds").alias("last_seen"),
-        F.max("score").alias("top_confidence"),
-    )
-    appearances = (
-        totals.join(resolved, _TRACK)
-        .join(retained, _TRACK)
-        .join(parts, _TRACK, "left")
-        .join(best.select(*_TRACK, F.col("_bt").alias("representative_seconds")), _TRACK)
-        .withColumn("segment_count", F.coalesce("segment_count", F.lit(0)))
-        .withColumnsRenamed({"face_key": "ref_key"})
-    )
-    means = centroid(
-        vectors.join(resolved.select(*_TRACK), _TRACK, "left_semi"),
-        _TRACK,
-        weight=F.greatest(F.col("quality"), F.lit(1e-6)),
-        first=F.struct("frame_order", "sample_pos"),
-        norm_rule="before",
-    )
-    embeddings = means.join(resolved, _TRACK).join(totals, _TRACK).select(
-        *_TRACK,
-        F.col("face_key").alias("ref_key"),
-        F.lit(FACE_KIND).alias("kind"),
-        F.lit(FACE_FAMILY).alias("kind_family"),
-        "vector",
-        "norm",
-        F.col("first_seen").alias("start_seconds"),
-        F.col("last_seen").alias("end_seconds"),
-    )
-    faces = first_by(
-        identities.join(resolved.select("face_key").distinct(), "face_key", "left_semi"), ["face_key"], [F.col("face_key")]
-    )
-    return {
-        "detections": detections,
-        "segments": segments,
-        "appearances": appearances,
-        "embeddings": embeddings,
-        "faces": faces,
-    }

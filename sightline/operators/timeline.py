@@ -279,8 +279,12 @@ def observation_windows(
     """One row per observation window: start, end (last + span), sample count
     and ``group_key`` (``track:span-i`` where a track has several windows).
     """
+    return window_rows(sample_windows(samples, list(keys), **gaps), keys)
+
+
+def window_rows(numbered: DataFrame, keys: Sequence[str] = ("asset_id", "track_key")) -> DataFrame:
+    """The same over samples that ``sample_windows`` has numbered."""
     keys = list(keys)
-    numbered = sample_windows(samples, keys, **gaps)
     span = F.greatest(
         F.lit(MINIMUM_SLICE_SPAN), F.coalesce(F.col("frame_span"), F.lit(DEFAULT_SLICE_SPAN))
     )

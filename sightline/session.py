@@ -87,3 +87,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach, beside the checkpoints."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` written once, compressed and by column, to the shared scratch folder: for wide plans over many rows."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
