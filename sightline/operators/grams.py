@@ -11,8 +11,9 @@ its rows only.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,12 +21,15 @@ from pyspark.sql.types import StructType
 from sightline.config import SEARCH
 from sightline.functions.text import key_of
 from sightline.operators.search import text_seeds
+from sightline.operators.walk import firsts
 from sightline.session import cut_lineage
 
 #: Characters of a piece, and lists that a search intersects at most (fewer lists leave more rows, never fewer).
 SIZE, LISTS = 3, 4
 #: Rows that may be sent to the stored ones; more meet them in a shuffle.
 FEW_ROWS = 100_000
+#: Rows, or entries of lists, that a task of the build sorts, about.
+TASK_ROWS = 250_000
 
 
 def pieces_of(value: Column) -> Column:
@@ -35,6 +39,19 @@ def pieces_of(value: Column) -> Column:
     return F.when(F.length(value) >= SIZE, made).otherwise(F.array().cast("array<string>"))
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of ``piece`` and ``_row`` without copies."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = firsts(batch["piece"].dictionary_encode().indices.to_numpy(), batch["_row"].to_numpy())
+        ends = [(batch["piece"][i].as_py(), batch["_row"][i].as_py()) for i in (0, batch.num_rows - 1)]
+        new[0] = ends[0] != last
+        last = ends[1]
+        yield batch.filter(pa.array(new))
+
+
 class TextIndex:
     """An index in a folder: ``rows`` as they came, ``postings`` (piece, row), ``pieces`` with the length of each list."""
 
@@ -47,15 +64,23 @@ class TextIndex:
     @classmethod
     def build(cls, df: DataFrame, path: str, fields: Sequence[str], keys: Sequence[str] = ("host_type", "host_id"), buckets: int = 64) -> TextIndex:
         """Index the text of ``fields`` of every row. Rows of equal keys share a number; all of them are looked at."""
-        spark = df.sparkSession
+        spark, places = df.sparkSession, max(1, -(-df.count() // (buckets * TASK_ROWS)))
         numbered = df.withColumn("_row", F.xxhash64(*keys)).withColumn("_part", F.pmod(F.col("_row"), F.lit(buckets)).cast("int"))
-        numbered.repartition("_part").sortWithinPartitions("_row").write.partitionBy("_part").parquet(f"{path}/rows")
+        within = F.pmod(F.xxhash64("_row"), F.lit(places)).cast("int")
+        dealt = numbered.repartitionById(buckets * places, F.col("_part") * places + within)
+        dealt.sortWithinPartitions("_part", "_row").write.partitionBy("_part").parquet(f"{path}/rows")
         every = F.array_distinct(F.flatten(F.array(*[pieces_of(F.coalesce(key_of(f), F.lit(""))) for f in fields])))
-        held = numbered.select(F.explode(every).alias("piece"), "_row").distinct()
-        # A frequent piece has a long list: it is dealt out by row as well.
-        placed = held.withColumn("_part", cls._place(F.col("piece"), buckets))
-        spread = placed.repartition("_part", F.pmod(F.col("_row"), F.lit(4))).sortWithinPartitions("piece", "_row")
-        spread.write.partitionBy("_part").parquet(f"{path}/postings")
+        rows = spark.read.schema(numbered.schema).parquet(f"{path}/rows").select(F.explode(every).alias("piece"), "_row")
+        held = rows.withColumn("_part", cls._place(F.col("piece"), buckets))
+        # A frequent piece has a long list: the folder that holds it is dealt out to as many tasks as it is long.
+        sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}  # at most all folders
+        tasks = [max(1, -(-sizes.get(i, 0) // TASK_ROWS)) for i in range(buckets)]
+        begins = [sum(tasks[:i]) for i in range(buckets)]
+        own, first = (F.get(F.array(*map(F.lit, c)), F.col("_part")) for c in (tasks, begins))
+        spread = held.repartitionById(sum(tasks), (first + F.pmod(F.xxhash64("_row"), own)).cast("int"))
+        spread = spread.sortWithinPartitions("_part", "piece", "_row")
+        # Rows that share a number repeat a piece; the copies lie together.
+        spread.mapInArrow(_once, "piece string, _row bigint, _part int").write.partitionBy("_part").parquet(f"{path}/postings")
         stored = spark.read.schema("piece string, _row bigint, _part int").parquet(f"{path}/postings")
         stored.groupBy("piece").agg(F.count(F.lit(1)).alias("rows")).repartition(1).sortWithinPartitions("piece").write.parquet(f"{path}/pieces")
         info = {"fields": list(fields), "buckets": buckets, "schema": numbered.schema.jsonValue()}

@@ -45,3 +45,18 @@ def test_seeds_equal_the_plain_search(spark, titles):
 def test_an_empty_table(spark, titles):
     index = TextIndex.build(titles.filter("host_id < 0"), scratch_dir(spark, "titles"), ("title",), buckets=2)
     assert index.seeds("garden").collect() == [] and index.seeds("g").collect() == []
+
+
+def test_long_lists_are_dealt_out_to_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sightline.operators import grams
+
+    monkeypatch.setattr(grams, "TASK_ROWS", 500, raising=False)
+    hosts = spark.range(8000).selectExpr("'video' AS host_type", "id AS host_id", "'same words' AS title", "id % 9 AS updated_at").repartition(4)
+    index = TextIndex.build(hosts.unionByName(hosts.limit(50)), scratch_dir(spark, "titles"), ("title",), buckets=2)
+    for name in ("rows", "postings"):
+        written = spark.read.parquet(f"{index.path}/{name}").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        assert written < 1000, name
+    assert index.candidates("same words").count() == 8000
+    assert dict(spark.read.parquet(f"{index.path}/pieces").collect()) == dict.fromkeys(["sam", "ame", "me ", "e w", " wo", "wor", "ord", "rds"], 8000)
