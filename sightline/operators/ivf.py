@@ -16,7 +16,7 @@ return the columns and the order of ``knn.nearest``.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,8 @@ SAMPLE_NUMBERS, MOST_CELLS, RINGS = 8 << 20, 4096, 128
 ROUNDS = 10
 _CELLS = "space string, cell int, centroid array<double>"
 _RINGS = "space string, cell int, ring int, rows bigint, low double, high double"
+#: Queries planned and compared at a time.
+STEP = 512
 #: Rows of a cell that one task holds against a large query set.
 CHUNK_ROWS = 1 << 15
 #: Angles are compared with this much to spare: twice what rounding distances to nine decimals can move one near zero.
@@ -67,6 +69,40 @@ class _Cells:
         return self.first.get(space, -1)  # cell -1 holds all spaces without centroids
 
 
+@dataclass
+class _Plan:
+    """Which rings a query needs, worked out for some queries and some rings at a time."""
+
+    cells: _Cells
+    rings: dict[str, dict[str, np.ndarray]]
+    probes: int | None
+
+    def probed(self, space: str, queries: np.ndarray) -> np.ndarray | None:
+        """The cells that an approximate search reads for each query."""
+        if self.probes is None or space not in self.rings:
+            return None
+        centres, out = self.cells.of(space, queries.shape[1]), []
+        for at in range(0, len(queries), STEP):
+            order = np.argsort(-(queries[at : at + STEP] @ centres.T), axis=1, kind="stable")
+            out.append(order[:, : self.probes].astype(np.int32))
+        return np.concatenate(out) if out else None
+
+    def needed(self, space: str, queries: np.ndarray, bound: np.ndarray, probed: np.ndarray | None, some: np.ndarray | slice) -> np.ndarray:
+        """Of unit queries with their bounds in angle (or cells ``probed``): which need which of ``some`` rings of the space."""
+        own = {c: self.rings[space][c][some] for c in ("cell", "low", "high")}
+        column = own["cell"] - self.cells.start(space)
+        centres = self.cells.of(space, queries.shape[1])
+        if probed is not None:
+            near = np.zeros((len(queries), len(centres)), bool)
+            np.put_along_axis(near, probed.astype(np.int64), True, axis=1)
+            return near[:, column]
+        cell, at = np.unique(column, return_inverse=True)
+        angle = np.arccos(np.clip(queries @ centres[cell].T, -1, 1))[:, at]
+        far = own["low"][None, :] - angle
+        np.maximum(far, np.subtract(angle, own["high"][None, :], out=angle), out=far)
+        return np.maximum(far, 0, out=far) <= bound[:, None] + SLACK
+
+
 class VectorIndex:
     """An index in a folder: ``rows`` by cell, ``rings`` with their sizes and angles, ``cells`` with the centroids."""
 
@@ -139,32 +175,12 @@ class VectorIndex:
         spark.createDataFrame([(info,)], "value string").coalesce(1).write.text(f"{path}/info")
         return cls(spark, path)
 
-    # Which rings a query needs
-
-    def _planner(self, probes: int | None):
-        """(space, unit queries, bounds in angle) -> (ring rows of the space, which query needs which)."""
-        cells, table = self.cells, {}
+    def _planner(self, probes: int | None) -> _Plan:
+        table = {}
         for space, at in _by_space(self.rings["space"]):
             part = self.rings.take(pa.array(at))
             table[space] = {c: part[c].to_numpy() for c in ("cell", "ring", "rows", "low", "high")}
-
-        def plan(space: str, queries: np.ndarray, bound: np.ndarray):
-            own = table.get(space)
-            if own is None:
-                return None, np.zeros((len(queries), 0), bool)
-            centres = cells.of(space, queries.shape[1])
-            alike = queries @ centres.T
-            column = own["cell"] - cells.start(space)
-            if probes is not None:
-                order = np.argsort(-alike, axis=1, kind="stable")[:, :probes]
-                near = np.zeros(alike.shape, bool)
-                np.put_along_axis(near, order, True, axis=1)
-                return own, near[:, column]
-            angle = np.arccos(np.clip(alike, -1, 1))[:, column]
-            apart = np.maximum(np.maximum(own["low"][None, :] - angle, angle - own["high"][None, :]), 0)
-            return own, apart <= bound[:, None] + SLACK
-
-        return plan
+        return _Plan(self.cells, table, probes)
 
     def _searched(self, queries: DataFrame, k: int, query_id: str, query_vector: str, probes: int | None, query_bytes: int) -> DataFrame:
         carried = [self.row_id, *self.keep]
@@ -268,40 +284,57 @@ class _RingScan:
     """Top-k candidates of batches of indexed rows; a query meets only the rings its plan names."""
 
     def __init__(self, asked: pa.Table, plan, k: int):
-        self.k, self.asked = k, asked
-        self.at, self.ids, self.rows, self.need, self.rings, self.place = {}, {}, {}, {}, {}, {}
+        self.k, self.asked, self.plan = k, asked, plan
+        self.at, self.ids, self.rows, self.bound, self.probed, self.place = {}, {}, {}, {}, {}, {}
         for space, at in _by_space(asked["_space"]):
             part = asked.take(pa.array(at))
             self.at[space], self.ids[space], self.rows[space] = at, part["_query"].to_pylist(), _matrix(part["_vector"])
-            self.rings[space], self.need[space] = plan(space, self.rows[space], part["_bound"].to_numpy())
-            own = self.rings[space]
+            self.bound[space], self.probed[space] = part["_bound"].to_numpy(), plan.probed(space, self.rows[space])
+            own = plan.rings.get(space)
             self.place[space] = {} if own is None else {key: i for i, key in enumerate(zip(own["cell"].tolist(), own["ring"].tolist()))}
         self.best: dict[str, np.ndarray] = {}
 
-    def cells(self):
-        for space, need in self.need.items():
-            if self.rings[space] is not None:
-                yield from np.unique(self.rings[space]["cell"][need.any(axis=0)]).tolist()
+    def _needed(self, space: str, rings: np.ndarray | slice) -> Iterator[tuple[int, np.ndarray]]:
+        """Where some queries begin, and which of ``rings`` they need: no matrix of all queries and all rings is held."""
+        probed = self.probed[space]
+        for at in range(0, len(self.rows[space]), STEP):
+            some = slice(at, at + STEP)
+            yield at, self.plan.needed(space, self.rows[space][some], self.bound[space][some], None if probed is None else probed[some], rings)
+
+    def cells(self) -> Iterator[int]:
+        for space, rows in self.rows.items():
+            own = self.plan.rings.get(space)
+            if own is not None and len(rows):
+                wanted = np.zeros(len(own["cell"]), bool)
+                for _, need in self._needed(space, slice(None)):
+                    wanted |= need.any(axis=0)
+                yield from np.unique(own["cell"][wanted]).tolist()
 
     def wanted(self) -> tuple[np.ndarray, np.ndarray]:
         """(rows of the queries, cells): each cell once for each query that needs a ring of it."""
         rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for space, need in self.need.items():
-            if self.rings[space] is not None:
+        for space in self.rows:
+            own = self.plan.rings.get(space)
+            for at, need in self._needed(space, slice(None)) if own is not None else ():
                 q, r = np.nonzero(need)
-                both = np.unique(np.stack([self.at[space][q], self.rings[space]["cell"][r]]), axis=1)
+                both = np.unique(np.stack([self.at[space][at + q], own["cell"][r]]), axis=1)
                 rows.append(both[0]), cells.append(both[1].astype(np.int32))
         return np.concatenate(rows), np.concatenate(cells)
 
     def sizes(self) -> pa.RecordBatch:
         ids, rings, rows, every = [], [], [], []
-        for space, need in self.need.items():
-            own = self.rings[space]
+        for space, asked in self.rows.items():
+            own = self.plan.rings.get(space)
             size = own["rows"] if own is not None else np.zeros(0, np.int64)
             ids += self.ids[space]
-            rings += need.sum(axis=1).tolist()
-            rows += (need @ size).tolist()
-            every += [int(size.sum())] * len(need)
+            if own is None:
+                rings += [0] * len(asked)
+                rows += [0] * len(asked)
+            else:
+                for _, need in self._needed(space, slice(None)):
+                    rings += need.sum(axis=1).tolist()
+                    rows += (need @ size).tolist()
+            every += [int(size.sum())] * len(asked)
         kind = self.asked.schema.field("_query").type
         names = [self.asked.schema.names[0], "rings", "rows", "all_rows"]
         return pa.RecordBatch.from_arrays([pa.array(ids, kind), *[pa.array(c, pa.int64()) for c in (rings, rows, every)]], names=names)
@@ -317,15 +350,15 @@ class _RingScan:
             positions, key = positions[order], key[order]
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             best = self.best.setdefault(space, np.full((len(self.rows[space]), self.k), np.inf))
-            for a, b in zip(starts, np.r_[starts[1:], len(key)]):
-                place = self.place[space].get((int(key[a] // RINGS), int(key[a] % RINGS)))
-                asked = np.flatnonzero(self.need[space][:, place]) if place is not None else []
-                if not len(asked):
-                    continue
-                own = positions[a:b]
-                rows = _matrix(batch["_vector"].take(pa.array(own)))
-                for at in range(0, len(asked), 512):
-                    some = asked[at : at + 512]
+            found = [(self.place[space].get((int(key[a] // RINGS), int(key[a] % RINGS))), positions[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(key)])]
+            found = [(place, own, _matrix(batch["_vector"].take(pa.array(own)))) for place, own in found if place is not None]
+            if not found:
+                continue
+            for at, need in self._needed(space, np.array([place for place, *_ in found])):
+                for column, (_, own, rows) in enumerate(found):
+                    some = at + np.flatnonzero(need[:, column])
+                    if not len(some):
+                        continue
                     distance = np.round(1.0 - self.rows[space][some] @ rows.T, DECIMALS)
                     limit = best[some].max(axis=1, keepdims=True)
                     cut = np.partition(np.concatenate([best[some], distance], axis=1), self.k - 1, axis=1)[:, : self.k]

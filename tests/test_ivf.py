@@ -1,9 +1,11 @@
 """The vector index against the plain search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators import ivf
 from sightline.operators.ivf import VectorIndex
 from sightline.operators.knn import nearest
 from sightline.session import scratch_dir
@@ -64,3 +66,25 @@ def test_every_row_is_indexed_and_small_tables_work(spark, vectors):
     assert len(got) == 6
     none = VectorIndex.build(corpus.filter("embedding_id < 0"), scratch_dir(spark, "index"), match_on=["kind"], keep=["note"])
     assert none.exact(queries, K).collect() == []
+
+
+def test_no_matrix_of_all_queries_and_rings():
+    rng = np.random.default_rng(3)
+    centres = {"s": ivf._matrix(pa.array(rng.normal(size=(6, 4)).tolist(), pa.list_(pa.float64())))}
+    table = {"cell": np.repeat(np.arange(6), 5), "ring": np.tile(np.arange(5), 6), "rows": np.full(30, 2), "low": np.tile(np.arange(5) / 5, 6), "high": np.tile(np.arange(5) / 5 + 0.2, 6)}
+    asked = pa.table({"_query": np.arange(1500), "_space": ["s"] * 1500, "_vector": pa.array(rng.normal(size=(1500, 4)).tolist(), pa.list_(pa.float64())), "_bound": rng.uniform(0, 0.6, 1500)})
+    for probes in (None, 2):
+        plan = ivf._Plan(ivf._Cells(centres, {"s": 0}), {"s": table}, probes)
+        scan = ivf._RingScan(asked, plan, 3)
+        parts = list(scan._needed("s", slice(None)))
+        assert [at for at, _ in parts] == list(range(0, 1500, ivf.STEP))
+        need = np.concatenate([n for _, n in parts])
+        alike = scan.rows["s"] @ centres["s"].T
+        for q in range(0, 1500, 50):
+            near = np.argsort(-alike[q], kind="stable")[:2]
+            angle = np.arccos(np.clip(alike[q], -1, 1))[table["cell"]]
+            apart = np.maximum(np.maximum(table["low"] - angle, angle - table["high"]), 0)
+            expected = apart <= asked["_bound"][q].as_py() + ivf.SLACK if probes is None else np.isin(table["cell"], near)
+            assert (need[q] == expected).all()
+        some = np.array([3, 17, 20])
+        assert (np.concatenate([n for _, n in scan._needed("s", some)]) == need[:, some]).all()
