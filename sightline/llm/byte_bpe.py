@@ -13,24 +13,28 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: What a worker keeps between batches: at most so many pieces, and so many characters of them.
 MOST_PIECES, MOST_CHARS = 800_000, 24 << 20
 #: A word of Latin letters and what may close it: two pre-tokens at most, whatever the library's Unicode tables.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+_ID = attrgetter("id")
 #: New pieces handed to the library as one text.
 TOGETHER = 4096
 
 
 def _actual(key: str) -> str:
-    """The piece a key stands for: a line feed leads itself, a text's first piece is marked by one blank, a whole
-    text by two; every other piece follows a blank of the text.
+    """The piece a key stands for: a line feed leads itself, a text's first piece is marked by one blank; every
+    other piece follows a blank of the text.
     """
     if key[:1] == "\n":
         return key
-    return key[2:] if key[:2] == "  " else key[1:] if key[:1] == " " else f" {key}"
+    return key[1:] if key[:1] == " " else f" {key}"
 
 
 class Encoder:
@@ -48,7 +52,7 @@ class Encoder:
         for token, ident in tokens:
             self._leads[ident] = token[:1] in ("Ġ", "Ċ")
         self._model = self._library.model
-        self._shown = shown_bytes(self._library)
+        self._shown = shown_bytes(self._library) | {32: "\u0120"}
         self._closing: dict[str, list[int]] = {}
         self._forget()
 
@@ -58,6 +62,7 @@ class Encoder:
         self._ids = np.zeros(1 << 20, np.int32)  # ids of the pieces, one after the other
         self._starts, self._sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self._opens, self._closes = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        self._uses = np.zeros(1 << 16, np.int8)  # calls of ``encode`` that met a piece, as far as they are counted
         self._used = 0
 
     def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -73,27 +78,42 @@ class Encoder:
         self._chars += sum(map(len, keys))
 
     def _learn(self, keys: list[str]) -> None:
-        found: dict[str, list[int]] = {}
-        rest: list[str] = []
-        for key in keys:
-            word = _WORD.fullmatch(key)
-            if word is None:
-                rest.append(key)
-                continue
-            # One pre-token of letters with its blank, one of marks: the library's model merges each on its own.
-            stem, marks = word.groups()
-            ids = found.get(stem) or self._word(stem)
-            found[key] = ids + self._marks(marks) if marks else ids
-        plain = [k for k in keys if k in found]
-        sizes = np.fromiter((len(found[k]) for k in plain), np.int64, len(plain))
-        self._add(plain, np.fromiter(chain.from_iterable(found[k] for k in plain), np.int32, int(sizes.sum())), sizes)
-        self._learn_others(rest)
-
-    def _word(self, stem: str) -> list[int]:
-        place = self._place.get(stem)
-        if place is not None:
-            return self._ids[self._starts[place] : self._starts[place] + self._sizes[place]].tolist()
-        return [t.id for t in self._model.tokenize("Ġ" + stem.encode().decode("latin-1").translate(self._shown))]
+        # One pre-token of letters with its blank, one of marks: the library's model merges each on its own.
+        words = [m for m in map(_WORD.fullmatch, keys) if m]
+        if words:
+            pairs = [m.groups() for m in words]
+            unknown = list(dict.fromkeys(stem for stem, _ in pairs if stem not in self._place))
+            new, starts = self._stems(unknown)
+            at = dict(zip(unknown, zip(starts.tolist(), starts[1:].tolist())))
+            ids: list[int] = []
+            sizes = []
+            for stem, marks in pairs:
+                own = at.get(stem)
+                ids += new[own[0] : own[1]] if own else self._known(stem)
+                if marks:
+                    ids += self._marks(marks)
+                sizes.append(len(ids))
+            self._add([m.string for m in words], np.array(ids, np.int32), np.diff(np.array([0, *sizes], np.int64)))
+        if len(words) < len(keys):
+            self._learn_others([k for k in keys if k not in self._place])
+
+    def _known(self, stem: str) -> list[int]:
+        place = self._place[stem]
+        return self._ids[self._starts[place] : self._starts[place] + self._sizes[place]].tolist()
+
+    def _stems(self, stems: list[str]) -> tuple[list[int], np.ndarray]:
+        """(ids of all stems one after the other, where each begins, and the end).
+
+        Several go to the model at once: no token holds a blank behind a letter, so none spans two of them.
+        """
+        ids: list[int] = []
+        for at in range(0, len(stems), 32):
+            shown = "\u0120" + " ".join(stems[at : at + 32]).encode().decode("latin-1").translate(self._shown)
+            ids.extend(map(_ID, self._model.tokenize(shown)))
+        starts = np.append(np.flatnonzero(self._leads[np.array(ids, np.int64)]), len(ids))
+        if len(starts) != len(stems) + 1:
+            raise AssertionError("the tokenizer joins words to white space")
+        return ids, starts
 
     def _marks(self, marks: str) -> list[int]:
         if marks not in self._closing:
@@ -106,7 +126,8 @@ class Encoder:
         words = [k for k, core in zip(keys, cores) if k[:1] != " " and core.split() == [core]]
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(self._library.encode("".join(map(_actual, some)), add_special_tokens=False).ids, np.int32)
+            joined = self._library.encode_batch_fast(["".join(map(_actual, some))], add_special_tokens=False)
+            ids = np.array(joined[0].ids, np.int32)
             begins = np.flatnonzero(self._leads[ids])
             if len(begins) != len(some):
                 raise AssertionError("the tokenizer joins words to white space")
@@ -131,6 +152,22 @@ class Encoder:
             places[missing] = np.fromiter(map(self._place.__getitem__, wanted), np.int64, len(wanted))
         return places
 
+    def _thin(self) -> None:
+        """Forget the pieces that no more than one call of ``encode`` has met: of many words most are met once."""
+        used = np.flatnonzero(self._uses[: len(self._place)] > 1)
+        chars = np.fromiter(map(len, self._place), np.int64, len(self._place))
+        if 2 * len(used) > MOST_PIECES or 2 * chars[used].sum() > MOST_CHARS:
+            return self._forget()
+        keys = list(self._place)
+        kept = [keys[i] for i in used.tolist()]
+        sizes = self._sizes[used]
+        ends = np.cumsum(sizes)
+        ids = self._ids[np.repeat(self._starts[used] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        opens, closes = self._opens[used], self._closes[used]
+        self._forget()
+        self._add(kept, ids, sizes)
+        self._opens[: len(kept)], self._closes[: len(kept)] = opens, closes
+
     def _doubtful(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows with a cut between white space and white space (or the end)."""
         cut = self._closes[places[:-1]] & self._opens[places[1:]]
@@ -138,34 +175,47 @@ class Encoder:
         cut[heads[heads > 0] - 1] = False  # the next text begins here
         return np.unique(np.searchsorted(bounds, np.flatnonzero(cut), side="right") - 1)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
-        if len(self._place) > MOST_PIECES or self._chars > MOST_CHARS:
-            self._forget()
-        if not texts:
+        if not len(texts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        keys = [
-            (" " + text.replace("\n", " \n")).split(" ")[1:] if text[:1] != "\n" else text.replace("\n", " \n").split(" ")
-            for text in texts
-        ]
-        for own, text in zip(keys, texts):
-            if "<|" in text:  # may hold a special token
-                own[:] = ["  " + text]
-            else:
-                own[0] = " " + own[0]
-        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))])
-        places = self._places(list(chain.from_iterable(keys)))
-        whole = self._doubtful(places, bounds)
-        if len(whole):
-            for i in whole.tolist():
-                keys[i] = ["  " + texts[i]]
-            bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))])
-            places = self._places(list(chain.from_iterable(keys)))
+        if len(self._place) > MOST_PIECES or self._chars > MOST_CHARS:
+            self._thin()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        special = pc.match_substring(texts, "<|")  # may hold a special token
+        plain = pc.if_else(special, "", texts) if special.true_count else texts
+        pieces = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        coded = pieces.values.dictionary_encode()  # most pieces of a call are repeated in it
+        indices, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = indices[bounds[:-1]]
+        counts = np.bincount(indices, minlength=len(words)) - np.bincount(heads, minlength=len(words))
+        inner = np.flatnonzero(counts)  # the rest only begin texts
+        place_of = np.zeros(len(words), np.int64)
+        place_of[inner] = self._places([words[i] for i in inner.tolist()])
+        firsts = self._places([" " + words[i] for i in heads.tolist()])
+        self._met(np.concatenate([place_of[inner], np.unique(firsts)]))
+        places = place_of[indices]
+        places[bounds[:-1]] = firsts
+        whole = np.union1d(np.flatnonzero(special.to_numpy(zero_copy_only=False)), self._doubtful(places, bounds))
         sizes = self._sizes[places]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         # Where each output id stands in the pool: runs of consecutive places.
         ids = self._ids[np.repeat(self._starts[places] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[bounds])
+        starts = ends[bounds]
+        if not len(whole):
+            return ids, np.diff(starts)
+        found = self._library.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        of_row = dict(zip(whole.tolist(), found))
+        parts, counts, at = [], np.diff(starts), 0
+        for row, encoding in of_row.items():
+            parts += [ids[at : starts[row]], np.array(encoding.ids, np.int32)]
+            at, counts[row] = starts[row + 1], len(parts[-1])
+        return np.concatenate([*parts, ids[at:]]), counts
+
+    def _met(self, places: np.ndarray) -> None:
+        self._uses = _room(self._uses, len(self._place))
+        self._uses[places] = np.minimum(self._uses[places], 2) + 1
 
 
 def shown_bytes(library) -> dict[int, str]:

@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
         for batch in batches:
             texts = plain(batch.column(1), pa.string())
             for a, b in slices(texts):
-                ids, counts = library.encode(texts[a:b].to_pylist())
+                ids, counts = library.encode(texts[a:b])
                 ends = np.cumsum(counts)
                 closed = np.insert(ids, ends, end)  # the end id behind each document
                 offsets = np.concatenate([[0], ends + np.arange(1, b - a + 1)]).astype(np.int32)

@@ -147,3 +147,24 @@ def test_plain_words_merge_as_the_library_does():
         ids, counts = own(public_tokenizers.path(name)).encode(texts)
         expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
+
+
+def test_encoder_keeps_repeated_pieces_and_no_whole_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), Encoder(path)
+
+    def same(texts):
+        ids, counts = own.encode(texts)
+        wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == [i for w in wanted for i in w] and counts.tolist() == [len(w) for w in wanted]
+
+    long = "far  apart \n\n" * 5_000
+    same(["one two, three", long, "x <|endoftext|> y"])
+    assert own._chars < 100  # the doubtful text itself isn't kept
+    same(["two, three\nfour", "one two, 日本 two,"])
+    monkeypatch.setattr("sightline.llm.byte_bpe.MOST_PIECES", 12)
+    kept = {k: own._ids[own._starts[p] : own._starts[p] + own._sizes[p]].tolist() for k, p in own._place.items()}
+    own._thin()
+    assert {"two,", " one"} <= set(own._place) and "日本" not in own._place
+    assert all(own._ids[own._starts[p] : own._starts[p] + own._sizes[p]].tolist() == kept[k] for k, p in own._place.items())
+    same(["one two, five", " a \xa0 b", ""])
