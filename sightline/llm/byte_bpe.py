@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sightline.llm.common import held
+
 #: What a worker keeps between batches: at most so many pieces, and so many characters of them.
 MOST_PIECES, MOST_CHARS = 800_000, 24 << 20
 #: A word of Latin letters and what may close it: two pre-tokens at most, whatever the library's Unicode tables.
@@ -239,11 +241,6 @@ def _room(array: np.ndarray, length: int) -> np.ndarray:
     return array
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; what it has learned is kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held("byte_bpe", (path,), lambda: Encoder(path))

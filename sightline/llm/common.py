@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -91,6 +92,26 @@ def record(names: Sequence[str], arrays: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], list(names))
 
 
+#: What a worker keeps between tasks of one operator: (operator, key) and the object.
+_HELD: dict[tuple, object] = {}
+
+
+def held(operator: str, key: tuple, make: Callable[[], object]) -> object:
+    """The one object that this worker keeps for ``operator`` between tasks, made anew for another key."""
+    if (operator, key) not in _HELD:
+        release()
+        _HELD[operator, key] = make()
+    return _HELD[operator, key]
+
+
+def release() -> None:
+    """Give back what tasks of earlier operators have left in this worker: for tasks that need the memory themselves."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def rewritten(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written beside the checkpoints and read back.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import plain, quoted, raw_bytes, record, slices
+from sightline.llm.common import plain, quoted, raw_bytes, record, release, slices
 from sightline.llm.words import LETTERS, Words, mixed, sequences, words
 
 #: Random walks, sampled places of each (the first is the start), and the steps they are taken from.
@@ -255,6 +255,7 @@ def _search(blocks: list[Items], walks: int, samples: int, steps: int, tolerance
         return [(text, item, edits, end, int(found.bounds[text])) for (text, item), (edits, _, end) in best.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = plain(batch.column(1), pa.string())
             for a, b in slices(texts):

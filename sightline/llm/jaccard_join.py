@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import plain, quoted, record, slices
+from sightline.llm.common import plain, quoted, record, release, slices
 from sightline.llm.components import components
 from sightline.llm.words import mixed
 from sightline.session import cut_lineage
@@ -110,6 +110,7 @@ class Sets:
 
 
 def _read(batches: Iterator[pa.RecordBatch], place: int, size: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+    release()
     numbers = _Numbers()
     for batch in batches:
         texts = plain(batch.column(place), pa.string()).cast(pa.binary())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.common import plain, quoted, record, slices
+from sightline.llm.common import plain, quoted, record, release, slices
 
 #: Dimensions (a power of two), lengths of n-grams, texts held as dense vectors at a time.
 DIMENSIONS, GRAMS, AT_ONCE = 2048, (1, 2, 3), 256
@@ -181,6 +181,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     sample = texts.join(F.broadcast(some.select("key", "label")), ["key", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = plain(batch.column(1), pa.string()).cast(pa.binary()).to_pylist()
             for at in range(0, len(texts), AT_ONCE):
@@ -233,6 +234,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     place, shared = rest.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = plain(batch.column(place), pa.string()).cast(pa.binary())
             for a, b in slices(texts):

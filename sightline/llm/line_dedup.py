@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import ASCII_SPACE, fresh, plain, quoted, record, rewritten, slices
+from sightline.llm.common import ASCII_SPACE, fresh, plain, quoted, record, release, rewritten, slices
 
 #: Bits of a filter: sixteen for each of sixteen lines of a document, within these bounds (at most 32 MB).
 FEWEST_BITS, MOST_BITS, BITS_PER_DOCUMENT = 1 << 20, 1 << 28, 256
@@ -79,6 +79,7 @@ def _bit_lists(bits: int, shortest: int):
         return record(["block", "once", "twice"], [pa.array([r[0] for r in rows], pa.int32()), *([r[i] for r in rows] for i in (1, 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, number = [], 0
         for batch in batches:
             texts = plain(batch.column(0), pa.string()).cast(pa.binary())
@@ -126,6 +127,7 @@ def second_filter(docs: DataFrame, text: str, shortest: int) -> tuple[int, bytes
 
 def _suspects(bits: int, known: Broadcast, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         filled = np.frombuffer(known.value, np.uint8)
         for batch in batches:
             texts = plain(batch.column(0), pa.string()).cast(pa.binary())
@@ -165,6 +167,7 @@ def _cut(first: int, names: list[str]):
     """Drops the listed lines. ``first``: place of the text column; the drop lists come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = plain(batch.column(first), pa.string()).cast(pa.binary())
             drops = batch.column(batch.num_columns - 1)

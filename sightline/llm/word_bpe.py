@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.byte_bpe import shown_bytes
-from sightline.llm.common import plain, quoted, record, slices
+from sightline.llm.common import held, plain, quoted, record, release, slices
 from sightline.session import cut_lineage
 
 #: Words of the lexicon; what a worker keeps between batches (words, characters); words counted before handing on.
@@ -258,32 +258,27 @@ class Coder:
         return " ".join(map(self._numbers.__getitem__, ids))
 
 
-_CODERS: dict[tuple, Coder] = {}
-
-
 def coder(path: str, lexicon: str | None = None) -> Coder:
     """The worker's coder; what it has learned is kept between tasks. ``lexicon`` names a file sent with ``ship``."""
-    if (path, lexicon) not in _CODERS:
-        _CODERS.clear()
-        _CODERS[path, lexicon] = Coder(path, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
-    return _CODERS[path, lexicon]
+    return held("word_bpe", (path, lexicon), lambda: Coder(path, Lexicon(SparkFiles.get(lexicon)) if lexicon else None))
 
 
 # Over a corpus ------------------------------------------------------------------------------------------------------
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
+    release()
+    counted: Counter[str] = Counter()
     for batch in batches:
         texts = plain(batch.column(0), pa.string())
         for a, b in slices(texts):
             for text in texts[a:b].to_pylist():
-                held.update(words_of(text))
-            if len(held) > COUNTED:
-                yield record(["word", "n"], [list(held), list(held.values())])
-                held.clear()
-    if held:
-        yield record(["word", "n"], [list(held), list(held.values())])
+                counted.update(words_of(text))
+            if len(counted) > COUNTED:
+                yield record(["word", "n"], [list(counted), list(counted.values())])
+                counted.clear()
+    if counted:
+        yield record(["word", "n"], [list(counted), list(counted.values())])
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:

@@ -168,3 +168,25 @@ def test_encoder_keeps_repeated_pieces_and_no_whole_texts(monkeypatch):
     assert {"two,", " one"} <= set(own._place) and "日本" not in own._place
     assert all(own._ids[own._starts[p] : own._starts[p] + own._sizes[p]].tolist() == kept[k] for k, p in own._place.items())
     same(["one two, five", " a \xa0 b", ""])
+
+
+def test_workers_give_back_what_other_operators_left():
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from sightline.llm import byte_bpe, jaccard_join
+
+    own = word_bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
+    assert word_bpe.coder(public_tokenizers.path("word_bpe_49k.json")) is own  # kept between tasks of its own
+    first = weakref.ref(own)
+    del own
+    other = byte_bpe.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    gc.collect()
+    assert first() is None
+    second = weakref.ref(other)
+    del other
+    list(jaccard_join._read(iter([pa.record_batch([pa.array(["a b c d e f"])], ["text"])]), 0, 5))
+    gc.collect()
+    assert second() is None
