@@ -10,9 +10,9 @@ Every word of every text starts a window of an item's size, walked with each
 of several random walks; items are walked from several of their words, so that
 edits at one end leave another start untouched. A window that agrees with an
 item in all sampled places of a walk is a candidate. Places are compared one
-after the other, so most windows are left after a few steps. A short item has
-few walks, so it is also cut into one segment more than it may have edits: one
-of them stands in the text as it is, and nothing is missed. Candidates are
+after the other, so most windows are left after a few steps. Walks find almost
+all, so every item is also cut into one segment more than it may have edits:
+one of them stands in the text as it is, and nothing is missed. Candidates are
 verified by the edit distance, in words, of the whole item to the best
 matching part of the text.
 """
@@ -34,8 +34,8 @@ from sightline.llm.words import LETTERS, Words, mixed, sequences, words
 WALKS, SAMPLES, STEPS = 8, 5, 20
 #: Edits of an item's words, as a share of them, up to which a text contains it; starts within an item.
 TOLERANCE, STARTS = 0.2, 4
-#: Items of at most so many words are searched by segments, too.
-SHORT = 25
+#: Words of windows around segments that are looked through at a time.
+WINDOW_WORDS = 1 << 19
 #: Words of the items of one block; larger benchmarks are searched block by block.
 BLOCK_WORDS = 2_000_000
 _TABLE = 1 << 18
@@ -64,17 +64,17 @@ class Items:
     levels: list[list[np.ndarray]]
     final: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
     tables: list[list[np.ndarray]]
-    #: For each length of segments of short items: sorted hashes, the item and the first word of each.
+    #: For each length of segments: sorted hashes, the item and the first word of each.
     segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     tolerance: float = TOLERANCE
 
 
 def cut(tokens: list[np.ndarray], tolerance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Segments of the short items by their length: one more than the edits allowed, so that one is free of edits."""
+    """Segments of the items by their length: one more than the edits allowed, so that one is free of edits."""
     rows: dict[int, list] = {}
     for item, own in enumerate(tokens):
         number = allowed(len(own), tolerance) + 1
-        if len(own) > SHORT or number > len(own):
+        if number > len(own):
             continue
         bounds = np.array([len(own) * i // number for i in range(number + 1)])
         for value, a, b in zip(sequences(own, bounds[:-1], bounds[1:]), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -182,7 +182,7 @@ def candidates(tokens: np.ndarray, items: Items, walks: int, samples: int, steps
 
 
 def segmented(tokens: np.ndarray, items: Items) -> np.ndarray:
-    """(item, word where it would begin) of the short items that have a segment in the text and enough words around it."""
+    """(item, word where it would begin) of the items that have a segment in the text and enough words around it."""
     found = [np.zeros((0, 2), np.int64)]
     for length, (keys, owner, offset) in items.segments.items():
         begin = np.arange(len(tokens) - length + 1)
@@ -200,7 +200,8 @@ def segmented(tokens: np.ndarray, items: Items) -> np.ndarray:
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(every)]):
         own = items.tokens[every[a, 0]]
         slack, wanted = allowed(len(own), items.tolerance), np.unique(own)
-        for part in np.split(every[a:b], range(1 << 14, b - a, 1 << 14)):
+        step = max(1, WINDOW_WORDS // (len(own) + 2 * slack))
+        for part in np.split(every[a:b], range(step, b - a, step)):
             # All words of the item but the edited ones stand in the window.
             near = tokens[np.clip(part[:, 1, None] + np.arange(-slack, len(own) + slack), 0, len(tokens) - 1)]
             inside = wanted[np.minimum(np.searchsorted(wanted, near), len(wanted) - 1)] == near

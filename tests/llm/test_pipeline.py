@@ -165,3 +165,31 @@ def test_near_copies_keep_texts_that_share_an_id(spark):
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text), (5, other), (None, text), (None, text)], key=str)
     assert near_copies.keep_one(got.limit(0)).count() == 0
+
+
+def test_leaks_of_longer_items_are_found_wherever_they_are_edited(spark):
+    rnd = random.Random(21)
+    pool = [f"w{i}" for i in range(2000)]
+    items, rows = [], []
+    for number in range(600):
+        item = rnd.choices(pool, k=rnd.choice([26, 30, 35, 40, 59, 80, 120]))
+        own = list(item)
+        for at in sorted(rnd.sample(range(len(own)), len(own) // 5), reverse=True):
+            own[at : at + 1] = rnd.choice([[], ["edited"], [own[at], "more"]])
+        items.append((number, " ".join(item)))
+        rows.append((number, " ".join(rnd.choices(pool, k=30) + own + rnd.choices(pool, k=30))))
+    clean = [(1000 + i, " ".join(rnd.choices(pool, k=150))) for i in range(50)]
+    folder = scratch_dir(spark, "leaks")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, corpus_pipeline.drop_benchmark_leaks(spark, docs, folder).collect())) == clean
+
+
+def test_windows_of_very_long_items_are_looked_through_in_bounded_steps(monkeypatch):
+    seen, clip = [], decontaminate.np.clip
+    monkeypatch.setattr(decontaminate.np, "clip", lambda x, *a: (seen.append(x.size), clip(x, *a))[1])
+    own = decontaminate.np.arange(1, 20_001).astype("uint64") * decontaminate.np.uint64(0x9E3779B97F4A7C15)
+    items = decontaminate.embed([1], [own], 8, 5, 20, 4)
+    text = decontaminate.np.concatenate([own[:10], own])
+    assert [1 if p == 10 else 0 for p in decontaminate.segmented(text, items)[:, 1].tolist()].count(1) == 1
+    assert max(seen) <= 1 << 20
