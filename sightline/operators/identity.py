@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.config import IDENTITY, IdentitySettings
@@ -24,7 +24,7 @@ from sightline.operators.graph import close_merge_map
 from sightline.operators.greedy import greedy_select
 from sightline.operators.knn import APART, best_groups, group_scores, nearest
 from sightline.operators.ordered import RANGE, bucketed_scan, first_by, ranged, top_k
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, stored
 
 PROMOTED, PROVISIONAL = "promoted", "provisional"
 REFERENCE, MULTI_ASSET, VIDEO_EVIDENCE, IMAGE = "reference", "multi-asset", "video-evidence", "image"
@@ -490,10 +490,18 @@ def _least_score(cfg: IdentitySettings) -> float:
     return max(1e-9, lowest - cfg.consolidation_margin)
 
 
-def _sides(pairs: DataFrame, identities: DataFrame) -> DataFrame:
+#: Identities whose facts are sent to the pairs, and merges that are sent to the identities, instead of a shuffle of both.
+FEW_FACTS, FEW_MERGES = 4096, 512
+
+
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _sides(pairs: DataFrame, identities: DataFrame, few: bool = False) -> DataFrame:
     left = identities.select(F.col("face_key").alias("source"), F.struct(*_FACTS).alias("_l"))
     right = identities.select(F.col("face_key").alias("other"), F.struct(*_FACTS).alias("_r"))
-    return pairs.join(left, "source").join(right, "other")
+    return pairs.join(_sent(left, few), "source").join(_sent(right, few), "other")
 
 
 def _struct_fields(name: str) -> dict[str, Column]:
@@ -524,32 +532,41 @@ def pair_scores(
     return found.filter(F.col("source") != F.col("other")).distinct()
 
 
-def near_scores(identities: DataFrame, cfg: IdentitySettings = IDENTITY) -> DataFrame:
-    """(source, other, score): of ``pair_scores`` at least what comes within the margin of a source's best, and few others.
+def near_scores(
+    identities: DataFrame, cfg: IdentitySettings = IDENTITY, others: DataFrame | None = None, depth: float = 1.0
+) -> DataFrame:
+    """(source, other, score): of ``pair_scores`` at least what comes within ``depth`` margins of a source's best, and few others.
 
-    Every pair is scored; what a round of merges doesn't ask for never leaves its task.
+    Every pair is scored; what a round of merges doesn't ask for never leaves
+    its task. With ``others`` the identities are held against those alone.
     """
-    mark = F.when(is_blank("reference_id"), F.lit("")).otherwise(F.lower("reference_id"))
-    vectors = identities.select(F.concat("face_key", F.lit(APART), mark).alias("named"), F.explode("anchors").alias("a")).select(
-        "named", F.col("a.vector").alias("vector")
-    )
-    found = group_scores(vectors, vectors, group="named", least=_least_score(cfg), margin=cfg.consolidation_margin)
+
+    def vectors(df: DataFrame) -> DataFrame:
+        mark = F.when(is_blank("reference_id"), F.lit("")).otherwise(F.lower("reference_id"))
+        return df.select(F.concat("face_key", F.lit(APART), mark).alias("named"), F.explode("anchors").alias("a")).select(
+            "named", F.col("a.vector").alias("vector")
+        )
+
+    right = vectors(identities if others is None else others)
+    margin = depth * cfg.consolidation_margin
+    found = group_scores(vectors(identities), right, group="named", least=_least_score(cfg), margin=margin)
     return found.select(*[F.substring_index(c, APART, 1).alias(c) for c in ("source", "other")], "score")
 
 
 def merge_proposals(
-    identities: DataFrame, scores: DataFrame, cfg: IdentitySettings = IDENTITY, *, complete: bool = True
+    identities: DataFrame, scores: DataFrame, cfg: IdentitySettings = IDENTITY, *, complete: bool = True, few: bool = False
 ) -> DataFrame:
     """For each identity the best one it should merge with, if any
     (source, other, score): the score reaches the pair's threshold and leads
     the runner-up, or every rival within the margin could itself merge with
     the best. Conflicting references never pair. ``scores`` as by
     ``pair_scores``; not ``complete`` as by ``near_scores``: pairs of a best
-    one and a rival are then scored where they are missing.
+    one and a rival are then scored where they are missing. ``few``: the
+    identities are at most ``FEW_FACTS``.
     """
     l, r = _struct_fields("_l"), _struct_fields("_r")
     scored = cut_lineage(
-        _sides(scores, identities)
+        _sides(scores, identities, few)
         .filter(~_conflict(l["reference_id"], r["reference_id"]))
         .select("source", "other", "score", (F.col("score") >= _threshold(l, r, cfg)).alias("merges"))
     )
@@ -573,7 +590,7 @@ def merge_proposals(
         blocked = cut_lineage(blocked)
         open_ones = blocked.select(F.col("other").alias("source"), F.col("rival").alias("other")).distinct()
         anchors = identities.select("face_key", F.transform("anchors", lambda a: a["vector"]).alias("_v"))
-        sides = _sides(open_ones, identities).filter(~_conflict(l["reference_id"], r["reference_id"]))
+        sides = _sides(open_ones, identities, few).filter(~_conflict(l["reference_id"], r["reference_id"]))
         sides = sides.join(anchors.toDF("source", "_lv"), "source").join(anchors.toDF("other", "_rv"), "other")
         own = F.round(pair_score(F.col("_lv"), F.col("_rv")), 9)
         merging = sides.withColumn("_own", own).filter(F.col("_own") >= _threshold(l, r, cfg))
@@ -607,10 +624,10 @@ def independent_merges(proposals: DataFrame) -> DataFrame:
     )
 
 
-def chosen_merges(identities: DataFrame, chosen: DataFrame) -> DataFrame:
+def chosen_merges(identities: DataFrame, chosen: DataFrame, few: bool = False) -> DataFrame:
     """(duplicate, target) of pairs to merge."""
     keep_left = choose_target(_struct_fields("_l"), _struct_fields("_r"))
-    return _sides(chosen, identities).select(
+    return _sides(chosen, identities, few).select(
         F.when(keep_left, F.col("other")).otherwise(F.col("source")).alias("duplicate"),
         F.when(keep_left, F.col("source")).otherwise(F.col("other")).alias("target"),
     )
@@ -630,15 +647,16 @@ def choose_target(l: dict[str, Column], r: dict[str, Column]) -> Column:
     )
 
 
-def merge_into(identities: DataFrame, merges: DataFrame, cfg: IdentitySettings = IDENTITY) -> DataFrame:
+def merge_into(identities: DataFrame, merges: DataFrame, cfg: IdentitySettings = IDENTITY, few: bool = False) -> DataFrame:
     """Fold each duplicate into its target (one duplicate per target).
 
-    ``merges`` (duplicate, target).
+    ``merges`` (duplicate, target); ``few``: they are at most ``FEW_MERGES``.
     """
+    merges = _sent(merges, few)
     row = F.struct(*[F.col(c) for c in COLUMNS])
     duplicates = identities.select(F.col("face_key").alias("duplicate"), row.alias("_d"))
     joined = identities.join(merges, identities["face_key"] == merges["duplicate"], "left_anti").join(
-        merges.join(duplicates, "duplicate").withColumnRenamed("target", "face_key"), "face_key", "left"
+        _sent(duplicates.join(merges, "duplicate").withColumnRenamed("target", "face_key"), few), "face_key", "left"
     )
     d = {c: F.col(f"_d.{c}") for c in COLUMNS}
     has = F.col("_d").isNotNull()
@@ -678,32 +696,77 @@ def merge_into(identities: DataFrame, merges: DataFrame, cfg: IdentitySettings =
     ).select(*COLUMNS)
 
 
+#: Margins below a source's best down to which its scores are kept from round to round.
+DEPTH = 2.0
+
+
+def _kept_scores(scores: DataFrame, cfg: IdentitySettings) -> DataFrame:
+    """``scores`` of each source down to its floor, with ``open``: whether a score within the margin may be missing.
+
+    A row without ``other`` states a floor: above it the source's scores are
+    complete. The floor rises with the best score, as what lies ``DEPTH``
+    margins below it isn't needed now.
+    """
+    own = Window.partitionBy("source")
+    named = F.col("other").isNotNull()
+    best = F.max(F.when(named, F.col("score"))).over(own)
+    known = F.max(F.when(~named, F.col("score"))).over(own)
+    floor = F.greatest(known, best - DEPTH * cfg.consolidation_margin)
+    short = (known > _least_score(cfg)) & (F.coalesce(best - cfg.consolidation_margin, F.lit(0.0)) < known + 1e-9)
+    return scores.select("source", "other", "score", floor.alias("floor"), short.alias("open")).select(
+        "source", "other", F.when(named, F.col("score")).otherwise(F.col("floor")).alias("score"), "floor", "open"
+    ).filter("score >= floor").drop("floor")
+
+
 def consolidate(identities: DataFrame, cfg: IdentitySettings = IDENTITY) -> tuple[DataFrame, DataFrame]:
     """Merge identities of the same person until none qualifies.
 
     Returns the remaining identities and the closed merge map (duplicate,
     target). Each round merges, at once, all proposals that are the strongest
     at both ends; the strongest of all is among them, so every round merges
-    and the rounds end when no identity has a valid proposal. Only identities
-    that a round has changed are scored again. One-at-a-time merging in list
-    order may pick other pairs on larger graphs; the stopping rule is the same.
+    and the rounds end when no identity has a valid proposal. One-at-a-time
+    merging in list order may pick other pairs on larger graphs; the stopping
+    rule is the same.
+
+    From round to round only the scores near each identity's best are kept.
+    Identities that a round has changed are scored again, and those whose
+    kept scores no longer reach as far down as the margin asks for. What goes
+    from round to round is read back from files: a checkpoint keeps what the
+    planner knows of its columns, which would grow with every round.
     """
-    current = cut_lineage(identities.select(*COLUMNS))
-    scores = cut_lineage(pair_scores(current, cfg=cfg))
+    current = stored(identities.select(*COLUMNS), "identities")
+    left = current.count()
+    names = ["source", "other", "score"]
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Of ``some`` identities the scores with all that are left, and the least score as a floor."""
+        floors = some.select(F.col("face_key").alias("source"), F.lit(None).cast("string").alias("other"), F.lit(_least_score(cfg)).alias("score"))
+        found = near_scores(some, cfg, current, DEPTH).unionByName(floors)
+        # The floor of all scores follows from the best: none of these is open.
+        return _kept_scores(found, cfg).select(*names)
+
+    scores = stored(scored(current), "scores")
     history = None
     while True:
-        chosen = cut_lineage(independent_merges(merge_proposals(current, scores, cfg)))
-        if chosen.isEmpty():
+        few = left <= FEW_FACTS
+        proposals = merge_proposals(current, scores.filter("other IS NOT NULL"), cfg, complete=False, few=few)
+        merges = stored(chosen_merges(current, independent_merges(proposals), few), "merges")
+        merged = merges.count()
+        if not merged:
             break
-        merges = cut_lineage(chosen_merges(current, chosen))
+        left, few = left - merged, merged <= FEW_MERGES
         history = merges if history is None else history.unionByName(merges)
-        current = cut_lineage(merge_into(current, merges, cfg))
-        stale = merges.select(F.col("duplicate").alias("face_key")).unionByName(merges.select(F.col("target").alias("face_key")))
+        current = stored(merge_into(current, merges, cfg, few), "identities")
+        stale = _sent(merges.select(F.explode(F.array("duplicate", "target")).alias("face_key")), few)
+        changed = current.join(stale, "face_key", "left_semi")
         kept = scores.join(stale.withColumnRenamed("face_key", "source"), "source", "left_anti").join(
             stale.withColumnRenamed("face_key", "other"), "other", "left_anti"
         )
-        changed = cut_lineage(current.join(stale, "face_key", "left_semi"))
-        scores = cut_lineage(kept.select("source", "other", "score").unionByName(pair_scores(changed, current, cfg)))
+        added = near_scores(current.join(stale, "face_key", "left_anti"), cfg, changed, DEPTH)
+        known = cut_lineage(_kept_scores(kept.select(*names).unionByName(added), cfg))
+        again = known.filter("open AND other IS NULL").select(F.col("source").alias("face_key"))
+        again = cut_lineage(current.join(again.unionByName(merges.select(F.col("target").alias("face_key"))), "face_key", "left_semi"))
+        scores = stored(known.filter("NOT open").select(*names).unionByName(scored(again)), "scores")
     if history is None:
         history = current.select(F.col("face_key").alias("duplicate"), F.col("face_key").alias("target")).limit(0)
     return current, close_merge_map(history)

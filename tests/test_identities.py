@@ -302,3 +302,58 @@ def test_proposals_need_only_the_scores_near_the_best(spark, small):
     assert near.count() < scores.count() / 4 and near.exceptAll(scores).isEmpty()
     made = ident.merge_proposals(known, near, cfg=_LOOSE, complete=False).collect()
     assert made and sorted(made) == sorted(ident.merge_proposals(known, scores, cfg=_LOOSE).collect())
+
+
+def test_rounds_keep_only_scores_near_the_best(spark, small, monkeypatch):
+    from sightline import fixtures as fx
+    from sightline.registry.identities import _LOOSE
+
+    known = fx.identities_view(spark, small).cache()
+    kept = []
+
+    def noted(make):
+        def call(df, *rest):
+            made = make(df, *rest)
+            if made.columns == ["source", "other", "score"]:
+                kept.append(made.count())
+            return made
+
+        return call
+
+    for name in ("cut_lineage", "stored"):
+        monkeypatch.setattr(ident, name, noted(getattr(ident, name, None)), raising=False)
+    monkeypatch.setattr(ident, "independent_merges", lambda proposals: proposals.select("source", "other").limit(0))
+    left, merges = ident.consolidate(known, cfg=_LOOSE)
+    assert merges.isEmpty() and left.count() == known.count()
+    assert kept and max(kept) < ident.pair_scores(known, cfg=_LOOSE).count() / 2
+
+
+def test_rounds_merge_what_rounds_over_all_scores_merge(spark):
+    """Odd identities: references that conflict, shared assets, no anchors, vectors of two lengths, copies."""
+    from sightline.session import stored
+
+    rnd = np.random.default_rng(8)
+    people = []
+    for i in range(70):
+        size = 3 if i % 9 else 2
+        vectors = [] if i == 5 else rnd.normal(size=(1 + i % 3, size)).round(2).tolist()
+        ref = f"Ext-{i % 4}".swapcase() if i % 8 == 0 else f"ext-{i % 4}" if i % 5 == 0 else None
+        people.append(
+            person(f"face-{i:04d}", vectors, [f"a{i % 11}"], "promoted" if i % 3 else "provisional", "video-evidence" if i % 2 else None, ref, 1 + i % 4, i % 6 / 2)
+        )
+    people += [person(f"copy-{i}", [(0.1, 0.2, 0.9)], [f"c{i}"], "provisional", None, None, 1, 1.0) for i in range(6)]
+    cfg = ident.IDENTITY.__class__(consolidation=0.97, consolidation_promoted=0.98, consolidation_same_asset=0.98, match=0.97, consolidation_margin=0.004)
+    current, into, rounds = world(spark, *people), {}, 0
+    while True:
+        current = stored(current.select(*ident.COLUMNS))
+        proposals = ident.merge_proposals(current, ident.pair_scores(current, cfg=cfg), cfg)
+        merges = stored(ident.chosen_merges(current, ident.independent_merges(proposals)))
+        made = {r["duplicate"]: r["target"] for r in merges.collect()}
+        if not made:
+            break
+        rounds += 1
+        into = {k: made.get(v, v) for k, v in into.items()} | made
+        current = ident.merge_into(current, merges, cfg)
+    left, merges = ident.consolidate(world(spark, *people), cfg)
+    assert rounds > 2 and into == {r["duplicate"]: r["target"] for r in merges.collect()}
+    assert sorted(map(str, left.collect())) == sorted(map(str, current.collect()))
