@@ -24,7 +24,7 @@ from sightline.operators.graph import close_merge_map
 from sightline.operators.greedy import greedy_select
 from sightline.operators.knn import APART, best_groups, group_scores, nearest
 from sightline.operators.ordered import RANGE, bucketed_scan, first_by, ranged, top_k
-from sightline.session import cut_lineage, stored
+from sightline.session import cut_lineage, forget, stored
 
 PROMOTED, PROVISIONAL = "promoted", "provisional"
 REFERENCE, MULTI_ASSET, VIDEO_EVIDENCE, IMAGE = "reference", "multi-asset", "video-evidence", "image"
@@ -756,7 +756,8 @@ def consolidate(identities: DataFrame, cfg: IdentitySettings = IDENTITY) -> tupl
             break
         left, few = left - merged, merged <= FEW_MERGES
         history = merges if history is None else history.unionByName(merges)
-        current = stored(merge_into(current, merges, cfg, few), "identities")
+        before, current = current, stored(merge_into(current, merges, cfg, few), "identities")
+        forget(before)
         stale = _sent(merges.select(F.explode(F.array("duplicate", "target")).alias("face_key")), few)
         changed = current.join(stale, "face_key", "left_semi")
         kept = scores.join(stale.withColumnRenamed("face_key", "source"), "source", "left_anti").join(
@@ -766,7 +767,8 @@ def consolidate(identities: DataFrame, cfg: IdentitySettings = IDENTITY) -> tupl
         known = cut_lineage(_kept_scores(kept.select(*names).unionByName(added), cfg))
         again = known.filter("open AND other IS NULL").select(F.col("source").alias("face_key"))
         again = cut_lineage(current.join(again.unionByName(merges.select(F.col("target").alias("face_key"))), "face_key", "left_semi"))
-        scores = stored(known.filter("NOT open").select(*names).unionByName(scored(again)), "scores")
+        before, scores = scores, stored(known.filter("NOT open").select(*names).unionByName(scored(again)), "scores")
+        forget(before)
     if history is None:
         history = current.select(F.col("face_key").alias("duplicate"), F.col("face_key").alias("target")).limit(0)
     return current, close_merge_map(history)
